@@ -121,14 +121,19 @@ def normalised(name: str, default: Column) -> Column:
 
 
 def strptime_formats(text: Column) -> Column:
-    """ISO text of a timestamp in one of the three accepted layouts, else null."""
+    """ISO text of a timestamp in one of the three accepted layouts, else null.
+
+    The layout is picked by its separators first: a failed parse costs far more than a look.
+    """
     squeezed = F.regexp_replace(text, r"\s+", " ")
+    dashed = F.substring(text, 5, 1) == "-"
     iso = F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
     plain = F.try_to_timestamp(squeezed, F.lit("yyyy-MM-dd HH:mm:ss"))
     access = F.try_to_timestamp(squeezed, F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
+    local = F.when(dashed, F.when(F.substring(text, 11, 1) == "T", iso).otherwise(plain))
     return F.coalesce(
-        F.date_format(F.coalesce(iso, plain), "yyyy-MM-dd'T'HH:mm:ss"),
-        F.date_format(access, "yyyy-MM-dd'T'HH:mm:ss'+00:00'"),
+        F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"),
+        F.date_format(F.when(~dashed, access), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"),
     )
 
 

@@ -99,6 +99,7 @@ def conditions(flagged: DataFrame) -> DataFrame:
     return flagged.filter("operational_only").select(
         "stream_id",
         "line_index",
+        "ts",
         "source_ip",
         F.when(network, NETWORK_LABELS[0]).otherwise("Service Health Degraded").alias("threat_type"),
         F.when(network, "NETWORK_PERFORMANCE").otherwise("SERVICE_HEALTH").alias("domain"),

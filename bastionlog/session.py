@@ -8,6 +8,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+RUNTIME_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
@@ -17,20 +21,24 @@ def build_session(app_name: str = "bastionlog", master: str | None = None, **con
         SparkSession.builder.appName(app_name)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
     )
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return prepare(builder.getOrCreate())
 
 
-def with_utc(spark: SparkSession) -> SparkSession:
-    """Offsets in log timestamps are read as UTC instants, so the session zone has to be UTC."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings the results or the speed depend on, for sessions made elsewhere.
+
+    Offsets in log timestamps are read as UTC instants. Wide feature projections generate methods the
+    JVM refuses to compile; with the lower limit Spark evaluates them in smaller compiled pieces.
+    """
+    for key, value in RUNTIME_SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 

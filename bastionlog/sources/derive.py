@@ -11,6 +11,7 @@ from bastionlog.sources.templates import (
     HOT_HOSTS,
     LINES_PER_SECOND,
     STREAMS,
+    EXPECTED,
     TEMPLATES,
 )
 
@@ -18,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for a narrow input that arrives in fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``line_index, stream_id, ts, raw_message``, one line per event.
 
@@ -30,8 +37,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         + F.expr(f"(event_id % {BURST_EVENTS}) div {LINES_PER_SECOND}")
     )
     base = (
-        table(spark, sf_dir, "events")
-        .select("event_id", "user_id")
+        spread(table(spark, sf_dir, "events").select("event_id", "user_id"))
         .withColumn("seconds", seconds)
         .withColumn("ts", F.expr("timestampadd(SECOND, seconds, TIMESTAMP_NTZ'2024-01-01 00:00:00')"))
         .withColumn("host", F.when(user % 3 == 0, user % HOT_HOSTS).otherwise(user))
@@ -60,6 +66,17 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def expected_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``line_index, label``: the threat each log line was written to show, or ``benign``."""
+    shape = F.col("event_id") % len(TEMPLATES)
+    label = F
+    for number, threat in EXPECTED.items():
+        label = label.when(shape == number, threat)
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("line_index"), label.otherwise("benign").alias("label")
+    )
+
+
 def system_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Health snapshots computed from events with whole-number arithmetic."""
     e, u = F.col("event_id"), F.col("user_id")

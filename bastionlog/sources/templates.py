@@ -90,3 +90,48 @@ BURST_SECONDS = 3600
 LINES_PER_SECOND = 4
 HOT_HOSTS = 8
 STREAMS = 4
+
+# Threat each shape is meant to show; shapes not listed are harmless.
+EXPECTED: dict[int, str] = {
+    0: "Brute-Force Authentication",
+    1: "DDoS / Volumetric Attack",
+    3: "VoIP Fraud",
+    4: "Smart Meter Tampering",
+    5: "Account Sharing",
+    9: "Phishing Kit",
+    10: "Exploit Attempt",
+    11: "Ransomware Activity",
+    19: "Brute-Force Authentication",
+    21: "Firewall / Security Control Disabled",
+    22: "SSH Key / Authorized Keys Tampering",
+    23: "Credential Stuffing",
+    24: "Password Spraying",
+    27: "Port Scanning / Reconnaissance",
+    28: "Network Reconnaissance",
+    29: "Router Compromise",
+    30: "Database Exfiltration / Dump",
+    31: "Data Exfiltration",
+    32: "Brute-Force Authentication",
+    33: "DDoS / Volumetric Attack",
+    35: "Credential Exposure in Logs",
+    38: "SIP Registration Attack",
+    42: "C2 Beacon / Command & Control",
+    43: "Tor / Anonymous Proxy Detected",
+    44: "Proxy Abuse",
+    45: "IoT Botnet",
+    46: "Amplification Attack",
+    47: "DNS Tunneling / Exfiltration",
+    48: "DNS Water Torture / NXDOMAIN Flood",
+    49: "Copyright Infringement",
+    50: "BGP Hijacking",
+    51: "Man-in-the-Middle (MitM)",
+    52: "Lateral Movement / Pass-the-Hash",
+    53: "Spam Campaign",
+    54: "Cryptominer / Coin Miner",
+    55: "Fileless Malware / LOLBins",
+    56: "Malware Distribution",
+    57: "Credential Dumping",
+    58: "API Abuse / Scraping",
+    64: "C2 Beacon / Command & Control",
+    66: "Exploit Attempt",
+}
