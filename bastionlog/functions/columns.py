@@ -40,14 +40,27 @@ def imatch(col: Column, pattern: str) -> Column:
     return col.rlike("(?i)" + pattern)
 
 
+def literal(value: object) -> str:
+    """A Python value as SQL text: long rule tables reach the JVM as one expression, not one call per entry."""
+    if isinstance(value, str):
+        escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r")
+        return f"'{escaped}'"
+    return str(value)
+
+
+def literal_array(values: Iterable[object]) -> Column:
+    return F.expr("array(" + ", ".join(literal(v) for v in values) + ")")
+
+
+def choose(column: str, cases: Iterable[tuple[object, str]], default: str = "NULL") -> Column:
+    """``CASE column WHEN .. THEN ..`` from (value, SQL text) pairs."""
+    body = " ".join(f"WHEN {literal(v)} THEN {text}" for v, text in cases)
+    return F.expr(f"CASE {column} {body} ELSE {default} END")
+
+
 def dimension(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
     """A rule table as a local relation; its size is the size of the catalogue, so it may be broadcast."""
     if len(rows) > 10_000:
         raise ValueError("rule tables are broadcast; keep large reference data in a real table")
-    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
-
-
-def millis_rounded(scaled: Column, digits: int) -> Column:
-    """Turn an integer scaled by ``digits`` decimal places into a double."""
-    return scaled.cast("double") / F.lit(float(10**digits))
+    body = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")

@@ -18,6 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bastionlog.functions.columns import choose, literal, literal_array
 from bastionlog.functions.shipping import ship_by_value
 from bastionlog.rules.signatures import DIRECT_INDICATORS, SIGNATURES, Signature
 
@@ -94,17 +95,15 @@ def is_direct(code: Column) -> Column:
 
 def pick_rule(rule_no: Column, values: Sequence[object]) -> Column:
     """Attribute of a rule by its number: an element of a literal array."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), rule_no + 1)
+    return F.element_at(literal_array(values), rule_no + 1)
 
 
-def first_indicator(message: Column, threat: Column, indicators: dict[str, list[str]] | None = None) -> Column:
+def first_indicator(message: str, threat: str, indicators: dict[str, list[str]] | None = None) -> Column:
     """First indicator word, in catalogue order and original spelling, found in the line."""
     table = DIRECT_INDICATORS if indicators is None else indicators
-    lowered = F.lower(message)
-    chain = F
-    for name, words in table.items():
-        chain = chain.when(
-            threat == name,
-            F.coalesce(*[F.when(lowered.contains(w.lower()), F.lit(w)) for w in words]),
-        )
-    return chain.otherwise(F.lit(None).cast("string"))
+
+    def first_of(words: list[str]) -> str:
+        tests = " ".join(f"WHEN contains(lower({message}), {literal(w.lower())}) THEN {literal(w)}" for w in words)
+        return f"CASE {tests} END"
+
+    return choose(threat, [(name, first_of(words)) for name, words in table.items()])

@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bastionlog.functions.columns import literal
 from bastionlog.functions.matching import rule_hits
 from bastionlog.rules.line_classifier import COARSE_INDICATORS, LABELS, TOKEN_PATTERN, TRAINING_LINES
 
@@ -63,11 +64,11 @@ def _sums_inline(lines: DataFrame, model: Model) -> DataFrame:
     table: dict[str, dict[str, int]] = {}
     for row in model.counts.collect():
         table.setdefault(row["token"], {})[row["label"]] = row["n"]
-    entries: list[Column] = []
+    entries: list[str] = []
     for token, per_label in sorted(table.items()):
         logs = [math.log((per_label.get(x, 0) + 1) / (model.words.get(x, 0) + model.vocabulary)) for x in LABELS]
-        entries += [F.lit(token), F.array(*[F.lit(v) for v in logs])]
-    known = F.create_map(*entries)
+        entries.append(f"{literal(token)}, array({', '.join(f'{v!r}D' for v in logs)})")
+    known = F.expr(f"map({', '.join(entries)})")
     unseen = F.array(*[F.lit(model.unseen(x)) for x in LABELS])
     scored = F.transform("tokens", lambda t: F.coalesce(F.try_element_at(known, t), unseen))
     with_logs = lines.withColumn("token_logs", scored)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bastionlog.functions.columns import strip
+from bastionlog.functions.columns import literal_array, strip
 
 # ---- fixed values: line grammars -------------------------------------------------------------
 ACCESS_LOG = (
@@ -81,14 +81,11 @@ def parse_lines(lines: DataFrame, message: str = "raw_message") -> DataFrame:
     keys = F.regexp_extract_all(pairs_in, F.lit(KEY_VALUE), F.lit(1))
     values = F.regexp_extract_all(pairs_in, F.lit(KEY_VALUE), F.lit(2))
 
-    def fixed(names: list[str]) -> Column:
-        return F.array(*[F.lit(n) for n in names])
-
     names = (
         F.when(fmt.isin("isp", "json"), F.map_keys("json_fields"))
-        .when(fmt == "apache_or_nginx", fixed([*ACCESS_FIELDS, "http_method"]))
-        .when(fmt == "syslog", fixed(SYSLOG_FIELDS))
-        .when(fmt == "plain_ts", F.concat(fixed(PLAIN_FIELDS), F.col("pair_keys")))
+        .when(fmt == "apache_or_nginx", literal_array([*ACCESS_FIELDS, "http_method"]))
+        .when(fmt == "syslog", literal_array(SYSLOG_FIELDS))
+        .when(fmt == "plain_ts", F.concat(literal_array(PLAIN_FIELDS), F.col("pair_keys")))
         .when(fmt == "key_value", F.reverse("pair_keys"))
     )
     texts = (
@@ -111,7 +108,7 @@ def parse_lines(lines: DataFrame, message: str = "raw_message") -> DataFrame:
 
 def field(name: str) -> Column:
     """Value of a named field of the line, null when it has none."""
-    return F.get("values", F.array_position("names", name).cast("int") - 1)
+    return F.expr(f"get(values, cast(array_position(names, '{name}') as int) - 1)")
 
 
 def normalised(name: str, default: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bastionlog.functions.columns import contains_any
+from bastionlog.functions.columns import choose, contains_any, literal
 from bastionlog.rules.signatures import (
     NOT_APPLICABLE,
     SIGNATURES,
@@ -53,9 +53,7 @@ def assess(detections: DataFrame) -> DataFrame:
         .otherwise("Confirmed")
     )
     name = F.col("strict_status")
-    technique = F
-    for s in SIGNATURES:
-        technique = technique.when(F.col("threat_type") == s.name, s.mitre)
+    technique = choose("threat_type", [(s.name, literal(s.mitre)) for s in SIGNATURES], literal(NOT_APPLICABLE))
     return (
         with_peers(detections)
         .withColumn("operational", is_operational(lowered, F.col("domain")))
@@ -67,7 +65,7 @@ def assess(detections: DataFrame) -> DataFrame:
             .when(name == "Suspicious", "High").otherwise("Critical"),
         )
         .withColumn("percent", F.floor(score * 100).cast("int"))
-        .withColumn("technique", technique.otherwise(NOT_APPLICABLE))
+        .withColumn("technique", technique)
     )
 
 

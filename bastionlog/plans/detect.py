@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bastionlog.functions.columns import UNKNOWN, dimension
+from bastionlog.functions.columns import UNKNOWN, choose, dimension
 from bastionlog.functions.matching import first_indicator, pick_rule
 from bastionlog.functions.scoring import (
     badge_status,
@@ -67,11 +67,8 @@ def scored_hits(features: DataFrame, signatures: Sequence[Signature] = SIGNATURE
     )
 
 
-def severity_base(severity: str):
-    chain = F
-    for name, value in SEVERITY_BASE.items():
-        chain = chain.when(F.col(severity) == name, value)
-    return chain.otherwise(SEVERITY_BASE["medium"])
+def severity_base(severity: str) -> Column:
+    return choose(severity, [(n, str(v)) for n, v in SEVERITY_BASE.items()], str(SEVERITY_BASE["medium"]))
 
 
 def occurrences(features: DataFrame) -> DataFrame:
@@ -105,7 +102,7 @@ def kept_hits(features: DataFrame, signatures: Sequence[Signature] = SIGNATURES)
 
 def evidence() -> Column:
     """Evidence sentences: first indicator word, corroboration note, else the pattern note."""
-    indicator = first_indicator(F.col("raw_message"), F.col("threat_type"))
+    indicator = first_indicator("raw_message", "threat_type")
     direct = F.when(
         F.col("any_direct"),
         F.coalesce(

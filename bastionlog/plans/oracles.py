@@ -32,6 +32,9 @@ from bastionlog.sources.templates import (
     EXPECTED,
     HOT_HOSTS,
     LINES_PER_SECOND,
+    LONG_SNIPPET_EVERY,
+    LONG_SNIPPET_LINES,
+    SNIPPETS,
     STREAMS,
     TEMPLATES,
 )
@@ -495,7 +498,11 @@ def _files() -> list[str]:
         """files AS (SELECT 'docs/' || doc_id || e AS path, e AS extension, text AS content FROM
              (SELECT *, (['.py', '.js', '.java', '.ts'])[doc_id % 4 + 1] AS e FROM documents)
              UNION ALL SELECT 'pages/' || page_id || e, e, html FROM
-             (SELECT *, CASE WHEN page_id % 2 = 0 THEN '.html' ELSE '.js' END AS e FROM pages))""",
+             (SELECT *, CASE WHEN page_id % 2 = 0 THEN '.html' ELSE '.js' END AS e FROM pages)
+             UNION ALL SELECT 'src/' || event_id || e, e, CASE WHEN event_id % """ + str(LONG_SNIPPET_EVERY) + """ = 0
+               THEN repeat(E'x = 1\\n', """ + str(LONG_SNIPPET_LINES) + """) ELSE replace(t, '{n}', event_id::VARCHAR) END FROM
+             (SELECT event_id, ([""" + ", ".join(q(e) for e, _ in SNIPPETS) + f"""])[event_id % {len(SNIPPETS)} + 1] AS e,
+                ([""" + ", ".join(q(t) for _, t in SNIPPETS) + f"""])[event_id % {len(SNIPPETS)} + 1] AS t FROM events))""",
         f"""pieces AS (SELECT *, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS kept FROM
              (SELECT *, string_split_regex(content, {breaks}) AS parts FROM files))""",
         "code_lines AS (SELECT path, extension, unnest(kept) AS text, unnest(range(1, len(kept) + 1)) AS line FROM pieces)",

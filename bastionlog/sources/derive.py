@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bastionlog.functions.columns import choose, literal, literal_array
 from bastionlog.sources.templates import (
     BURST_EVENTS,
     BURST_SECONDS,
     HOT_HOSTS,
     LINES_PER_SECOND,
+    LONG_SNIPPET_EVERY,
+    LONG_SNIPPET_LINES,
+    SNIPPETS,
     STREAMS,
     EXPECTED,
     TEMPLATES,
@@ -55,7 +59,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "u": user.cast("string"),
     }
     shape = (F.col("event_id") % len(TEMPLATES) + 1).cast("int")
-    message = F.element_at(F.array(*[F.lit(t) for t in TEMPLATES]), shape)
+    message = F.element_at(literal_array(TEMPLATES), shape)
     for name, value in fields.items():
         message = F.replace(message, F.lit("{" + name + "}"), value)
     return base.select(
@@ -68,12 +72,10 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def expected_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``line_index, label``: the threat each log line was written to show, or ``benign``."""
-    shape = F.col("event_id") % len(TEMPLATES)
-    label = F
-    for number, threat in EXPECTED.items():
-        label = label.when(shape == number, threat)
+    cases = [(number, literal(threat)) for number, threat in EXPECTED.items()]
+    label = choose(f"event_id % {len(TEMPLATES)}", cases, "'benign'")
     return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("line_index"), label.otherwise("benign").alias("label")
+        F.col("event_id").alias("line_index"), label.alias("label")
     )
 
 
@@ -93,7 +95,7 @@ def system_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``path, extension, content``: documents and pages seen as a corpus of source files."""
+    """``path, extension, content``: documents, pages and one snippet per event as a corpus of source files."""
     d, p = F.col("doc_id"), F.col("page_id")
     doc_ext = F.element_at(F.array(*[F.lit(x) for x in (".py", ".js", ".java", ".ts")]), (d % 4 + 1).cast("int"))
     page_ext = F.when(p % 2 == 0, ".html").otherwise(".js")
@@ -105,4 +107,13 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("pages/"), p.cast("string"), page_ext).alias("path"),
         page_ext.alias("extension"), F.col("html").alias("content"),
     )
-    return docs.unionByName(pages)
+    kind = (F.col("event_id") % len(SNIPPETS) + 1).cast("int")
+    number = F.col("event_id").cast("string")
+    extension = F.element_at(literal_array([e for e, _ in SNIPPETS]), kind)
+    short = F.replace(F.element_at(literal_array([t for _, t in SNIPPETS]), kind), F.lit("{n}"), number)
+    long = F.repeat(F.lit("x = 1\n"), LONG_SNIPPET_LINES)
+    code = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("src/"), number, extension).alias("path"), extension.alias("extension"),
+        F.when(F.col("event_id") % LONG_SNIPPET_EVERY == 0, long).otherwise(short).alias("content"),
+    )
+    return docs.unionByName(pages).unionByName(code)

@@ -135,3 +135,17 @@ EXPECTED: dict[int, str] = {
     64: "C2 Beacon / Command & Control",
     66: "Exploit Attempt",
 }
+
+# Source snippets for the code corpus, one per event in turn; ``{n}`` as above.
+SNIPPETS: list[tuple[str, str]] = [
+    (".py", "import os\n\ndef run(items=[]):\n    os.system('ls {n}')\n    # TODO tidy\n"),
+    (".py", "class Worker:\n    def go(self):\n        try:\n            pass\n        except:\n            pass\n"),
+    (".js", "if (a == b) { eval(code{n}) }\r\nconst token = 'abc{n}'\r\n"),
+    (".java", "int pick() { return new Random({n}).nextInt(); }\n// FIXME\n"),
+    (".ts", "// one\n// two\n// three\nconst n = {n}\n"),
+    (".html", "<a href=\"http://host{n}.example/\">x</a>\n<p>plain</p>"),
+    (".py", "# all\n# notes {n}\n"),
+    (".css", "body { color: red }\n"),
+]
+LONG_SNIPPET_LINES = 501
+LONG_SNIPPET_EVERY = 100
