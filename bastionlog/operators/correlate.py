@@ -12,27 +12,31 @@ KEY = ["stream_id", "source_ip", "threat_type"]
 # ---- fixed values: three hits in five minutes escalate -----------------------------------------------
 ESCALATION_SECONDS = 300
 ESCALATION_HITS = 3
-BUCKET_SECONDS = 3600
+BUCKET_SECONDS = 600
 
 
 def gap_sessions(hits: DataFrame, gap_seconds: int = DEDUP_WINDOW_SECONDS, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Runs of hits of a key without a longer gap: bounds, hit count, evidence and strongest line.
 
-    Runs are formed per (key, time bucket) first; only one row per run and bucket takes part in the
-    step that joins runs across buckets, so a key's rows never meet in one task.
+    Hits are counted per (key, instant), then runs are formed per (key, time bucket); only one row per
+    run and bucket takes part in the step that joins runs across buckets, so a key's rows never meet in
+    one task.
     """
     gap = gap_seconds * 1_000_000
     strongest = F.struct(F.col("jitter"), (-F.col("line_index")).alias("order"))
-    bucketed = hits.withColumn("bucket", F.floor(F.col("time_us") / (bucket_seconds * 1_000_000)))
-    inside = W.partitionBy(*KEY, "bucket").orderBy("time_us", "line_index")
+    instants = hits.groupBy(*KEY, "severity", "time_us").agg(
+        F.count("*").alias("n"), F.bool_or("direct").alias("direct"), F.max(strongest).alias("best")
+    )
+    bucketed = instants.withColumn("bucket", F.floor(F.col("time_us") / (bucket_seconds * 1_000_000)))
+    inside = W.partitionBy(*KEY, "bucket").orderBy("time_us")
     starts = (F.col("time_us") - F.lag("time_us").over(inside) > gap).cast("int")
     runs = (
         bucketed.withColumn("starts", F.coalesce(starts, F.lit(0)))
         .withColumn("run", F.sum("starts").over(inside.rowsBetween(W.unboundedPreceding, 0)))
         .groupBy(*KEY, "bucket", "run")
         .agg(
-            F.min("time_us").alias("first_us"), F.max("time_us").alias("last_us"), F.count("*").alias("hits"),
-            F.bool_or("direct").alias("any_direct"), F.max(strongest).alias("strongest"),
+            F.min("time_us").alias("first_us"), F.max("time_us").alias("last_us"), F.sum("n").alias("hits"),
+            F.bool_or("direct").alias("any_direct"), F.max("best").alias("strongest"),
             F.first("severity").alias("severity"),
         )
     )

@@ -24,20 +24,27 @@ def is_operational(lowered: Column, domain: Column) -> Column:
     return domain.isin("NETWORK_PERFORMANCE", "SERVICE_HEALTH") | by_words
 
 
-def with_peers(detections: DataFrame) -> DataFrame:
-    """Add ``peers``: other detections of the same type and address in the scope, counted then joined."""
+def with_peers(found: DataFrame) -> DataFrame:
+    """Add ``peers``: other rows of the same type and address in the scope, counted then joined.
+
+    Detections hold one row per key, so they have none; sessions can have many.
+    """
     key = ["stream_id", "source_ip", "threat_type"]
-    counts = detections.groupBy(*key).agg((F.count("*") - 1).alias("peers"))
-    return detections.join(counts, key)
+    counts = found.groupBy(*key).agg((F.count("*") - 1).alias("peers"))
+    return found.join(counts, key)
 
 
 def assess(detections: DataFrame) -> DataFrame:
-    """Every detection with its strict confidence, status and severity, and ``operational``."""
+    """Every detection with its strict confidence, status and severity, and ``operational``.
+
+    A ``peers`` column (see ``with_peers``) counts as support where there is one.
+    """
+    peers = F.col("peers") if "peers" in detections.columns else F.lit(0)
     lowered = F.lower("raw_message")
     severe = F.col("severity").isin("high", "critical")
     strict_type = F.col("threat_type").isin(*STRICT_EVIDENCE_TYPES)
     support = (
-        (F.col("peers") >= 1).cast("int")
+        (peers >= 1).cast("int")
         + contains_any(lowered, STRICT_BLOCK_WORDS).cast("int")
         + contains_any(lowered, STRICT_AUTH_WORDS).cast("int")
         + severe.cast("int")
@@ -55,8 +62,7 @@ def assess(detections: DataFrame) -> DataFrame:
     name = F.col("strict_status")
     technique = choose("threat_type", [(s.name, literal(s.mitre)) for s in SIGNATURES], literal(NOT_APPLICABLE))
     return (
-        with_peers(detections)
-        .withColumn("operational", is_operational(lowered, F.col("domain")))
+        detections.withColumn("operational", is_operational(lowered, F.col("domain")))
         .withColumn("strict_confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), boosted)))
         .withColumn("strict_status", status)
         .withColumn(
@@ -80,22 +86,24 @@ def findings(assessed: DataFrame) -> DataFrame:
 
 
 def summary(assessed: DataFrame) -> DataFrame:
-    """Counts per status, conditions and mean confirmed score, per scope.
-
-    Conditions and findings are counted side by side, so a scope without findings still shows.
-    """
-    found = findings(assessed).select("stream_id", "strict_status", "percent", F.lit(0).alias("condition"))
-    conditions = assessed.filter("operational").select(
-        "stream_id", F.lit(None).cast("string").alias("strict_status"), F.lit(None).cast("int").alias("percent"),
-        F.lit(1).alias("condition"),
+    """Counts per status, conditions and mean confirmed score, per scope, in one pass."""
+    keys = ["stream_id", "threat_type", "source_ip", "strict_status", "operational"]
+    status, operational = F.col("strict_status"), F.col("operational")
+    distinct = (
+        assessed.filter(operational | (status != "Informational"))
+        .groupBy(*keys)
+        .agg(F.min_by("percent", "line_index").alias("percent"), F.count("*").alias("n"))
     )
-    status = F.col("strict_status")
-    confirmed = status == "Confirmed"
-    return found.unionByName(conditions).groupBy("stream_id").agg(
-        F.count("strict_status").alias("total_findings"),
-        F.count_if(confirmed).alias("confirmed_threats"),
-        F.count_if(status == "Suspicious").alias("suspicious_threats"),
-        F.count_if(status == "Monitor").alias("monitor_items"),
-        F.sum("condition").alias("operational_conditions"),
+
+    def reported(name: str) -> Column:
+        return F.count_if(~operational & (status == name))
+
+    confirmed = ~operational & (status == "Confirmed")
+    return distinct.groupBy("stream_id").agg(
+        F.count_if(~operational).alias("total_findings"),
+        reported("Confirmed").alias("confirmed_threats"),
+        reported("Suspicious").alias("suspicious_threats"),
+        reported("Monitor").alias("monitor_items"),
+        F.sum(F.when(operational, F.col("n")).otherwise(0)).alias("operational_conditions"),
         F.coalesce(F.floor(F.avg(F.when(confirmed, F.col("percent")))), F.lit(0)).cast("int").alias("threat_score"),
     )

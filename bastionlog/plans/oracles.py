@@ -693,6 +693,8 @@ def oracles() -> dict[str, str]:
         "dedup_sessions": with_ctes(*sessions) + f"""SELECT stream_id, source_ip, threat_type, hits, any_direct, first_us, last_us,
             jitter::INTEGER AS jitter, line_index, {confidence('base', 'jitter', 'any_direct', 'hits >= 2')} / 1000 AS confidence
             FROM sessions""",
+        "session_peers": with_ctes(*sessions) + """SELECT stream_id, source_ip, threat_type, first_us,
+            count(*) OVER (PARTITION BY stream_id, source_ip, threat_type) - 1 AS peers FROM sessions""",
         "escalations": with_ctes(*detection) + """SELECT stream_id, source_ip, threat_type, time_us, recent,
             'CONFIRMED' AS threat_status FROM (SELECT DISTINCT stream_id, source_ip, threat_type, time_us,
               count(*) OVER (PARTITION BY stream_id, source_ip, threat_type ORDER BY time_us

@@ -21,7 +21,7 @@ from bastionlog.operators.signatures import conditions, explode_hits, line_flags
 from bastionlog.plans import dashboard, detect, scan
 from bastionlog.rules.line_classifier import SIMPLE_LINE_PATTERN
 from bastionlog.rules.signatures import CVE_MENTION_PATTERN
-from bastionlog.session import prepare
+from bastionlog.session import materialise, prepare
 from bastionlog.sources.derive import expected_threats, log_lines, source_files, spread, system_health, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,6 +266,12 @@ def dedup_sessions(spark, sf_dir):
     return sessions.withColumn("confidence", score / 1000).drop("severity")
 
 
+@query
+def session_peers(spark, sf_dir):
+    sessions = correlate.gap_sessions(detect.scored_hits(features(spark, sf_dir)))
+    return strict.with_peers(sessions).select("stream_id", "source_ip", "threat_type", "first_us", "peers")
+
+
 @query
 def escalations(spark, sf_dir):
     return correlate.escalations(detect.scored_hits(features(spark, sf_dir)))
@@ -328,14 +334,19 @@ def latest_alerts(spark, sf_dir):
     return al.latest(stored_alerts(spark, sf_dir)).select("id", "ts", "alert_type", "severity", "source_ip", "confidence")
 
 
+def alert_table(spark, sf_dir) -> DataFrame:
+    """Stored alerts as a written table, for queries that read it more than once."""
+    return materialise(stored_alerts(spark, sf_dir), "alerts")
+
+
 @query
 def attack_timeline(spark, sf_dir):
-    return al.timeline(al.since_last(stored_alerts(spark, sf_dir), 60))
+    return al.timeline(al.since_last(alert_table(spark, sf_dir), 60))
 
 
 @query
 def attack_timeline_threats(spark, sf_dir):
-    return al.timeline_entries(al.since_last(stored_alerts(spark, sf_dir), 60))
+    return al.timeline_entries(al.since_last(alert_table(spark, sf_dir), 60))
 
 
 DASHBOARD_COLUMNS = ["id", "ts", "alert_type", "severity", "description", "source_ip", "mitre_tactic", "domain",
@@ -514,19 +525,20 @@ def feature_vectors(spark, sf_dir):
 
 @query
 def standardised_vectors(spark, sf_dir):
-    scaled = anomaly.standardise(vectors(spark, sf_dir))
+    scaled = anomaly.standardise(materialise(vectors(spark, sf_dir), "vectors"))
     return scaled.select("line_index", *[F.round(c, 5).alias(c) for c in VECTOR_FIELDS])
 
 
 @query
 def anomaly_scores(spark, sf_dir):
-    return anomaly.anomaly_scores(anomaly.raw_scores(anomaly.standardise(vectors(spark, sf_dir))))
+    scaled = anomaly.standardise(materialise(vectors(spark, sf_dir), "vectors"))
+    return anomaly.anomaly_scores(materialise(anomaly.raw_scores(scaled), "scores"))
 
 
 @query
 def rf_threat_class(spark, sf_dir):
     labelled = vectors(spark, sf_dir).join(expected_threats(spark, sf_dir), "line_index")
-    return anomaly.classify_threats(labelled).drop("probabilities")
+    return anomaly.classify_threats(materialise(labelled, "labelled")).drop("probabilities")
 
 
 # ---- code corpus -----------------------------------------------------------------------------------------------------

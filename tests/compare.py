@@ -1,14 +1,17 @@
-"""Compare every query with its SQL counterpart: ``python tools_check.py [sf_dir] [name ...]``."""
+"""Compare every query with its SQL counterpart: ``python tests/compare.py [sf_dir] [name ...]``."""
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
 import duckdb
 
-from __spark_entry__ import oracle_sql, queries
-from bastionlog.session import build_session
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from __spark_entry__ import oracle_sql, queries  # noqa: E402
+from bastionlog.session import build_session  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
@@ -24,14 +27,20 @@ def rows_of(columns, rows):
     return sorted(columns), sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+def connect(sf_dir):
+    """DuckDB with the supplied tables as views."""
+    con = duckdb.connect()
+    for t in TABLES.split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    return con
+
+
 def main() -> int:
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
     spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
-    con = duckdb.connect()
-    for t in TABLES.split():
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    con = connect(sf_dir)
     oracle, bad = oracle_sql(), []
     for name, build in queries().items():
         if args and name not in args:
