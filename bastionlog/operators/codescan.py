@@ -19,11 +19,15 @@ from bastionlog.rules.code_rules import (
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
+def lines_of(content: str) -> Column:
+    """Lines of a text; a final line break opens no further line."""
+    parts = F.split(content, LINE_BREAK, -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def source_lines(files: DataFrame) -> DataFrame:
-    """One row per line, numbered from 1; a final line break opens no further line."""
-    parts = F.split("content", LINE_BREAK, -1)
-    lines = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return files.select("path", "extension", F.posexplode(lines).alias("position", "text")).select(
+    """One row per line, numbered from 1."""
+    return files.select("path", "extension", F.posexplode(lines_of("content")).alias("position", "text")).select(
         "path", "extension", (F.col("position") + 1).cast("bigint").alias("line"), "text"
     )
 
@@ -79,8 +83,7 @@ def issue_counts(files: DataFrame) -> DataFrame:
     kind = F.col("category")
     sizes = files.select(
         "path", F.lit(None).cast("string").alias("category"),
-        F.greatest(F.size(F.split("content", LINE_BREAK, -1)) - F.when(F.col("content").rlike(f"({LINE_BREAK})\\z"), 1).otherwise(0),
-                   F.lit(0)).cast("bigint").alias("lines"),
+        F.size(lines_of("content")).cast("bigint").alias("lines"),
     )
     issues = all_issues(files).select("path", "category", F.lit(0).cast("bigint").alias("lines"))
     return issues.unionByName(sizes).groupBy("path").agg(
