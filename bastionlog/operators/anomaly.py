@@ -77,14 +77,28 @@ def grow_tree(sample: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "left", "right", "depth"])
 
 
-def fit_forest(scaled: DataFrame, key: str) -> tuple[dict[int, np.ndarray], int]:
-    """Trees from samples picked by a hash of the key: the same rows whatever the partitioning.
+def pick_sample(scaled: DataFrame, key: str, wanted: int) -> DataFrame:
+    """The ``wanted`` rows with the smallest key hashes: the same rows whatever the partitioning.
 
-    Every task keeps only its own smallest hashes, and at most trees x sample rows are gathered.
+    A hash bound lets through about twice as many rows as needed, so the final ordering handles a
+    fixed number of rows and not a share of every task's input. Should the bound be too tight for an
+    odd table, all rows take part.
     """
-    picked = scaled.withColumn("place", F.xxhash64(F.col(key), F.lit(SEED))).orderBy("place", key).limit(TREES * SAMPLE_ROWS)
+    total = scaled.count()
+    hashed = scaled.withColumn("place", F.xxhash64(F.col(key), F.lit(SEED)))
+    share = 2 * wanted / max(total, 1)
+    if share < 1:
+        bound = int(-(2**63) + share * 2**64)
+        near = hashed.filter(F.col("place") < F.lit(bound))
+        hashed = near if near.count() >= wanted else hashed
+    return hashed.orderBy("place", key).limit(wanted)
+
+
+def fit_forest(scaled: DataFrame, key: str) -> tuple[dict[int, np.ndarray], int]:
+    """Trees, each grown in its own task on its share of a sample of trees x sample rows."""
     grown = (
-        picked.withColumn("tree", F.pmod(F.xxhash64("place"), F.lit(TREES)).cast("int"))
+        pick_sample(scaled, key, TREES * SAMPLE_ROWS)
+        .withColumn("tree", F.pmod(F.xxhash64("place"), F.lit(TREES)).cast("int"))
         .groupBy("tree").applyInPandas(grow_tree, TREE_DDL)
     )
     nodes = grown.toPandas()
@@ -92,7 +106,7 @@ def fit_forest(scaled: DataFrame, key: str) -> tuple[dict[int, np.ndarray], int]
         int(t): g.sort_values("node")[["feature", "threshold", "left", "right", "depth"]].to_numpy()
         for t, g in nodes.groupby("tree")
     }
-    rows = max(2, min(SAMPLE_ROWS, round(scaled.limit(TREES * SAMPLE_ROWS).count() / max(1, len(forest)))))
+    rows = max(2, min(SAMPLE_ROWS, round(scaled.count() / max(1, len(forest)))))
     return forest, rows
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bastionlog.functions.columns import UNKNOWN, first_filled, imatch
+from bastionlog.functions.columns import UNKNOWN, first_filled
+from bastionlog.functions.matching import rule_hits
 from bastionlog.operators.parse import event_time, field, normalised, parse_lines, timestamp_text
 from bastionlog.rules.signatures import OPERATIONAL_PATTERN
 
@@ -65,7 +66,7 @@ def extract_features(lines: DataFrame) -> DataFrame:
         normalised("format", F.col("line_format")).alias("format"),
         first_filled(field("message"), raw, default="").alias("message"),
         *[_metric(m).alias(m) for m in METRIC_FIELDS],
-        imatch(raw, OPERATIONAL_PATTERN).alias("has_operational"),
+        (F.size(rule_hits(raw, [OPERATIONAL_PATTERN])) > 0).alias("has_operational"),
         raw.alias("raw_message"),
     )
 

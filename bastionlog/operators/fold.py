@@ -13,7 +13,7 @@ both possible scores are folded side by side and the right one is picked last.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -127,13 +127,32 @@ def compose(first: list[Segment], second: list[Segment], window: int) -> list[Se
 
 
 class _Open:
-    """The key being read: its segments so far and its counts."""
+    """The key being read: its segments so far and its counts.
+
+    Nothing can precede the first chunk of a scope, so there only the first segment matters.
+    """
 
     def __init__(self, marker: tuple, first_line: int) -> None:
-        self.marker, self.key = marker, marker[:3]
+        self.marker, self.key, self.leading = marker, marker[:3], marker[3] == 0
         self.first_line, self.hits, self.direct = first_line, 0, False
         self.segments: dict[int, list[Segment]] = {0: [], 1: []}
 
+    def extend(self, mode: int, fresh: list[Segment], window: int, payload) -> None:
+        """Append a stretch; only segments that stay fetch their payload."""
+        old = self.segments[mode]
+        joined = compose(old, fresh, window) if old else fresh
+        self.segments[mode] = [s if isinstance(s.row, tuple) else s._replace(row=payload(s.row)) for s in joined]
+
+    def follow(self, mode: int, rows: Iterable[int], times: list[int], scores: list[int], window: int, payload) -> None:
+        """Apply the rule hit by hit: enough where nothing precedes, and cheapest for short groups."""
+        kept = self.segments[mode]
+        place, time, score = (kept[0].row, kept[0].time, kept[0].score) if kept else (None, 0, 0)
+        for i in rows:
+            if place is None or scores[i] > score or abs(times[i] - time) > window:
+                place, time, score = i, times[i], scores[i]
+        if not isinstance(place, tuple):
+            self.segments[mode] = [Segment(score, time, time, time, score, payload(place))]
+
     def rows(self) -> Iterator[tuple]:
         counted = (self.hits, self.direct)
         plain, direct = self.segments[0], self.segments[1]
@@ -164,33 +183,36 @@ def make_reducer(window_us: int, schema: pa.Schema):
             changed = np.zeros(batch.num_rows, dtype=bool)
             for name in ("stream_id", "source_ip", "rule_no", "chunk"):
                 changed[1:] |= pc.not_equal(col[name][1:], col[name][:-1]).to_numpy(zero_copy_only=False)
-            starts = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
-            lines = col["line_index"].to_numpy()
-            times = col["time_us"].to_numpy()
-            fit = col["eligible"].to_numpy(zero_copy_only=False)
-            direct = col["direct"].to_numpy(zero_copy_only=False)
+            starts = [0, *np.flatnonzero(changed).tolist()]
+            ends = [*starts[1:], batch.num_rows]
+            first = pa.array(starts)
+            markers = zip(*[col[name].take(first).to_pylist() for name in ("stream_id", "source_ip", "rule_no", "chunk")])
+            lines, times, jitter = (col[name].to_numpy() for name in ("line_index", "time_us", "jitter"))
+            fit, direct = (col[name].to_numpy(zero_copy_only=False) for name in ("eligible", "direct"))
             scores = {mode: col[name].to_numpy() for name, mode in MODES}
+            listed = {mode: values.tolist() for mode, values in scores.items()}
+            time_list, fit_list, direct_list = times.tolist(), fit.tolist(), direct.tolist()
             done: list[tuple] = []
 
             def payload(i: int) -> tuple:
-                return (int(lines[i]), int(times[i]), col["jitter"][i].as_py(), col["raw_message"][i].as_py())
+                return (int(lines[i]), int(times[i]), int(jitter[i]), col["raw_message"][i].as_py())
 
-            for a, b in zip(starts[:-1], starts[1:]):
-                marker = tuple(col[name][a].as_py() for name in ("stream_id", "source_ip", "rule_no", "chunk"))
+            for marker, a, b in zip(markers, starts, ends):
                 if open_key is None or open_key.marker != marker:
                     if open_key is not None:
                         done.extend(open_key.rows())
                     open_key = _Open(marker, int(lines[a]))
                 open_key.hits += b - a
-                open_key.direct = open_key.direct or bool(direct[a:b].any())
-                where = a + np.flatnonzero(fit[a:b])
-                if not len(where):
+                open_key.direct = open_key.direct or any(direct_list[a:b])
+                where = [i for i in range(a, b) if fit_list[i]]
+                if not where:
                     continue
                 for mode, values in scores.items():
-                    fresh = summarise(times[where], values[where], window_us, where.tolist())
-                    fresh = [s._replace(row=payload(s.row)) for s in fresh]
-                    old = open_key.segments[mode]
-                    open_key.segments[mode] = compose(old, fresh, window_us) if old else fresh
+                    if open_key.leading:
+                        open_key.follow(mode, where, time_list, listed[mode], window_us, payload)
+                    else:
+                        fresh = summarise(times[where], values[where], window_us, where)
+                        open_key.extend(mode, fresh, window_us, payload)
             if done:
                 yield _as_batch(done, schema)
         if open_key is not None:
@@ -259,7 +281,11 @@ def walk(segments: Column, score: str, top: str, window_us: int) -> Column:
 
 
 def keep_one(segments: DataFrame, window_seconds: int = DEDUP_WINDOW_SECONDS) -> DataFrame:
-    """One row per (scope, address, threat): hit count, evidence mark and the kept hit (null if none)."""
+    """One row per (scope, address, threat): hit count, evidence mark and the kept hit.
+
+    ``segment_count`` is zero where no hit was eligible; the kept hit is null there. Filtering by it
+    costs nothing, while a filter on the kept hit would make the optimiser walk the segments twice.
+    """
     window_us = window_seconds * 1_000_000
     fields = ["part", "number", "mode", "plain_top", "direct_top", "latest", "earliest", "plain_score",
               "direct_score", "line_index", "time_us", "jitter", "raw_message"]
@@ -269,6 +295,7 @@ def keep_one(segments: DataFrame, window_seconds: int = DEDUP_WINDOW_SECONDS) ->
         .agg(
             F.sum("hits").alias("hits"),
             F.bool_or("any_direct").alias("any_direct"),
+            F.count("line_index").alias("segment_count"),
             F.array_sort(F.collect_list(F.struct(*fields))).alias("segments"),
         )
     )
@@ -282,6 +309,6 @@ def keep_one(segments: DataFrame, window_seconds: int = DEDUP_WINDOW_SECONDS) ->
     return (
         grouped.withColumn("usable", usable)
         .withColumn("kept", kept)
-        .select("stream_id", "source_ip", "rule_no", "hits", "any_direct", "kept.*")
+        .select("stream_id", "source_ip", "rule_no", "hits", "any_direct", "segment_count", "kept.*")
         .drop("part", "score")
     )

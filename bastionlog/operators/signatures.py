@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bastionlog.functions.columns import imatch
-from bastionlog.functions.matching import is_direct, pick_rule, rule_of, signature_codes
+from bastionlog.functions.matching import is_direct, pick_rule, rule_hits, rule_of, signature_codes
 from bastionlog.rules.narratives import NETWORK_CONDITION_NOTE, SERVICE_CONDITION_NOTE
 from bastionlog.rules.signatures import (
     ACTIVE_EXPLOIT_PATTERN,
@@ -57,15 +57,16 @@ def explode_hits(matched: DataFrame, signatures: Sequence[Signature] = SIGNATURE
 
 def line_flags(matched: DataFrame) -> DataFrame:
     """Operational-only, malicious-context and passive-vulnerability marks per line."""
-    text, codes = F.col("raw_message"), F.col("codes")
+    patterns = [OPERATIONAL_PATTERN, MALICIOUS_CONTEXT_PATTERN, PASSIVE_VULNERABILITY_PATTERN, ACTIVE_EXPLOIT_PATTERN]
+    operational, malicious, passive, active = (F.array_contains("marks", i) for i in range(len(patterns)))
     exploit = next(i for i, s in enumerate(SIGNATURES) if s.name == EXPLOIT_THREAT)
-    other_hits = F.exists(codes, lambda c: rule_of(c) != exploit)
-    return matched.select(
+    other_hits = F.exists("codes", lambda c: rule_of(c) != exploit)
+    marked = matched.withColumn("marks", rule_hits(F.col("raw_message"), patterns))
+    return marked.select(
         *matched.columns,
-        (imatch(text, OPERATIONAL_PATTERN) & (F.size(codes) == 0)).alias("operational_only"),
-        imatch(text, MALICIOUS_CONTEXT_PATTERN).alias("malicious_context"),
-        (imatch(text, PASSIVE_VULNERABILITY_PATTERN) & ~imatch(text, ACTIVE_EXPLOIT_PATTERN) & ~other_hits)
-        .alias("passive_vulnerability_only"),
+        (operational & (F.size("codes") == 0)).alias("operational_only"),
+        malicious.alias("malicious_context"),
+        (passive & ~active & ~other_hits).alias("passive_vulnerability_only"),
     )
 
 

@@ -86,7 +86,7 @@ def kept_hits(features: DataFrame, signatures: Sequence[Signature] = SIGNATURES)
         "stream_id", "source_ip", "rule_no", "line_index", "time_us", "jitter", "direct", "eligible",
         "plain_score", "direct_score", "raw_message",
     )
-    kept = keep_one(reduce_hits(hits)).filter(F.col("line_index").isNotNull())
+    kept = keep_one(reduce_hits(hits)).filter("segment_count > 0")
     rule = F.col("rule_no")
     return (
         kept.withColumn("threat_type", pick_rule(rule, [s.name for s in signatures]))

@@ -253,7 +253,7 @@ def confidence_jitter(spark, sf_dir):
 @query
 def dedup_fold(spark, sf_dir):
     hits = detect.scored_hits(features(spark, sf_dir))
-    kept = keep_one(reduce_hits(hits)).filter(F.col("line_index").isNotNull())
+    kept = keep_one(reduce_hits(hits)).filter("segment_count > 0")
     return kept.select("stream_id", "source_ip", "rule_no", "hits", "any_direct", "line_index", "jitter")
 
 

@@ -67,7 +67,7 @@ HITS_DDL = ("stream_id bigint, source_ip string, rule_no int, line_index bigint,
             "eligible boolean, plain_score int, direct_score int, raw_message string")
 
 
-@pytest.mark.parametrize("chunk_lines", [16, 1 << 22])
+@pytest.mark.parametrize("chunk_lines", [16, 700, 1 << 22])
 def test_fold_over_chunks_and_batches(spark, chunk_lines):
     rng = random.Random(3)
     rows, line = [], 0
