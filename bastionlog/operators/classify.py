@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bastionlog.functions.columns import literal
+from bastionlog.functions.columns import dimension, literal
 from bastionlog.functions.matching import rule_hits
 from bastionlog.rules.line_classifier import COARSE_INDICATORS, LABELS, TOKEN_PATTERN, TRAINING_LINES
 
@@ -41,7 +41,7 @@ class Model(NamedTuple):
 
 
 def built_in_examples(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TRAINING_LINES, "text string, label string")
+    return dimension(spark, TRAINING_LINES, ["text", "label"])
 
 
 def train(examples: DataFrame) -> Model:

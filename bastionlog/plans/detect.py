@@ -59,11 +59,19 @@ def scored_hits(features: DataFrame, signatures: Sequence[Signature] = SIGNATURE
     spread = jitter(F.col("raw_message"), F.col("threat_type"), F.col("line_index"))
     return (
         resolved_hits(features, signatures)
-        .withColumn("jitter", spread)
-        .withColumn("time_us", F.unix_micros(F.col("event_ts").cast("timestamp")))
-        .withColumn("eligible", F.col("direct") | ~F.col("threat_type").isin(*DIRECT_EVIDENCE_REQUIRED))
-        .withColumn("plain_score", confidence_thousandths(base, F.col("jitter"), F.lit(False), F.lit(True)))
-        .withColumn("direct_score", confidence_thousandths(base, F.col("jitter"), F.lit(True), F.lit(True)))
+        .withColumns(
+            {
+                "jitter": spread,
+                "time_us": F.unix_micros(F.col("event_ts").cast("timestamp")),
+                "eligible": F.col("direct") | ~F.col("threat_type").isin(*DIRECT_EVIDENCE_REQUIRED),
+            }
+        )
+        .withColumns(
+            {
+                "plain_score": confidence_thousandths(base, F.col("jitter"), F.lit(False), F.lit(True)),
+                "direct_score": confidence_thousandths(base, F.col("jitter"), F.lit(True), F.lit(True)),
+            }
+        )
     )
 
 
@@ -89,10 +97,14 @@ def kept_hits(features: DataFrame, signatures: Sequence[Signature] = SIGNATURES)
     kept = keep_one(reduce_hits(hits)).filter("segment_count > 0")
     rule = F.col("rule_no")
     return (
-        kept.withColumn("threat_type", pick_rule(rule, [s.name for s in signatures]))
-        .withColumn("severity", pick_rule(rule, [s.severity for s in signatures]))
-        .withColumn("category", pick_rule(rule, [s.category for s in signatures]))
-        .withColumn("mitre", pick_rule(rule, [s.mitre for s in signatures]))
+        kept.withColumns(
+            {
+                "threat_type": pick_rule(rule, [s.name for s in signatures]),
+                "severity": pick_rule(rule, [s.severity for s in signatures]),
+                "category": pick_rule(rule, [s.category for s in signatures]),
+                "mitre": pick_rule(rule, [s.mitre for s in signatures]),
+            }
+        )
         .withColumn(
             "thousandths",
             confidence_thousandths(severity_base("severity"), F.col("jitter"), F.col("any_direct"), F.col("hits") >= 2),

@@ -46,18 +46,21 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_features(log_lines(spark, sf_dir))
 
 
-def found_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conditions(line_flags(match_lines(features(spark, sf_dir))))
+def found_conditions(rows: DataFrame) -> DataFrame:
+    """Conditions of a feature table."""
+    return conditions(line_flags(match_lines(rows)))
 
 
 def stored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection and condition alerts; some carry the empty status or technique of older records."""
-    rows = al.alert_rows(detect.detect(features(spark, sf_dir))).unionByName(
-        al.condition_alerts(found_conditions(spark, sf_dir))
-    )
+    parsed = features(spark, sf_dir)
+    rows = al.alert_rows(detect.detect(parsed)).unionByName(al.condition_alerts(found_conditions(parsed)))
     number = F.col("id")
-    return rows.withColumn("threat_status", F.when(number % 5 != 0, F.col("threat_status"))).withColumn(
-        "mitre_tactic", F.when(number % 15 == 0, "").when(number % 10 != 0, F.col("mitre_tactic"))
+    return rows.withColumns(
+        {
+            "threat_status": F.when(number % 5 != 0, F.col("threat_status")),
+            "mitre_tactic": F.when(number % 15 == 0, "").when(number % 10 != 0, F.col("mitre_tactic")),
+        }
     )
 
 
@@ -218,7 +221,7 @@ def passive_vuln_flag(spark, sf_dir):
 
 @query
 def network_conditions(spark, sf_dir):
-    return found_conditions(spark, sf_dir)
+    return found_conditions(features(spark, sf_dir))
 
 
 @query
@@ -375,7 +378,8 @@ def predictive_risk(spark, sf_dir):
 
 @query
 def scan_split(spark, sf_dir):
-    return scan.split_findings(detect.detect(features(spark, sf_dir)), found_conditions(spark, sf_dir))
+    parsed = features(spark, sf_dir)
+    return scan.split_findings(detect.detect(parsed), found_conditions(parsed))
 
 
 @query
