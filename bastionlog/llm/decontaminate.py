@@ -17,7 +17,6 @@ still hit. Repeated documents and null doc_ids each give a row. Other columns ar
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -157,24 +156,23 @@ def scan_column(text: Column, wanted, shard_bytes: int) -> Column:
     return found(text)
 
 
-@F.pandas_udf("array<struct<start:long,end:long>>")
-def united(spans: pd.Series) -> pd.Series:
+def united(spans: Column) -> Column:
     """Overlapping or touching spans as one."""
-    out = []
-    for found in spans:
-        kept: list[list[int]] = []
-        for b, e in sorted((s["start"], s["end"]) for s in found):
-            if kept and b <= kept[-1][1]:
-                kept[-1][1] = max(kept[-1][1], e)
-            else:
-                kept.append([b, e])
-        out.append([(b, e) for b, e in kept])
-    return pd.Series(out)
 
+    @F.pandas_udf("array<struct<start:long,end:long>>")
+    def merged(lists: pd.Series) -> pd.Series:
+        out = []
+        for found in lists:
+            kept: list[list[int]] = []
+            for b, e in sorted((s["start"], s["end"]) for s in found):
+                if kept and b <= kept[-1][1]:
+                    kept[-1][1] = max(kept[-1][1], e)
+                else:
+                    kept.append([b, e])
+            out.append([(b, e) for b, e in kept])
+        return pd.Series(out, dtype=object)
 
-@F.pandas_udf("string")
-def digest_of_names(names: pd.Series) -> pd.Series:
-    return pd.Series([hashlib.sha256(",".join(sorted(set(n))).encode()).hexdigest() for n in names])
+    return merged(spans)
 
 
 def matches(docs: DataFrame, items: DataFrame, text: str, window: int, shard_bytes: int, block_bytes: int) -> DataFrame:
@@ -228,7 +226,7 @@ def contamination(
         n_words.alias("n_words"),
         n_hit.alias("n_hit"),
         F.size("_match.items").cast("long").alias("n_items"),
-        digest_of_names("_match.items").alias("items_sha256"),
+        F.sha2(F.array_join(F.array_sort("_match.items"), ","), 256).alias("items_sha256"),
         is_contaminated(n_hit, n_words).alias("contaminated"),
         F.coalesce(F.array_max(F.transform("_match.spans", lambda s: s["end"] - s["start"])), F.lit(0)).alias("longest_span"),
         F.col("_match.spans").alias("spans"),
