@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bastionlog.llm import bpe, decontaminate, quality
+from bastionlog.llm import bpe, chat, decontaminate, quality, secrets, simhash, toxicity
 from bastionlog.llm.tables import table
+from bastionlog.session import materialise
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +20,19 @@ def query(f):
     return f
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, decoded again."""
@@ -26,6 +40,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+@query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, by a ledger that begins empty."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return secrets.secret_findings(docs, materialise(secrets.scan_unseen(docs), "secret-ledger"))
+
+
 @query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
@@ -33,6 +54,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+@query
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, formatted and read back, and one whose texts hold control strings."""
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return chat.conversation_digests(chat.segments(rows.unionByName(chat.probe(spark))))
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words of every document."""
