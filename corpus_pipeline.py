@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bastionlog.llm import bpe, decontaminate, quality
+from bastionlog.llm import bpe, decontaminate, quality, secrets, simhash
 from bastionlog.llm.queries import VOCABULARY
 from bastionlog.llm.tables import table
 from bastionlog.session import materialise
@@ -16,11 +16,21 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.keep_good(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, that with the smallest id."""
+    return simhash.keep_first(docs)
+
+
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents contaminated by the benchmark."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes secrets out of the texts; every document stays."""
+    return secrets.redact_secrets(docs, materialise(secrets.scan_unseen(docs.select("text")), "secret-ledger"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of what is left, by their digests."""
     return bpe.token_digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
@@ -28,7 +38,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality", good_documents),
+    ("near-duplicates", first_copies),
     ("decontamination", clean_documents),
+    ("secrets", without_secrets),
     ("tokens", tokens),
 ]
 
