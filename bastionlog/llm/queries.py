@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bastionlog.llm import bpe, chat, decontaminate, quality, secrets, simhash, toxicity
+from bastionlog.llm import bpe, chat, decontaminate, quality, secrets, simhash, substrings, toxicity
 from bastionlog.llm.tables import table
 from bastionlog.session import materialise
 
@@ -61,6 +61,12 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.segments(rows.unionByName(chat.probe(spark))))
 
 
+@query
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without passages that stand earlier."""
+    return substrings.without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words of every document."""
