@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bastionlog.llm import bpe, chat, decontaminate, quality, secrets, simhash, substrings, toxicity
+from bastionlog.llm import bpe, chat, decontaminate, neighbours, quality, secrets, simhash, substrings, toxicity, warc
 from bastionlog.llm.tables import table
 from bastionlog.session import materialise
 
@@ -20,6 +21,12 @@ def query(f):
     return f
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, archived and read back."""
+    return warc.archived(spark, table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
@@ -27,6 +34,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+@query
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest of every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
