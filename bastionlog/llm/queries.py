@@ -24,7 +24,7 @@ def query(f):
 @query
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, archived and read back."""
-    return warc.archived(spark, table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return warc.archived(spark, table(spark, sf_dir, "pages", "page_id", "url", "html")).drop("url")
 
 
 @query
@@ -85,4 +85,4 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words of every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).drop("longest_span", "spans")
