@@ -17,10 +17,14 @@ def _lowest(links: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is hung on the node's smallest neighbour."""
+def _large_star(links: DataFrame, name: str) -> DataFrame:
+    """Every larger neighbour of a node is hung on the node's smallest neighbour.
+
+    The minima are written first, so that both sides of the join come straight from a shuffle: only then
+    does the planner split the rows of a node that has a large share of all links.
+    """
     both = _mirrored(links)
-    return both.join(_lowest(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(materialise(_lowest(both), name), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -40,7 +44,7 @@ def components(links: DataFrame, name: str) -> DataFrame:
     now = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, before = materialise(now, name), None
     while True:
-        stars = _small_star(_large_star(now)).filter("u <> v").distinct()
+        stars = _small_star(_large_star(now, name)).filter("u <> v").distinct()
         now = materialise(stars, name)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:

@@ -54,11 +54,17 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def secret_table(docs: DataFrame) -> DataFrame:
+    """Findings by blob of ``docs`` (text), written to the shared folder, as is the ledger."""
+    ledger = materialise(secrets.scan_unseen(docs.select("text")), "secret-ledger")
+    return materialise(secrets.findings_by_blob(ledger), "secret-findings")
+
+
 @query
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, by a ledger that begins empty."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return secrets.secret_findings(docs, materialise(secrets.scan_unseen(docs), "secret-ledger"))
+    return secrets.secret_findings(docs, secret_table(docs))
 
 
 @query

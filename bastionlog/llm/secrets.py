@@ -136,8 +136,11 @@ def rendered(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def secret_findings(docs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text) what the ledger holds: counts, digest of base spans, all spans."""
+def secret_findings(docs: DataFrame, findings: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text) what ``findings`` by blob hold: counts, digest of base spans, all spans.
+
+    With findings from a written table the planner can split a blob that many paths hold.
+    """
     paths = docs.select("doc_id", blob_of(F.col("text")).alias("blob"))
     spans = F.coalesce(F.col("spans"), F.array().cast(SPANS))
     base = F.filter(spans, lambda s: s["ord"] < len(BASE_RULES))
@@ -145,7 +148,7 @@ def secret_findings(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return paths.join(findings_by_blob(ledger), "blob", "left").select(
+    return paths.join(findings, "blob", "left").select(
         "doc_id",
         *(count(rule.kind) for rule in BASE_RULES),
         F.sha2(rendered(base), 256).alias("base_sha256"),
@@ -166,12 +169,12 @@ def redacted(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return text
 
 
-def redact_secrets(docs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """``docs`` with the secrets of all rows that the ledger has findings for taken out of the text.
+def redact_secrets(docs: DataFrame, findings: DataFrame) -> DataFrame:
+    """``docs`` with the secrets of all rows that ``findings`` by blob has spans for taken out of the text.
 
     All rows and columns stay; n_chars, where it is a column, follows the text.
     """
-    found = findings_by_blob(ledger).select(F.col("blob").alias("_found_blob"))
+    found = findings.select(F.col("blob").alias("_found_blob"))
     marked = docs.withColumn("_blob", blob_of(docs["text"]))
     hit = F.col("_found_blob").isNotNull()
     clean = marked.join(found, marked["_blob"] == found["_found_blob"], "left").withColumn(

@@ -32,7 +32,7 @@ from bastionlog.llm.labelled import held_out, training_rows
 from bastionlog.llm.logistic import Logistic
 
 FOLDS, HELD_OUT_FOLD, CUT = 4, 2, 0.3
-PER_CLASS = 5000
+PER_CLASS = 3000
 MOST_CHARS = 30_000
 LEAST_TEXTS = 4
 LEAST_SHARE = 0.01
@@ -180,42 +180,41 @@ def figures(text: str | None, seen: Seen) -> tuple[float, ...]:
     return (*(min(c, 3.0) for c in counts), float(hits > 0), math.log1p(1000 * hits / (len(tokens) + 20)))
 
 
+def terms_of(token: str) -> list[str]:
+    """A word and its beginnings; a star marks a beginning."""
+    return [token, *(token[:n] + "*" for n in STEM_LETTERS if len(token) > n)] if token else []
+
+
 def learn_lexicon(rows: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
     """Words and stems by how many toxic and other texts hold them. A term stands between different
     neighbours in a hundredth as many places as there are toxic texts, so that a group of copies, where
     a rare word always has the same neighbours, does not make it a term; and for each other text that holds
-    it, four in a hundred more of the toxic ones do."""
-    seen = {0: Counter(), 1: Counter()}
-    places: dict[object, set[int]] = defaultdict(set)
+    it, four in a hundred more of the toxic ones do. Only what passes one test is counted for the next."""
+    toxic, other = [t for t, y in rows if y], [t for t, y in rows if not y]
+    least = max(LEAST_TEXTS, LEAST_SHARE * len(toxic))
+    held: Counter = Counter()
+    for text in toxic:
+        held.update({term for token in set(text.split()) for term in terms_of(plain(token))})
+    held = {term: n for term, n in held.items() if n >= max(LEAST_TEXTS, SHARE_PER_OTHER / 2 * len(toxic))}
+    elsewhere: Counter = Counter()
+    for text in other:
+        elsewhere.update({term for token in set(text.split()) for term in terms_of(plain(token)) if term in held})
+    held = {t: n for t, n in held.items() if n >= SHARE_PER_OTHER * (elsewhere[t] + 0.5) * len(toxic)}
+    places: dict[str, set[int]] = defaultdict(set)
     endings: dict[str, set[str]] = defaultdict(set)
-    for text, toxic in rows:
+    for text in toxic:
         tokens = [plain(t) for t in text.split()]
-        words = set(tokens) - {""}
-        seen[toxic].update(words | {(w[:n],) for w in words for n in STEM_LETTERS if len(w) > n})
-        if toxic:
-            for before, word, after in zip(["", *tokens], tokens, [*tokens[1:], ""], strict=False):
-                if word:
-                    place = hash((before, after))
-                    places[word].add(place)
-                    for n in STEM_LETTERS:
-                        if len(word) > n:
-                            places[(word[:n],)].add(place)
-                            endings[word[:n]].add(word)
-    texts = Counter(y for _, y in rows)
-
-    def telling(term) -> bool:
-        return (
-            len(places[term]) >= max(LEAST_TEXTS, LEAST_SHARE * texts[1])
-            and seen[1][term] >= LEAST_TEXTS
-            and seen[1][term] >= SHARE_PER_OTHER * (seen[0][term] + 0.5) * texts[1]
-        )
-
+        for before, word, after in zip(["", *tokens], tokens, [*tokens[1:], ""], strict=False):
+            for term in terms_of(word):
+                if term in held:
+                    places[term].add(hash((before, after)))
+                    endings[term].add(word)
+    telling = sorted((t for t in held if len(places[t]) >= least), key=lambda t: (len(t), t))
     stems: list[str] = []
-    for stem in sorted((s for s, w in endings.items() if len(w) >= STEM_WORDS and telling((s,))), key=lambda s: (len(s), s)):
+    for stem in (t[:-1] for t in telling if t.endswith("*") and len(endings[t]) >= STEM_WORDS):
         if not any(stem.startswith(s) for s in stems):
             stems.append(stem)
-    words = sorted(w for w in seen[1] if isinstance(w, str) and telling(w) and not any(w.startswith(s) for s in stems))
-    return words, stems
+    return sorted(t for t in telling if not t.endswith("*") and not any(t.startswith(s) for s in stems)), stems
 
 
 @dataclass
