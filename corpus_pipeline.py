@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from bastionlog.llm import bpe, decontaminate, quality, secrets, simhash
-from bastionlog.llm.queries import VOCABULARY
+from bastionlog.llm.queries import VOCABULARY, secret_table
 from bastionlog.llm.tables import table
 from bastionlog.session import materialise
 
@@ -28,7 +28,7 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes secrets out of the texts; every document stays."""
-    return secrets.redact_secrets(docs, materialise(secrets.scan_unseen(docs.select("text")), "secret-ledger"))
+    return secrets.redact_secrets(docs, secret_table(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
