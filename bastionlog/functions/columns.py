@@ -59,8 +59,6 @@ def choose(column: str, cases: Iterable[tuple[object, str]], default: str = "NUL
 
 
 def dimension(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
-    """A rule table as a local relation; its size is the size of the catalogue, so it may be broadcast."""
-    if len(rows) > 10_000:
-        raise ValueError("rule tables are broadcast; keep large reference data in a real table")
+    """A rule table as a local relation; how it is joined is left to the planner, by its size."""
     body = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")

@@ -30,6 +30,32 @@ def any_literal(words: Sequence[str]) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
+#: What a blank is in the rules' own dialect: the linear engine's class lacks the vertical tab, the
+#: separators 0x1C to 0x1F, the next-line mark and the Unicode blanks.
+BLANKS = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
+
+
+def for_linear_engine(pattern: str) -> str:
+    """A rule for the linear engine: all blanks, and an end that a last line break may follow."""
+    out, in_class, at = [], False, 0
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        if two == r"\s":
+            out.append(BLANKS if in_class else f"[{BLANKS}]")
+        elif two == r"\S" and not in_class:
+            out.append(f"[^{BLANKS}]")
+        elif two.startswith("\\"):
+            out.append(two)
+        else:
+            one = pattern[at]
+            in_class = one == "[" or (in_class and one != "]")
+            out.append(r"(?:\n?\z)" if one == "$" and not in_class else one)
+            at += 1
+            continue
+        at += 2
+    return "".join(out)
+
+
 def code_matcher(
     patterns: Sequence[str], refined: Sequence[str | None] | None = None, ignore_case: bool = True
 ) -> Callable[[Column], Column]:
@@ -38,7 +64,8 @@ def code_matcher(
     The code of rule ``i`` is ``2 * i``, plus one when its refining pattern hits the text as well.
     It counts as non-deterministic only so that the optimiser evaluates it once per line.
     """
-    refined = list(refined or [None] * len(patterns))
+    patterns = [for_linear_engine(p) for p in patterns]
+    refined = [for_linear_engine(p) if p else None for p in refined or [None] * len(patterns)]
     combined = "|".join(f"(?:{p})" for p in patterns)
 
     def codes(texts: pa.Array) -> pa.Array:

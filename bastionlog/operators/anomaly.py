@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -55,7 +56,7 @@ def expected_depth(n: float) -> float:
 def grow_tree(sample: pd.DataFrame) -> pd.DataFrame:
     """Nodes of one tree grown on its sample."""
     tree = int(sample["tree"].iloc[0])
-    data = sample.sort_values("place")[VECTOR_FIELDS].to_numpy()
+    data = sample.sort_values("place").head(SAMPLE_ROWS)[VECTOR_FIELDS].to_numpy()
     rng = np.random.default_rng([SEED, tree])
     limit = int(np.ceil(np.log2(max(len(data), 2))))
     nodes: list[list] = []
@@ -77,37 +78,35 @@ def grow_tree(sample: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "left", "right", "depth"])
 
 
-def pick_sample(scaled: DataFrame, key: str, wanted: int) -> DataFrame:
-    """The ``wanted`` rows with the smallest key hashes: the same rows whatever the partitioning.
+def draw_samples(scaled: DataFrame, key: str) -> DataFrame:
+    """Rows for each tree, drawn for it alone: those whose hash of (key, tree) lies under a bound.
 
-    A hash bound lets through about twice as many rows as needed, so the final ordering handles a
-    fixed number of rows and not a share of every task's input. Should the bound be too tight for an
-    odd table, all rows take part.
+    The bound lets through half as many again as a tree takes, whatever the table's size; the tree then
+    takes the smallest hashes. The draw does not depend on the partitioning, and trees x sample rows bound it.
     """
-    total = scaled.count()
-    hashed = scaled.withColumn("place", F.xxhash64(F.col(key), F.lit(SEED)))
-    share = 2 * wanted / max(total, 1)
-    if share < 1:
-        bound = int(-(2**63) + share * 2**64)
-        near = hashed.filter(F.col("place") < F.lit(bound))
-        hashed = near if near.count() >= wanted else hashed
-    return hashed.orderBy("place", key).limit(wanted)
-
-
-def fit_forest(scaled: DataFrame, key: str) -> tuple[dict[int, np.ndarray], int]:
-    """Trees, each grown in its own task on its share of a sample of trees x sample rows."""
-    grown = (
-        pick_sample(scaled, key, TREES * SAMPLE_ROWS)
-        .withColumn("tree", F.pmod(F.xxhash64("place"), F.lit(TREES)).cast("int"))
-        .groupBy("tree").applyInPandas(grow_tree, TREE_DDL)
+    rows = scaled.count()
+    bound = min(2**63 - 1, int(-(2**63) + min(1.0, 1.5 * SAMPLE_ROWS / max(rows, 1)) * 2**64))
+    chosen = F.filter(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(TREES - 1)),
+            lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col(key), t + F.lit(SEED)).alias("place")),
+        ),
+        lambda s: s["place"] <= F.lit(bound),
     )
-    nodes = grown.toPandas()
-    forest = {
-        int(t): g.sort_values("node")[["feature", "threshold", "left", "right", "depth"]].to_numpy()
-        for t, g in nodes.groupby("tree")
-    }
-    rows = max(2, min(SAMPLE_ROWS, round(scaled.count() / max(1, len(forest)))))
-    return forest, rows
+    return scaled.select(*VECTOR_FIELDS, F.inline(chosen))
+
+
+def fit_forest(scaled: DataFrame, key: str) -> DataFrame:
+    """The forest as a table of nodes, each tree grown in its own task on its sample."""
+    return draw_samples(scaled, key).groupBy("tree").applyInPandas(grow_tree, TREE_DDL)
+
+
+def read_forest(nodes: DataFrame) -> list[np.ndarray]:
+    """Trees as arrays; the root's depth is the mean path length of the tree's sample."""
+    return [
+        g.sort_values("node")[["feature", "threshold", "left", "right", "depth"]].to_numpy()
+        for _, g in nodes.toPandas().groupby("tree")
+    ]
 
 
 def path_lengths(data: np.ndarray, tree: np.ndarray) -> np.ndarray:
@@ -122,21 +121,25 @@ def path_lengths(data: np.ndarray, tree: np.ndarray) -> np.ndarray:
         at = np.where(inner, np.where(below, tree[at, 2], tree[at, 3]).astype(np.int64), at)
 
 
-def raw_scores(scaled: DataFrame) -> DataFrame:
-    """Add ``raw_score`` in (0, 1): higher is more unusual. Rounded so that ties are exact."""
-    forest, rows = fit_forest(scaled, "line_index")
-    shared = scaled.sparkSession.sparkContext.broadcast(forest)
-    norm = expected_depth(rows)
+def raw_scores(scaled: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Add ``raw_score`` in (0, 1) by a fitted forest: higher is more unusual. Rounded so that ties are exact."""
+    shared = scaled.sparkSession.sparkContext.broadcast(read_forest(nodes))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             data = batch[VECTOR_FIELDS].to_numpy()
-            mean = np.mean([path_lengths(data, t) for t in shared.value.values()], axis=0)
-            yield batch[["line_index"]].assign(raw_score=np.round(2.0 ** (-mean / norm), 6))
+            share = [path_lengths(data, t) / max(t[0, 4], 1.0) for t in shared.value]
+            yield batch[["line_index"]].assign(raw_score=np.round(2.0 ** -np.mean(share, axis=0), 6))
 
     return scaled.select("line_index", *VECTOR_FIELDS).mapInPandas(score, "line_index bigint, raw_score double")
 
 
+def unusual_by_deviation(scaled: DataFrame) -> DataFrame:
+    """The plain twin of the forest: the largest absolute deviation of a line's standardised values."""
+    far = F.round(F.greatest(*[F.abs(c) for c in VECTOR_FIELDS]), 4)
+    return scaled.select("line_index", far.alias("deviation"), (far > 3).cast("int").alias("is_anomaly"))
+
+
 def anomaly_scores(scores: DataFrame) -> DataFrame:
     """``anomaly_score`` scaled to 0..1 over the table and ``is_anomaly`` for the most unusual 5 percent.
 
@@ -153,17 +156,22 @@ def anomaly_scores(scores: DataFrame) -> DataFrame:
     )
 
 
-def classify_threats(labelled: DataFrame, trees: int = TREES) -> DataFrame:
-    """Random forest on ``label``: predicted label, its probability and the whole probability row."""
-    assembler = VectorAssembler(inputCols=VECTOR_FIELDS, outputCol="vector")
-    indexer = StringIndexer(inputCol="label", outputCol="label_no", stringOrderType="alphabetAsc").fit(labelled)
-    vectors = assembler.transform(indexer.transform(labelled))
-    model = RandomForestClassifier(
-        labelCol="label_no", featuresCol="vector", numTrees=trees, seed=SEED, maxDepth=5
-    ).fit(vectors)
-    names = F.array(*[F.lit(n) for n in indexer.labels])
+def fit_threat_classifier(labelled: DataFrame, trees: int = TREES) -> PipelineModel:
+    """Random forest on ``label``, to be used on any vectors."""
+    return Pipeline(stages=[
+        StringIndexer(inputCol="label", outputCol="label_no", stringOrderType="alphabetAsc"),
+        VectorAssembler(inputCols=VECTOR_FIELDS, outputCol="vector"),
+        RandomForestClassifier(labelCol="label_no", featuresCol="vector", numTrees=trees, seed=SEED, maxDepth=5),
+    ]).fit(labelled)
+
+
+def classify_threats(vectors: DataFrame, model: PipelineModel) -> DataFrame:
+    """Predicted label, its probability and the whole probability row of every line of ``vectors``."""
+    names = F.array(*[F.lit(n) for n in model.stages[0].labels])
+    assembled = model.stages[2].transform(model.stages[1].transform(vectors))
     full = vector_to_array("probability")
-    return model.transform(vectors).select(
-        "line_index", "label", F.element_at(names, F.col("prediction").cast("int") + 1).alias("prediction"),
+    return assembled.select(
+        "line_index", *[c for c in ["label"] if c in vectors.columns],
+        F.element_at(names, F.col("prediction").cast("int") + 1).alias("prediction"),
         F.array_max(full).alias("probability"), full.alias("probabilities"),
     )

@@ -12,7 +12,8 @@ from bastionlog.functions.columns import dimension, literal
 from bastionlog.functions.matching import rule_hits
 from bastionlog.rules.line_classifier import COARSE_INDICATORS, LABELS, TOKEN_PATTERN, TRAINING_LINES
 
-MAX_INLINE_TOKENS = 20_000
+#: Log probabilities are whole billionths, so sums do not depend on the order of the shuffle.
+LOG_UNITS = 10**9
 
 
 def tokens(text: Column) -> Column:
@@ -33,11 +34,9 @@ class Model(NamedTuple):
     words: dict[str, int]
     vocabulary: int
 
-    def prior(self, label: str) -> float:
-        return math.log((self.examples.get(label, 0) + 1) / (sum(self.examples.values()) + len(LABELS)))
-
-    def unseen(self, label: str) -> float:
-        return math.log(1 / (self.words.get(label, 0) + self.vocabulary))
+    def prior(self, label: str) -> int:
+        share = (self.examples.get(label, 0) + 1) / (sum(self.examples.values()) + len(LABELS))
+        return round(LOG_UNITS * math.log(share))
 
 
 def built_in_examples(spark: SparkSession) -> DataFrame:
@@ -56,34 +55,15 @@ def train(examples: DataFrame) -> Model:
 
 
 def _log_probability(model: Model, label: str, count: Column) -> Column:
-    return F.log((count + 1) / F.lit(float(model.words.get(label, 0) + model.vocabulary)))
-
-
-def _sums_inline(lines: DataFrame, model: Model) -> DataFrame:
-    """Per-label log scores from a literal token table: no shuffle. For models of checked size."""
-    table: dict[str, dict[str, int]] = {}
-    for row in model.counts.collect():
-        table.setdefault(row["token"], {})[row["label"]] = row["n"]
-    entries: list[str] = []
-    for token, per_label in sorted(table.items()):
-        logs = [math.log((per_label.get(x, 0) + 1) / (model.words.get(x, 0) + model.vocabulary)) for x in LABELS]
-        entries.append(f"{literal(token)}, array({', '.join(f'{v!r}D' for v in logs)})")
-    known = F.expr(f"map({', '.join(entries)})")
-    unseen = F.array(*[F.lit(model.unseen(x)) for x in LABELS])
-    scored = F.transform("tokens", lambda t: F.coalesce(F.try_element_at(known, t), unseen))
-    with_logs = lines.withColumn("token_logs", scored)
-
-    def score(place: int, label: str) -> Column:
-        return F.aggregate("token_logs", F.lit(model.prior(label)), lambda acc, logs: acc + logs[place])
+    share = (count + 1) / F.lit(float(model.words.get(label, 0) + model.vocabulary))
+    return F.round(F.log(share) * LOG_UNITS).cast("bigint")
 
-    sums = [score(i, x).alias(f"score_{x}") for i, x in enumerate(LABELS)]
-    return with_logs.select(*lines.columns, *sums)
 
+def _scores(lines: DataFrame, model: Model, key: str) -> DataFrame:
+    """Log score of each label for each ``key``, from a join of tokens with the model table.
 
-def _sums_joined(lines: DataFrame, model: Model, key: str) -> DataFrame:
-    """The same scores for a vocabulary of any size, by joining tokens with the model table.
-
-    Tokens are counted per line first, and the adaptive join splits tokens that are in most lines.
+    Tokens are counted per line first; the planner sends a small model to all tasks, and splits tokens
+    that are in most lines of a large one.
     """
     wide = model.counts.groupBy("token").pivot("label", LABELS).agg(F.sum("n")).na.fill(0)
     pairs = lines.select(key, F.explode("tokens").alias("token")).groupBy(key, "token").agg(F.count("*").alias("times"))
@@ -91,26 +71,28 @@ def _sums_joined(lines: DataFrame, model: Model, key: str) -> DataFrame:
     sums = pairs.join(wide, "token", "left").groupBy(key).agg(
         *[F.sum(F.col("times") * logs[x]).alias(f"sum_{x}") for x in LABELS]
     )
-    totals = [(F.lit(model.prior(x)) + F.coalesce(f"sum_{x}", F.lit(0.0))).alias(f"score_{x}") for x in LABELS]
-    return lines.join(sums, key, "left").select(*lines.columns, *totals)
+    return sums.select(key, *[(F.lit(model.prior(x)) + F.col(f"sum_{x}")).alias(f"score_{x}") for x in LABELS])
+
 
+def predict(lines: DataFrame, model: Model, text: str, key: str) -> DataFrame:
+    """Add ``ml_label`` and ``confidence``. A line without tokens is benign with confidence 0.
 
-def predict(lines: DataFrame, model: Model, text: str, key: str, max_inline: int = MAX_INLINE_TOKENS) -> DataFrame:
-    """Add ``ml_label`` and ``confidence``. A line without tokens is benign with confidence 0."""
+    ``key`` identifies the text: rows that share it must hold the same text.
+    """
     prepared = lines.withColumn("tokens", tokens(F.col(text)))
-    inline = model.vocabulary <= max_inline
-    scored = _sums_inline(prepared, model) if inline else _sums_joined(prepared, model, key)
+    once = prepared.select(key, "tokens").dropDuplicates([key])
+    scored = prepared.join(_scores(once, model, key), key, "left")
     scores = [F.col(f"score_{x}") for x in LABELS]
     top = F.greatest(*scores)
-    empty = F.size("tokens") == 0
     label = F
     for name, score in zip(LABELS, scores):
         label = label.when(score == top, name)
-    total = sum((F.exp(s - top) for s in scores[1:]), F.exp(scores[0] - top))
+    weights = [F.exp((s - top) / LOG_UNITS) for s in scores]
+    total = sum(weights[1:], weights[0])
     return scored.select(
-        *lines.columns,
-        F.when(empty, LABELS[0]).otherwise(label).alias("ml_label"),
-        F.when(empty, F.lit(0.0)).otherwise(F.round(F.lit(1.0) / total, 2)).alias("confidence"),
+        *[prepared[c] for c in lines.columns],
+        F.coalesce(label, F.lit(LABELS[0])).alias("ml_label"),
+        F.coalesce(F.round(F.lit(1.0) / total, 2), F.lit(0.0)).alias("confidence"),
     )
 
 

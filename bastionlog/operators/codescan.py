@@ -32,9 +32,9 @@ def source_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def line_issues(files: DataFrame) -> DataFrame:
-    """One row per (line, rule) hit; rules of other languages are left out by extension."""
-    rows = F.array(*[
+def rule_rows() -> Column:
+    """The rules' attributes as one literal array."""
+    return F.array(*[
         F.struct(
             F.array(*[F.lit(e) for e in r.extensions]).cast("array<string>").alias("extensions"),
             F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"),
@@ -42,36 +42,53 @@ def line_issues(files: DataFrame) -> DataFrame:
         )
         for r in CODE_RULES
     ])
-    hits = source_lines(files).select(
-        "path", "extension", "line", "text",
-        F.explode_outer(rule_hits(F.col("text"), [r.pattern for r in CODE_RULES], ignore_case=False)).alias("rule"),
-    )
-    named = hits.filter(F.col("rule").isNotNull()).withColumn("r", F.element_at(rows, F.col("rule") + 1))
-    applies = (F.size("r.extensions") == 0) | F.array_contains("r.extensions", F.col("extension"))
-    return named.filter(applies).select(
+
+
+def matched_lines(files: DataFrame) -> DataFrame:
+    """Source lines with ``hits``, the numbers of the rules that match; one matching pass."""
+    return source_lines(files).withColumn("hits", rule_hits(F.col("text"), [r.pattern for r in CODE_RULES], ignore_case=False))
+
+
+def applies(rule: Column) -> Column:
+    """Whether a rule is meant for the file's language."""
+    return (F.size(rule["extensions"]) == 0) | F.array_contains(rule["extensions"], F.col("extension"))
+
+
+def line_issues(files: DataFrame) -> DataFrame:
+    """One row per (line, rule) hit; rules of other languages are left out by extension."""
+    hits = matched_lines(files).select("path", "extension", "line", "text", F.explode_outer("hits").alias("rule"))
+    named = hits.filter(F.col("rule").isNotNull()).withColumn("r", F.element_at(rule_rows(), F.col("rule") + 1))
+    return named.filter(applies(F.col("r"))).select(
         "path", "line", "r.category", "r.severity", "r.description", strip(F.col("text")).alias("snippet")
     )
 
 
-def file_issues(files: DataFrame) -> DataFrame:
-    """Whole-file findings from counts per file (partial aggregation, no collected lines)."""
+def _file_figures() -> list[Column]:
+    """Counts per file that whole-file findings rest on (partial aggregation, no collected lines)."""
     text = F.ltrim(F.regexp_replace("text", r"^\s+", ""))
     comment = text.startswith("#") | text.startswith("//")
     marker = F.col("text").contains("TODO") | F.col("text").contains("FIXME")
-    counts = source_lines(files).groupBy("path", "extension").agg(
-        F.count("*").alias("lines"), F.count_if(comment).alias("comments"), F.bool_or(marker).alias("open_todo")
-    )
+    return [F.count("text").alias("lines"), F.count_if(comment).alias("comments"), F.coalesce(F.bool_or(marker), F.lit(False)).alias("open_todo")]
+
+
+def _file_findings() -> Column:
+    """Findings of a file from its figures."""
 
     def issue(condition: Column, facts: tuple[str, str, str, str]) -> Column:
         names = ("category", "severity", "description", "snippet")
         return F.when(condition, F.struct(*[F.lit(v).alias(n) for n, v in zip(names, facts)]))
 
-    found = F.array_compact(F.array(
+    return F.array_compact(F.array(
         issue(F.col("lines") > MAX_FILE_LINES, LARGE_FILE),
         issue(F.col("open_todo") & (F.col("extension") == ".py"), OPEN_TODO),
-        issue(F.col("comments") / F.col("lines") > COMMENT_SHARE, COMMENT_DENSITY),
+        issue(F.try_divide("comments", "lines") > COMMENT_SHARE, COMMENT_DENSITY),
     ))
-    return counts.select("path", F.lit(1).cast("bigint").alias("line"), F.inline(found))
+
+
+def file_issues(files: DataFrame) -> DataFrame:
+    """Whole-file findings."""
+    counts = source_lines(files).groupBy("path", "extension").agg(*_file_figures())
+    return counts.select("path", F.lit(1).cast("bigint").alias("line"), F.inline(_file_findings()))
 
 
 def all_issues(files: DataFrame) -> DataFrame:
@@ -79,23 +96,33 @@ def all_issues(files: DataFrame) -> DataFrame:
 
 
 def issue_counts(files: DataFrame) -> DataFrame:
-    """Issues per category of every file, with its line count; clean files count zero."""
-    kind = F.col("category")
-    sizes = files.select(
-        "path", F.lit(None).cast("string").alias("category"),
-        F.size(lines_of("content")).cast("bigint").alias("lines"),
+    """Issues per category of every file, with its line count, from one pass; clean files count zero."""
+    named = {"Bug": "bugs", "Vulnerability": "vulnerabilities", "Maintainability": "maintainability_issues"}
+    found = F.transform("hits", lambda i: F.element_at(rule_rows(), i + 1))
+    kinds = F.transform(F.filter(found, applies), lambda r: r["category"])
+    lines = matched_lines(files).select("path", "extension", "text", kinds.alias("kinds"))
+    # A file without lines still has its row.
+    whole = files.filter(F.size(lines_of("content")) == 0).select(
+        "path", "extension", F.lit(None).cast("string").alias("text"), F.array().cast("array<string>").alias("kinds")
     )
-    issues = all_issues(files).select("path", "category", F.lit(0).cast("bigint").alias("lines"))
-    return issues.unionByName(sizes).groupBy("path").agg(
-        F.count_if(kind == "Bug").alias("bugs"),
-        F.count_if(kind == "Vulnerability").alias("vulnerabilities"),
-        F.count_if(kind == "Maintainability").alias("maintainability_issues"),
-        F.count("category").alias("issues"),
-        F.sum("lines").alias("total_lines"),
+    counts = lines.unionByName(whole).groupBy("path", "extension").agg(
+        *_file_figures(),
+        F.sum(F.size("kinds")).alias("line_issues"),
+        *[F.sum(F.size(F.filter("kinds", _is(k)))).alias(n) for k, n in named.items()],
+    ).withColumn("whole", F.transform(_file_findings(), lambda f: f["category"]))
+    return counts.select(
+        "path",
+        *[(F.col(n) + F.size(F.filter("whole", _is(k)))).alias(n) for k, n in named.items()],
+        (F.col("line_issues") + F.size("whole")).alias("issues"),
+        F.col("lines").alias("total_lines"),
     )
 
 
+def _is(kind: str):
+    return lambda category: category == kind
+
+
 def critical_files(files: DataFrame) -> DataFrame:
-    """Files a release gate would stop, with their number of critical issues."""
-    critical = all_issues(files).filter(F.col("severity") == "Critical")
+    """Files a release gate would stop, with their number of critical issues; whole-file findings are never critical."""
+    critical = line_issues(files).filter(F.col("severity") == "Critical")
     return critical.groupBy("path").agg(F.count("*").alias("critical_issues"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bastionlog.functions.columns import UNKNOWN, first_filled
-from bastionlog.functions.matching import rule_hits
-from bastionlog.operators.parse import event_time, field, normalised, parse_lines, timestamp_text
+from bastionlog.functions.columns import UNKNOWN, first_filled, imatch
+from bastionlog.operators.parse import (
+    event_time, field, is_boolean, is_number, normalised, parse_lines, timestamp_text, truthy,
+)
 from bastionlog.rules.signatures import OPERATIONAL_PATTERN
 
 SOURCE_FIELDS = ["remote_addr", "src_ip", "source_ip", "client_ip", "device_ip", "caller"]
@@ -16,20 +17,34 @@ VECTOR_FIELDS = ["message_length", "status_code", "bytes_sent", "cpu", "memory",
 
 
 def source_ip() -> Column:
-    return first_filled(*[field(f) for f in SOURCE_FIELDS], default=UNKNOWN)
+    return first_filled(*[truthy(f) for f in SOURCE_FIELDS], default=UNKNOWN)
+
+
+def _as_integer(name: str) -> Column:
+    """Whole part of a JSON number, 1 for true; a text only if it is a whole number."""
+    text = field(name)
+    return (
+        F.when(is_number(name), text.try_cast("double").try_cast("int"))
+        .when(is_boolean(name), text.cast("boolean").cast("int"))
+        .otherwise(F.nullif(text, F.lit("")).try_cast("int"))
+    )
 
 
 def _integer(name: str) -> Column:
-    return F.coalesce(F.nullif(field(name), F.lit("")).try_cast("int"), F.lit(0))
+    return F.coalesce(_as_integer(name), F.lit(0))
+
+
+def _as_double(name: str) -> Column:
+    text = field(name)
+    return F.when(is_boolean(name), text.cast("boolean").cast("double")).otherwise(text.try_cast("double"))
 
 
 def _double(name: str) -> Column:
-    return F.coalesce(field(name).try_cast("double"), F.lit(0.0))
+    return F.coalesce(_as_double(name), F.lit(0.0))
 
 
 def _metric(name: str) -> Column:
-    value = field(name)
-    return F.when(value.isNotNull(), F.coalesce(value.try_cast("double"), F.lit(0.0)))
+    return F.when(field(name).isNotNull(), _double(name))
 
 
 def extract_features(lines: DataFrame) -> DataFrame:
@@ -45,14 +60,14 @@ def extract_features(lines: DataFrame) -> DataFrame:
         "ts",
         timestamp_text().alias("timestamp"),
         source_ip().alias("source_ip"),
-        first_filled(field("dst_ip"), field("destination_ip"), default=UNKNOWN).alias("destination_ip"),
-        F.when(customer.isNotNull(), first_filled(field("user"), field("username"), customer, default=""))
+        first_filled(truthy("dst_ip"), truthy("destination_ip"), default=UNKNOWN).alias("destination_ip"),
+        F.when(customer.isNotNull(), first_filled(truthy("user"), truthy("username"), customer, default=""))
         .otherwise(UNKNOWN).alias("username"),
-        first_filled(field("host"), field("hostname"), default=UNKNOWN).alias("hostname"),
-        first_filled(field("pid"), field("process"), default=UNKNOWN).alias("process_id"),
+        first_filled(truthy("host"), truthy("hostname"), default=UNKNOWN).alias("hostname"),
+        first_filled(truthy("pid"), truthy("process"), default=UNKNOWN).alias("process_id"),
         F.coalesce(field("service"), F.lit(UNKNOWN)).alias("service"),
         F.coalesce(field("protocol"), F.lit(UNKNOWN)).alias("protocol"),
-        F.coalesce(F.coalesce(field("dst_port"), field("port")).try_cast("int"), F.lit(0)).alias("dst_port"),
+        F.coalesce(F.when(field("dst_port").isNotNull(), _as_integer("dst_port")).otherwise(_as_integer("port")), F.lit(0)).alias("dst_port"),
         _double("usage_mbps").alias("usage_mbps"),
         _integer("dropped_packets").alias("dropped_packets"),
         _double("rtt_ms").alias("rtt_ms"),
@@ -66,7 +81,7 @@ def extract_features(lines: DataFrame) -> DataFrame:
         normalised("format", F.col("line_format")).alias("format"),
         first_filled(field("message"), raw, default="").alias("message"),
         *[_metric(m).alias(m) for m in METRIC_FIELDS],
-        (F.size(rule_hits(raw, [OPERATIONAL_PATTERN])) > 0).alias("has_operational"),
+        imatch(raw, OPERATIONAL_PATTERN).alias("has_operational"),
         raw.alias("raw_message"),
     )
 

@@ -33,11 +33,11 @@ ISP_ONE_OF = ["level", "severity", "service"]
 
 
 def json_object(line: Column) -> Column:
-    """Fields of a JSON object as text, null for anything else.
+    """Fields of a JSON object with their types, null for anything else.
 
     The line is read as the only element of an array, so text after the object makes it invalid.
     """
-    elements = F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<map<string,string>>",
+    elements = F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<map<string,variant>>",
                            {"allowSingleQuotes": "false"})
     return F.when(line.startswith("{") & line.endswith("}"), F.when(F.size(elements) == 1, elements[0]))
 
@@ -66,10 +66,10 @@ def _groups(pattern: str, count: int) -> Column:
 
 
 def parse_lines(lines: DataFrame, message: str = "raw_message") -> DataFrame:
-    """Add ``line`` (trimmed), ``line_format`` and the parallel arrays ``names`` and ``values``.
+    """Add ``line`` (trimmed), ``line_format`` and the parallel arrays ``names``, ``values`` and, for JSON, ``kinds``.
 
-    The first entry of a name counts. Timestamped lines put their fixed fields before the pairs found
-    in the text; pure pair lists are reversed, because there the last value counts.
+    ``values`` are texts; ``kinds`` are the JSON types they had. The first entry of a name counts. Timestamped lines put their fixed fields before the pairs found
+    in the text; JSON fields and pure pair lists are reversed, because there the last value counts.
     """
     fmt = F.col("line_format")
     groups = (
@@ -81,15 +81,17 @@ def parse_lines(lines: DataFrame, message: str = "raw_message") -> DataFrame:
     keys = F.regexp_extract_all(pairs_in, F.lit(KEY_VALUE), F.lit(1))
     values = F.regexp_extract_all(pairs_in, F.lit(KEY_VALUE), F.lit(2))
 
+    typed = F.reverse(F.map_values("json_fields"))
+    kinds = F.when(fmt.isin("isp", "json"), F.transform(typed, F.schema_of_variant))
     names = (
-        F.when(fmt.isin("isp", "json"), F.map_keys("json_fields"))
+        F.when(fmt.isin("isp", "json"), F.reverse(F.map_keys("json_fields")))
         .when(fmt == "apache_or_nginx", literal_array([*ACCESS_FIELDS, "http_method"]))
         .when(fmt == "syslog", literal_array(SYSLOG_FIELDS))
         .when(fmt == "plain_ts", F.concat(literal_array(PLAIN_FIELDS), F.col("pair_keys")))
         .when(fmt == "key_value", F.reverse("pair_keys"))
     )
     texts = (
-        F.when(fmt.isin("isp", "json"), F.map_values("json_fields"))
+        F.when(fmt.isin("isp", "json"), F.transform(typed, lambda v: v.cast("string")))
         .when(fmt == "apache_or_nginx", F.array_append("groups", F.col("groups")[ACCESS_FIELDS.index("request")]))
         .when(fmt == "syslog", F.col("groups"))
         .when(fmt == "plain_ts", F.concat("groups", "pair_values"))
@@ -101,7 +103,7 @@ def parse_lines(lines: DataFrame, message: str = "raw_message") -> DataFrame:
         .withColumn("line_format", detect_format(F.col("line"), F.col("json_fields")))
         .withColumn("groups", groups)
         .withColumns({"pair_keys": keys, "pair_values": values})
-        .withColumns({"names": names, "values": texts})
+        .withColumns({"names": names, "values": texts, "kinds": kinds})
         .drop("json_fields", "groups", "pair_keys", "pair_values")
     )
 
@@ -111,6 +113,25 @@ def field(name: str) -> Column:
     return F.expr(f"get(values, cast(array_position(names, '{name}') as int) - 1)")
 
 
+def _kind(name: str) -> Column:
+    """JSON type of a named field, null for fields of other grammars."""
+    return F.expr(f"get(kinds, cast(array_position(names, '{name}') as int) - 1)")
+
+
+def is_number(name: str) -> Column:
+    return F.coalesce(_kind(name).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+
+
+def is_boolean(name: str) -> Column:
+    return F.coalesce(_kind(name) == "BOOLEAN", F.lit(False))
+
+
+def truthy(name: str) -> Column:
+    """A field's text unless its JSON value is zero or false."""
+    nothing = (is_number(name) & (field(name).try_cast("double") == 0)) | (is_boolean(name) & (field(name) == "false"))
+    return F.when(~F.coalesce(nothing, F.lit(False)), field(name))
+
+
 def normalised(name: str, default: Column) -> Column:
     """A field that JSON or pair keys may overwrite (``raw_message``, ``format``)."""
     overwritten = F.col("line_format").isin("isp", "json", "key_value")

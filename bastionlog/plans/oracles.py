@@ -15,6 +15,7 @@ from bastionlog.functions.scoring import (
 )
 from bastionlog.operators import codescan, parse, risk
 from bastionlog.operators.features import METRIC_FIELDS, SOURCE_FIELDS, VECTOR_FIELDS
+from bastionlog.plans.scan import CLEAN_SUMMARY
 from bastionlog.rules import signatures as sig
 from bastionlog.rules.code_rules import CODE_RULES, COMMENT_DENSITY, LARGE_FILE, OPEN_TODO
 from bastionlog.rules.line_classifier import COARSE_INDICATORS, LABELS, SIMPLE_LINE_PATTERN, TOKEN_PATTERN, TRAINING_LINES
@@ -609,6 +610,9 @@ def oracles() -> dict[str, str]:
     scaled = ", ".join(
         f"round(({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END, 5) AS {c}" for c in VECTOR_FIELDS
     )
+    deviation = "round(greatest(" + ", ".join(
+        f"abs(({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END)" for c in VECTOR_FIELDS
+    ) + "), 4)"
     moments = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in VECTOR_FIELDS)
     coarse = values([(i, n, s, k) for i, (n, s, k, _) in enumerate(COARSE_INDICATORS)],
                     ["rule", "indicator", "severity", "type"], "coarse")
@@ -640,7 +644,7 @@ def oracles() -> dict[str, str]:
              FROM findings QUALIFY row_number() OVER (PARTITION BY stream_id, threat_type, source_ip, severity, threat_status
                ORDER BY line_index) = 1)""",
     ]
-    clean = "No threats detected. Log entries match normal ISP activity patterns."
+    clean = CLEAN_SUMMARY
     return {
         "raw_lines": with_ctes(*lines_ctes()) + "SELECT * FROM log_lines",
         "health_snapshots": with_ctes(_health()) + "SELECT * FROM health",
@@ -794,6 +798,9 @@ def oracles() -> dict[str, str]:
         "standardised_vectors": with_ctes(*feature_ctes(), f"vectors AS (SELECT line_index, {vector} FROM features)",
                                           f"moments AS (SELECT {moments} FROM vectors)")
         + f"SELECT line_index, {scaled} FROM vectors CROSS JOIN moments",
+        "unusual_lines": with_ctes(*feature_ctes(), f"vectors AS (SELECT line_index, {vector} FROM features)",
+                                   f"moments AS (SELECT {moments} FROM vectors)")
+        + f"SELECT line_index, {deviation} AS deviation, CAST({deviation} > 3 AS INTEGER) AS is_anomaly FROM vectors CROSS JOIN moments",
         "code_issues": with_ctes(*code_ctes()) + "SELECT * FROM line_found",
         "code_file_issues": with_ctes(*code_ctes()) + "SELECT * FROM file_found",
         "code_issue_counts": with_ctes(*code_ctes()) + """SELECT path, count(*) FILTER (WHERE category = 'Bug') AS bugs,

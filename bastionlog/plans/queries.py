@@ -22,7 +22,7 @@ from bastionlog.plans import dashboard, detect, scan
 from bastionlog.rules.line_classifier import SIMPLE_LINE_PATTERN
 from bastionlog.rules.signatures import CVE_MENTION_PATTERN
 from bastionlog.session import materialise, prepare
-from bastionlog.sources.derive import expected_threats, log_lines, source_files, spread, system_health, table
+from bastionlog.sources.derive import expected_threats, log_lines, source_files, system_health, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -196,7 +196,7 @@ def signature_counts(spark, sf_dir):
 @query
 def document_signatures(spark, sf_dir):
     """Signature counts over the lines of the text corpus."""
-    split = split_text(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
+    split = split_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     hits = explode_hits(match_lines(split.select("doc_id", F.col("line").alias("raw_message"))))
     return hits.groupBy("threat_type", "severity").agg(
         F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents")
@@ -533,23 +533,33 @@ def standardised_vectors(spark, sf_dir):
     return scaled.select("line_index", *[F.round(c, 5).alias(c) for c in VECTOR_FIELDS])
 
 
+@query
+def unusual_lines(spark, sf_dir):
+    scaled = anomaly.standardise(materialise(vectors(spark, sf_dir), "vectors"))
+    return anomaly.unusual_by_deviation(scaled)
+
+
 @query
 def anomaly_scores(spark, sf_dir):
     scaled = anomaly.standardise(materialise(vectors(spark, sf_dir), "vectors"))
-    return anomaly.anomaly_scores(materialise(anomaly.raw_scores(scaled), "scores"))
+    nodes = materialise(anomaly.fit_forest(scaled, "line_index"), "forest")
+    return anomaly.anomaly_scores(materialise(anomaly.raw_scores(scaled, nodes), "scores"))
 
 
 @query
 def rf_threat_class(spark, sf_dir):
-    labelled = vectors(spark, sf_dir).join(expected_threats(spark, sf_dir), "line_index")
-    return anomaly.classify_threats(materialise(labelled, "labelled")).drop("probabilities")
+    """A classifier fitted on three lines of four scores the others."""
+    labelled = materialise(vectors(spark, sf_dir).join(expected_threats(spark, sf_dir), "line_index"), "labelled")
+    fold = F.pmod(F.xxhash64("line_index"), F.lit(4))
+    model = anomaly.fit_threat_classifier(labelled.filter(fold > 0))
+    return anomaly.classify_threats(labelled.filter(fold == 0), model).drop("probabilities")
 
 
 # ---- code corpus -----------------------------------------------------------------------------------------------------
 
 
 def corpus(spark, sf_dir) -> DataFrame:
-    return spread(source_files(spark, sf_dir))
+    return source_files(spark, sf_dir)
 
 
 @query

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+CLEAN_SUMMARY = "Nothing in these lines points to an attack."
+
 
 def is_threat() -> Column:
     """Threats and policy violations; everything else is a condition."""
@@ -50,7 +52,7 @@ def threat_summary(findings: DataFrame) -> DataFrame:
         F.max(F.when(threat, F.struct("top.confidence", "top.order", "threat_type", "top.severity"))).alias("top"),
     )
     sentence = (
-        F.when(F.size("threats") == 0, "No threats detected. Log entries match normal ISP activity patterns.")
+        F.when(F.size("threats") == 0, CLEAN_SUMMARY)
         .when(F.size("threats") == 1,
               F.concat(F.lit("Security threat '"), F.array_join("threats", ""), F.lit("' detected in logs.")))
         .otherwise(F.concat(F.lit("Multiple security threats detected: "), F.array_join("threats", ", "), F.lit(".")))

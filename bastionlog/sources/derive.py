@@ -19,14 +19,15 @@ from bastionlog.sources.templates import (
     TEMPLATES,
 )
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+INPUT_PARTITIONS = "bastionlog.input.partitions"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for a narrow input that arrives in fewer partitions than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A supplied table. A session that names ``INPUT_PARTITIONS`` deals its rows out to so many tasks: for
+    test tables of one small file; large tables have partitions of their own."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    count = spark.conf.get(INPUT_PARTITIONS, None)
+    return rows.repartition(int(count)) if count else rows
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         + F.expr(f"(event_id % {BURST_EVENTS}) div {LINES_PER_SECOND}")
     )
     base = (
-        spread(table(spark, sf_dir, "events").select("event_id", "user_id"))
+        table(spark, sf_dir, "events").select("event_id", "user_id")
         .withColumn("seconds", seconds)
         .withColumn("ts", F.expr("timestampadd(SECOND, seconds, TIMESTAMP_NTZ'2024-01-01 00:00:00')"))
         .withColumn("host", F.when(user % 3 == 0, user % HOT_HOSTS).otherwise(user))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from bastionlog.operators.vulnerabilities import STORED, upsert
 
@@ -29,12 +28,19 @@ def log_entries(lines: DataFrame, source: str, level: str = "INFO") -> DataFrame
     )
 
 
+def has_versions(spark: SparkSession, path: str) -> bool:
+    """Whether a version was ever written; a fault of the store or of the schema is raised, not taken for none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*"))
+    return found is not None and len(found) > 0
+
+
 def read_version(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """Newest version of the weakness table and its number; empty and -1 before the first write."""
-    try:
-        rows = spark.read.parquet(path)
-    except AnalysisException:
+    if not has_versions(spark, path):
         return spark.createDataFrame([], VULNERABILITIES_DDL), -1
+    rows = spark.read.parquet(path)
     newest = rows.agg(F.max("version")).first()[0]
     if newest is None:
         return spark.createDataFrame([], VULNERABILITIES_DDL), -1

@@ -38,7 +38,8 @@ def connect(sf_dir):
 def main() -> int:
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
-    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g",
+                          bastionlog__input__partitions="8")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     oracle, bad = oracle_sql(), []

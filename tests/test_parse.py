@@ -115,3 +115,25 @@ def test_window_features(make_lines):
 def test_parsing_needs_no_shuffle(make_lines):
     plan = extract_features(make_lines(["x"]).filter(F.col("stream_id") >= 0))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_json_values_keep_their_types(make_lines):
+    """Hand-derived: the last of equal names counts, numbers are cut, texts must be whole, zero and false name nothing."""
+    cases = [
+        ('{"src_ip":"1.1.1.1","src_ip":"2.2.2.2"}', {"source_ip": "2.2.2.2"}),
+        ('{"status":500.0,"body_bytes_sent":12.5,"dropped_packets":true}', {"status_code": 500, "bytes_sent": 12, "dropped_packets": 1}),
+        ('{"status":"500.0","body_bytes_sent":"12","rtt_ms":true}', {"status_code": 0, "bytes_sent": 12, "rtt_ms": 1.0}),
+        ('{"src_ip":0,"host":false,"dst_port":"x"}', {"source_ip": "unknown", "hostname": "unknown", "dst_port": 0}),
+        ('{"src_ip":false,"client_ip":"3.3.3.3","status":null}', {"source_ip": "3.3.3.3", "status_code": 0}),
+        ('{"msg":{"a":[1,"b"]},"cpu":7}', {"cpu": 7.0, "format": "json"}),
+    ]
+    rows = extract_features(make_lines([c for c, _ in cases])).orderBy("line_index").collect()
+    for row, (text, want) in zip(rows, cases):
+        assert {k: row[k] for k in want} == want, text
+
+
+def test_filters_reach_the_scan(spark, tmp_path, make_lines):
+    path = str(tmp_path / "lines")
+    make_lines([("a", 0, 1), ("b", 1, 2)]).write.partitionBy("stream_id").parquet(path)
+    plan = extract_features(spark.read.parquet(path)).filter("stream_id = 1 and line_index = 3")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(stream_id" in plan and "EqualTo(line_index,3)" in plan
