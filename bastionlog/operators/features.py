@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bastionlog.functions.columns import UNKNOWN, first_filled, imatch
 from bastionlog.operators.parse import (
-    event_time, field, is_boolean, is_number, normalised, parse_lines, timestamp_text, truthy,
+    event_time, field, normalised, number, parse_lines, timestamp_text, truthy,
 )
 from bastionlog.rules.signatures import OPERATIONAL_PATTERN
 
@@ -22,25 +22,15 @@ def source_ip() -> Column:
 
 def _as_integer(name: str) -> Column:
     """Whole part of a JSON number, 1 for true; a text only if it is a whole number."""
-    text = field(name)
-    return (
-        F.when(is_number(name), text.try_cast("double").try_cast("int"))
-        .when(is_boolean(name), text.cast("boolean").cast("int"))
-        .otherwise(F.nullif(text, F.lit("")).try_cast("int"))
-    )
+    return F.coalesce(number(name).try_cast("int"), F.nullif(field(name), F.lit("")).try_cast("int"))
 
 
 def _integer(name: str) -> Column:
     return F.coalesce(_as_integer(name), F.lit(0))
 
 
-def _as_double(name: str) -> Column:
-    text = field(name)
-    return F.when(is_boolean(name), text.cast("boolean").cast("double")).otherwise(text.try_cast("double"))
-
-
 def _double(name: str) -> Column:
-    return F.coalesce(_as_double(name), F.lit(0.0))
+    return F.coalesce(number(name), field(name).try_cast("double"), F.lit(0.0))
 
 
 def _metric(name: str) -> Column:

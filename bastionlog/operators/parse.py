@@ -66,9 +66,9 @@ def _groups(pattern: str, count: int) -> Column:
 
 
 def parse_lines(lines: DataFrame, message: str = "raw_message") -> DataFrame:
-    """Add ``line`` (trimmed), ``line_format`` and the parallel arrays ``names``, ``values`` and, for JSON, ``kinds``.
+    """Add ``line`` (trimmed), ``line_format`` and the parallel arrays ``names``, ``values`` and, for JSON, ``numbers``.
 
-    ``values`` are texts; ``kinds`` are the JSON types they had. The first entry of a name counts. Timestamped lines put their fixed fields before the pairs found
+    ``values`` are texts; ``numbers`` are those that were JSON numbers, or 1 and 0 for true and false. The first entry of a name counts. Timestamped lines put their fixed fields before the pairs found
     in the text; JSON fields and pure pair lists are reversed, because there the last value counts.
     """
     fmt = F.col("line_format")
@@ -82,7 +82,8 @@ def parse_lines(lines: DataFrame, message: str = "raw_message") -> DataFrame:
     values = F.regexp_extract_all(pairs_in, F.lit(KEY_VALUE), F.lit(2))
 
     typed = F.reverse(F.map_values("json_fields"))
-    kinds = F.when(fmt.isin("isp", "json"), F.transform(typed, F.schema_of_variant))
+    number = lambda v: F.when(F.schema_of_variant(v) != "STRING", F.try_variant_get(v, "$", "double"))
+    numbers = F.when(fmt.isin("isp", "json"), F.transform(typed, number))
     names = (
         F.when(fmt.isin("isp", "json"), F.reverse(F.map_keys("json_fields")))
         .when(fmt == "apache_or_nginx", literal_array([*ACCESS_FIELDS, "http_method"]))
@@ -103,7 +104,7 @@ def parse_lines(lines: DataFrame, message: str = "raw_message") -> DataFrame:
         .withColumn("line_format", detect_format(F.col("line"), F.col("json_fields")))
         .withColumn("groups", groups)
         .withColumns({"pair_keys": keys, "pair_values": values})
-        .withColumns({"names": names, "values": texts, "kinds": kinds})
+        .withColumns({"names": names, "values": texts, "numbers": numbers})
         .drop("json_fields", "groups", "pair_keys", "pair_values")
     )
 
@@ -113,23 +114,14 @@ def field(name: str) -> Column:
     return F.expr(f"get(values, cast(array_position(names, '{name}') as int) - 1)")
 
 
-def _kind(name: str) -> Column:
-    """JSON type of a named field, null for fields of other grammars."""
-    return F.expr(f"get(kinds, cast(array_position(names, '{name}') as int) - 1)")
-
-
-def is_number(name: str) -> Column:
-    return F.coalesce(_kind(name).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
-
-
-def is_boolean(name: str) -> Column:
-    return F.coalesce(_kind(name) == "BOOLEAN", F.lit(False))
+def number(name: str) -> Column:
+    """A named field that was a number or a truth value in JSON, else null."""
+    return F.expr(f"get(numbers, cast(array_position(names, '{name}') as int) - 1)")
 
 
 def truthy(name: str) -> Column:
     """A field's text unless its JSON value is zero or false."""
-    nothing = (is_number(name) & (field(name).try_cast("double") == 0)) | (is_boolean(name) & (field(name) == "false"))
-    return F.when(~F.coalesce(nothing, F.lit(False)), field(name))
+    return F.when(F.coalesce(number(name), F.lit(1.0)) != 0, field(name))
 
 
 def normalised(name: str, default: Column) -> Column:
