@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 NEIGHBOURS = 20
 DIMENSIONS = 8
-CONFIDENCE = 0.98
-LEAF = 32
-SHARD_ROWS = 1 << 13
+CONFIDENCE = 0.95
+LEAF = 256
+SHARD_ROWS = 1 << 14
 QUERY_ROWS = 1 << 15
 SEED = 20
 
@@ -109,34 +109,41 @@ class Shard:
         self.tree.arrays()
         self.vectors = vectors[self.tree.order]
         self.ids = [ids[i] for i in self.tree.order]
+        self.numbers = np.arange(len(vectors))
         self.limit = quantile(CONFIDENCE)
 
     def search(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Places of about the k points of largest inner product."""
+        """Places of about the k points of largest inner product.
+
+        Leaves are verified in batches, each as large as all before it, and the test is made between them.
+        """
         square = float(query @ query) + self.longest
         best, place = np.empty(0), np.empty(0, dtype=np.int64)
-        waiting: list[tuple[int, int]] = []
-        rows = 0
+        scores: list[np.ndarray] = []
+        places: list[np.ndarray] = []
+        seen = rows = 0
         nearest = math.inf
         for far, begin, end in self.tree.leaves(query @ self.normal[:-1]):
             if far > self.limit * nearest:
                 break
-            waiting.append((begin, end))
+            scores.append(self.vectors[begin:end] @ query)
+            places.append(self.numbers[begin:end])
             rows += end - begin
-            if rows < k:
+            if rows < max(k, seen):
                 continue
-            at = np.concatenate([np.arange(b, e) for b, e in waiting])
-            best = np.concatenate((best, self.vectors[at] @ query))
-            place = np.concatenate((place, at))
-            waiting, rows = [], 0
-            if len(best) > k:
-                top = np.argpartition(best, len(best) - k)[-k:]
-                best, place = best[top], place[top]
+            best, place = self._top(k, [best, *scores], [place, *places])
+            scores, places, seen, rows = [], [], seen + rows, 0
             if len(best) >= k:
                 nearest = max(square - 2 * float(best.min()), 0.0)
-        for begin, end in waiting:
-            place = np.concatenate((place, np.arange(begin, end)))
-        return place
+        return self._top(k, [best, *scores], [place, *places])[1]
+
+    @staticmethod
+    def _top(k: int, scores: list[np.ndarray], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        best, place = np.concatenate(scores), np.concatenate(places)
+        if len(best) > k:
+            top = np.argpartition(best, len(best) - k)[-k:]
+            best, place = best[top], place[top]
+        return best, place
 
 
 def neighbours_in(data: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
