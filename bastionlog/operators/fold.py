@@ -13,7 +13,7 @@ both possible scores are folded side by side and the right one is picked last.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -127,13 +127,10 @@ def compose(first: list[Segment], second: list[Segment], window: int) -> list[Se
 
 
 class _Open:
-    """The key being read: its segments so far and its counts.
-
-    Nothing can precede the first chunk of a scope, so there only the first segment matters.
-    """
+    """The key being read: its segments so far and its counts."""
 
     def __init__(self, marker: tuple, first_line: int) -> None:
-        self.marker, self.key, self.leading = marker, marker[:3], marker[3] == 0
+        self.marker, self.key = marker, marker[:3]
         self.first_line, self.hits, self.direct = first_line, 0, False
         self.segments: dict[int, list[Segment]] = {0: [], 1: []}
 
@@ -143,16 +140,6 @@ class _Open:
         joined = compose(old, fresh, window) if old else fresh
         self.segments[mode] = [s if isinstance(s.row, tuple) else s._replace(row=payload(s.row)) for s in joined]
 
-    def follow(self, mode: int, rows: Iterable[int], times: list[int], scores: list[int], window: int, payload) -> None:
-        """Apply the rule hit by hit: enough where nothing precedes, and cheapest for short groups."""
-        kept = self.segments[mode]
-        place, time, score = (kept[0].row, kept[0].time, kept[0].score) if kept else (None, 0, 0)
-        for i in rows:
-            if place is None or scores[i] > score or abs(times[i] - time) > window:
-                place, time, score = i, times[i], scores[i]
-        if not isinstance(place, tuple):
-            self.segments[mode] = [Segment(score, time, time, time, score, payload(place))]
-
     def rows(self) -> Iterator[tuple]:
         counted = (self.hits, self.direct)
         plain, direct = self.segments[0], self.segments[1]
@@ -190,8 +177,7 @@ def make_reducer(window_us: int, schema: pa.Schema):
             lines, times, jitter = (col[name].to_numpy() for name in ("line_index", "time_us", "jitter"))
             fit, direct = (col[name].to_numpy(zero_copy_only=False) for name in ("eligible", "direct"))
             scores = {mode: col[name].to_numpy() for name, mode in MODES}
-            listed = {mode: values.tolist() for mode, values in scores.items()}
-            time_list, fit_list, direct_list = times.tolist(), fit.tolist(), direct.tolist()
+            fit_list, direct_list = fit.tolist(), direct.tolist()
             done: list[tuple] = []
 
             def payload(i: int) -> tuple:
@@ -208,11 +194,7 @@ def make_reducer(window_us: int, schema: pa.Schema):
                 if not where:
                     continue
                 for mode, values in scores.items():
-                    if open_key.leading:
-                        open_key.follow(mode, where, time_list, listed[mode], window_us, payload)
-                    else:
-                        fresh = summarise(times[where], values[where], window_us, where)
-                        open_key.extend(mode, fresh, window_us, payload)
+                    open_key.extend(mode, summarise(times[where], values[where], window_us, where), window_us, payload)
             if done:
                 yield _as_batch(done, schema)
         if open_key is not None:

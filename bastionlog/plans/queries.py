@@ -26,6 +26,8 @@ from bastionlog.sources.derive import expected_threats, log_lines, source_files,
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
+#: Lines a chunk in the two queries that stand for fill and fold, so that small tables cross chunks too.
+CHECKED_CHUNK = 64
 
 
 def query(build: Query) -> Query:
@@ -238,7 +240,7 @@ def cve_mentions(spark, sf_dir):
 @query
 def ip_resolution(spark, sf_dir):
     rows = features(spark, sf_dir).select("stream_id", "line_index", "source_ip")
-    return resolve_source_ip(rows, ["stream_id"])
+    return resolve_source_ip(rows, ["stream_id"], CHECKED_CHUNK)
 
 
 @query
@@ -256,7 +258,7 @@ def confidence_jitter(spark, sf_dir):
 @query
 def dedup_fold(spark, sf_dir):
     hits = detect.scored_hits(features(spark, sf_dir))
-    kept = keep_one(reduce_hits(hits)).filter("segment_count > 0")
+    kept = keep_one(reduce_hits(hits, chunk_lines=CHECKED_CHUNK)).filter("segment_count > 0")
     return kept.select("stream_id", "source_ip", "rule_no", "hits", "any_direct", "line_index", "jitter")
 
 
