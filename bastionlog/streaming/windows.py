@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ ship_by_value(__name__)
 LATENESS = "10 minutes"
 FOLD_KEYS = ["stream_id", "source_ip", "threat_type"]
 FOLD_DDL = "stream_id bigint, source_ip string, threat_type string, line_index bigint, time_us bigint, score int"
+ESCALATION_DDL = "stream_id bigint, source_ip string, threat_type string, time_us bigint, recent bigint"
+ESCALATION_COLUMNS = [*FOLD_KEYS, "time_us", "recent"]
 FOLD_STATE_DDL = "line_index bigint, time_us bigint, score int"
 
 
@@ -55,12 +59,35 @@ def minute_timeline(alerts: DataFrame) -> DataFrame:
     )
 
 
-def escalation_windows(hits: DataFrame) -> DataFrame:
-    """Five-minute windows, moved every minute, in which a key reached three hits."""
-    size = F.window("event_time", f"{ESCALATION_SECONDS} seconds", "60 seconds").alias("w")
-    counts = watermarked(hits).groupBy(*FOLD_KEYS, size).agg(F.count("*").alias("recent"))
-    return counts.filter(F.col("recent") >= ESCALATION_HITS).select(
-        *FOLD_KEYS, F.col("w.start").alias("window_start"), "recent"
+def escalate_key(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Instants of a key that reach the limit within their trailing window, once no earlier hit can still come.
+
+    The state holds how many hits each instant had, back to one window before the watermark.
+    """
+    settled, held = state.get if state.exists else (-(2**62), "")
+    counts = Counter({int(t): int(n) for t, n in (pair.split(":") for pair in held.split(",") if pair)})
+    for rows in batches:
+        counts.update(rows["time_us"].astype("int64").tolist())
+    limit, width = state.getCurrentWatermarkMs() * 1000, ESCALATION_SECONDS * 1_000_000
+    times = np.array(sorted(counts), dtype=np.int64)
+    upto = np.concatenate(([0], np.cumsum([counts[t] for t in times.tolist()])))
+    recent = upto[1:] - upto[np.searchsorted(times, times - width)]
+    ready = (times > settled) & (times <= limit) & (recent >= ESCALATION_HITS)
+    kept = times[times >= limit - width].tolist()
+    if kept:
+        state.update((max(settled, limit), ",".join(f"{t}:{counts[t]}" for t in kept)))
+        waiting = [t for t in kept if t > limit]
+        due = waiting[0] if waiting else kept[-1] + width
+        state.setTimeoutTimestamp(max(due, limit) // 1000 + 1)
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame([[*key, int(t), int(n)] for t, n in zip(times[ready], recent[ready])], columns=ESCALATION_COLUMNS)
+
+
+def escalations(hits: DataFrame) -> DataFrame:
+    """Stream of the instants the batch operator finds, each once, when the watermark has passed it."""
+    return watermarked(hits).select(*FOLD_KEYS, "time_us", "event_time").groupBy(*FOLD_KEYS).applyInPandasWithState(
+        escalate_key, ESCALATION_DDL, "settled bigint, times string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -72,19 +99,26 @@ def first_hits(hits: DataFrame) -> DataFrame:
 def fold_key(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Carry the kept hit of a key over batches by the exact rule; emits it whenever a batch arrives.
 
-    State is three numbers per key, whatever the number of hits.
+    State is three numbers per key, whatever the number of hits. It ends when the watermark is a window
+    past the kept hit: whatever comes then replaces it.
     """
+    if state.hasTimedOut:
+        state.remove()
+        return
     kept = state.get if state.exists else None
+    window = DEDUP_WINDOW_SECONDS * 1_000_000
     rows = pd.concat(list(batches)).sort_values("line_index")
     for line, time, score in zip(rows["line_index"], rows["time_us"], rows["score"]):
-        if kept is None or abs(time - kept[1]) > DEDUP_WINDOW_SECONDS * 1_000_000 or score > kept[2]:
+        if kept is None or abs(time - kept[1]) > window or score > kept[2]:
             kept = (int(line), int(time), int(score))
     state.update(kept)
+    state.setTimeoutTimestamp(max((kept[1] + window) // 1000, state.getCurrentWatermarkMs()) + 1)
     yield pd.DataFrame([[*key, *kept]], columns=[*FOLD_KEYS, "line_index", "time_us", "score"])
 
 
 def exact_fold(hits: DataFrame) -> DataFrame:
     """Stream of the currently kept hit per key; the newest row of a key counts."""
-    return hits.select(*FOLD_KEYS, "line_index", "time_us", "score").groupBy(*FOLD_KEYS).applyInPandasWithState(
-        fold_key, FOLD_DDL, FOLD_STATE_DDL, "update", GroupStateTimeout.NoTimeout
+    rows = watermarked(hits).select(*FOLD_KEYS, "line_index", "time_us", "score", "event_time")
+    return rows.groupBy(*FOLD_KEYS).applyInPandasWithState(
+        fold_key, FOLD_DDL, FOLD_STATE_DDL, "update", GroupStateTimeout.EventTimeTimeout
     )

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bastionlog.operators.alerts import alert_rows
+from bastionlog.operators.correlate import escalations
 from bastionlog.operators.features import extract_features
 from bastionlog.operators.vulnerabilities import assess
 from bastionlog.plans.detect import detect, scored_hits
@@ -143,14 +144,31 @@ def test_timeline_and_escalation_streams(spark, stored, tmp_path):
     minutes = {r.minute: r.threats for r in collect_stream(spark, windows.minute_timeline(stream), "m", "complete").collect()}
     assert sum(minutes.values()) == alerts.filter("threat_status in ('SUSPICIOUS', 'CONFIRMED')").count()
     hits = scored_hits(extract_features(lines)).withColumn("ts", F.col("event_ts"))
-    hits.write.parquet(str(tmp_path / "hits"))
-    rows = collect_stream(
-        spark, windows.escalation_windows(spark.readStream.schema(hits.schema).parquet(str(tmp_path / "hits"))), "e", "complete")
-    assert rows.count() > 0 and rows.filter("recent < 3").count() == 0
+    hits.coalesce(1).write.parquet(str(tmp_path / "hits"))
+    # A last hit of another key lets the watermark pass all others.
+    last = hits.orderBy(F.desc("ts")).limit(1).withColumns({"source_ip": F.lit("end"), "ts": F.expr("ts + interval 1 hour"), "time_us": F.col("time_us") + 3_600_000_000})
+    last.write.mode("append").parquet(str(tmp_path / "hits"))
+    stream = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "hits"))
+    got = collect_stream(spark, windows.escalations(stream), "e", "append")
+    want = escalations(hits).select(*got.columns)
+    assert got.count() > 0 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_escalation_stream_sees_windows_across_minutes(spark, tmp_path):
+    """0:30, 3:00 and 5:20 lie within 290 s; a row out of order counts; ten minutes later nothing is left."""
+    ddl = "stream_id bigint, source_ip string, threat_type string, time_us bigint, ts timestamp_ntz"
+    micros = lambda second: int((T0 - datetime(1970, 1, 1)).total_seconds() + second) * 10**6
+    path = str(tmp_path / "x")
+    for part in ((30, 320), (180, 900), (901, 5000)):
+        rows = [(0, "a", "t", micros(s), T0 + timedelta(seconds=s)) for s in part]
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(path)
+    got = collect_stream(spark, windows.escalations(stream), "e2", "append").collect()
+    assert [(r.time_us, r.recent) for r in got] == [(micros(320), 3)]
 
 
 def test_fold_stream_equals_batch(spark, tmp_path):
-    rows = [(0, "a", "t", i, t * 10**6, s, T0 + timedelta(seconds=t)) for i, (t, s) in enumerate(
+    rows = [(0, "a", "t", i, int((T0 - datetime(1970, 1, 1)).total_seconds() + t) * 10**6, s, T0 + timedelta(seconds=t)) for i, (t, s) in enumerate(
         [(0, 5), (30, 7), (61, 6), (95, 9), (300, 1), (330, 1), (361, 0)])]
     ddl = "stream_id bigint, source_ip string, threat_type string, line_index bigint, time_us bigint, score int, ts timestamp_ntz"
     path = str(tmp_path / "h")
