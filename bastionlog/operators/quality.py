@@ -51,11 +51,16 @@ def overall_metrics(counts: DataFrame) -> DataFrame:
 
 
 def binary_metrics(flags: DataFrame) -> DataFrame:
-    """Counts and rates of ``is_attack`` against ``detected``."""
+    """Counts and rates of ``is_attack`` against ``detected``; a column ``n`` counts equal rows."""
     attack, found = F.col("is_attack"), F.col("detected")
+    weight = F.col("n") if "n" in flags.columns else F.lit(1).cast("bigint")
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, weight)), F.lit(0).cast("bigint"))
+
     counts = flags.agg(
-        F.count_if(attack & found).alias("tp"), F.count_if(~attack & found).alias("fp"),
-        F.count_if(~attack & ~found).alias("tn"), F.count_if(attack & ~found).alias("fn"),
+        total(attack & found).alias("tp"), total(~attack & found).alias("fp"),
+        total(~attack & ~found).alias("tn"), total(attack & ~found).alias("fn"),
     )
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     return counts.select(

@@ -282,3 +282,22 @@ def test_blanks_and_ends_of_rules():
              (r"a\$b[$]", "a$b$", True)]
     for pattern, text, hit in cases:
         assert pc.match_substring_regex(pa.array([text]), for_linear_engine(pattern), ignore_case=True)[0].as_py() is hit, (pattern, text)
+
+
+def test_labelled_csv_to_metrics(spark, tmp_path):
+    """Own lines with hand-counted outcomes: one attack is missed by the rules."""
+    from bastionlog.plans import evaluate
+    from bastionlog.sources.readers import labelled_lines
+
+    rows = ["xmrig started on host 4,Cryptominer / Coin Miner", "beacon with odd words,C2 Beacon", "lease renewed,benign", "lease renewed,benign"]
+    path = tmp_path / "labelled.csv"
+    path.write_text("\n".join(["log_entry,label", *rows]) + "\n")
+    labelled = labelled_lines(spark, str(path))
+    counts = evaluate.rule_confusion(labelled)
+    assert {tuple(r) for r in counts.collect()} == {
+        ("Cryptominer / Coin Miner", "Cryptominer / Coin Miner", 1), ("C2 Beacon", "benign", 1), ("benign", "benign", 2)}
+    r = evaluate.attack_metrics(counts).first()
+    assert (r.tp, r.fp, r.tn, r.fn, r.precision, r.recall) == (1, 0, 2, 1, 1.0, 0.5)
+    model = classify.train(classify.built_in_examples(spark))
+    lines = spark.createDataFrame([(t, x) for x, t in SAMPLE] * 2, "log_entry string, label string")
+    assert {tuple(r) for r in evaluate.classifier_confusion(lines, model).collect()} == {("benign", "benign", 6), ("threat", "threat", 6)}
