@@ -55,11 +55,11 @@ def explode_hits(matched: DataFrame, signatures: Sequence[Signature] = SIGNATURE
     return name_hits(hits, signatures)
 
 
-def line_flags(matched: DataFrame) -> DataFrame:
+def line_flags(matched: DataFrame, signatures: Sequence[Signature] = SIGNATURES) -> DataFrame:
     """Operational-only, malicious-context and passive-vulnerability marks per line."""
     patterns = [OPERATIONAL_PATTERN, MALICIOUS_CONTEXT_PATTERN, PASSIVE_VULNERABILITY_PATTERN, ACTIVE_EXPLOIT_PATTERN]
     operational, malicious, passive, active = (F.array_contains("marks", i) for i in range(len(patterns)))
-    exploit = next(i for i, s in enumerate(SIGNATURES) if s.name == EXPLOIT_THREAT)
+    exploit = next((i for i, s in enumerate(signatures) if s.name == EXPLOIT_THREAT), -1)
     other_hits = F.exists("codes", lambda c: rule_of(c) != exploit)
     marked = matched.withColumn("marks", rule_hits(F.col("raw_message"), patterns))
     return marked.select(

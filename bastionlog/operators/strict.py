@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from bastionlog.functions.columns import choose, contains_any, literal
 from bastionlog.rules.signatures import (
     NOT_APPLICABLE,
     SIGNATURES,
+    Signature,
     STRICT_AUTH_WORDS,
     STRICT_BLOCK_WORDS,
     STRICT_EVIDENCE_TYPES,
@@ -34,7 +37,7 @@ def with_peers(found: DataFrame) -> DataFrame:
     return found.join(counts, key)
 
 
-def assess(detections: DataFrame) -> DataFrame:
+def assess(detections: DataFrame, signatures: Sequence[Signature] = SIGNATURES) -> DataFrame:
     """Every detection with its strict confidence, status and severity, and ``operational``.
 
     A ``peers`` column (see ``with_peers``) counts as support where there is one.
@@ -60,7 +63,7 @@ def assess(detections: DataFrame) -> DataFrame:
         .otherwise("Confirmed")
     )
     name = F.col("strict_status")
-    technique = choose("threat_type", [(s.name, literal(s.mitre)) for s in SIGNATURES], literal(NOT_APPLICABLE))
+    technique = choose("threat_type", [(s.name, literal(s.mitre)) for s in signatures], literal(NOT_APPLICABLE))
     return (
         detections.withColumn("operational", is_operational(lowered, F.col("domain")))
         .withColumn("strict_confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), boosted)))

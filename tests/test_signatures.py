@@ -126,3 +126,25 @@ def test_flags_and_conditions(make_lines):
     ]
     assert {(r.threat_status, r.classification_type, r.mitre_attack, r.status) for r in rows} == {
         ("NONE", "Condition", "NOT APPLICABLE", "MONITOR_ONLY")}
+
+
+def test_own_catalogue_end_to_end(spark, make_lines):
+    """A hundred own rules: every detection and alert is named by them, and alert ids are unique."""
+    from bastionlog.operators import strict
+    from bastionlog.operators.alerts import alert_rows, condition_alerts, ids_per_line
+    from bastionlog.operators.features import extract_features
+    from bastionlog.operators.signatures import conditions, line_flags, match_lines
+    from bastionlog.plans.detect import detect
+    from bastionlog.rules.signatures import Signature
+
+    rules = [Signature(f"Own {i}", "high", "probe", f"T9{i:03}", "Own rules", rf"own{i}\b") for i in range(100)]
+    texts = [f"a=1 b=2 src_ip=9.9.{i // 10}.{i % 10} own{i} own{(i + 1) % 100} seen" for i in range(100)]
+    features = extract_features(make_lines([*texts, "packet loss and high latency on link 4"]))
+    found = detect(features, rules)
+    assert {r.threat_type for r in found.collect()} <= {s.name for s in rules} and found.count() > 100
+    matched = match_lines(features, rules)
+    alerts = alert_rows(found, rules).unionByName(condition_alerts(conditions(line_flags(matched, rules)), rules))
+    ids = [r.id for r in alerts.collect()]
+    assert len(ids) == len(set(ids)) > 100 and ids_per_line(rules) == 128
+    techniques = {(r.threat_type, r.technique) for r in strict.assess(found, rules).collect()}
+    assert techniques <= {(s.name, s.mitre) for s in rules}
