@@ -255,11 +255,17 @@ def near_duplicates(docs: DataFrame, difference: int = DIFFERENCE) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, difference: int = DIFFERENCE) -> DataFrame:
-    """One row of each component of ``docs``, that with the smallest doc_id, with the columns it came with."""
+    """One row of each component of ``docs``, that with the smallest doc_id, with the columns it came with.
+
+    Rows are known by one key of fingerprint and id, so the texts are shuffled once for both the look-up
+    of the first rows and the removal of repeated ones.
+    """
+
+    def key(bits: Column, doc_id: Column) -> Column:
+        return F.concat(bits.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("")))
+
     marked = docs.withColumn("_bits", fingerprint(docs["text"]))
     marks = materialise(marked.select("doc_id", F.col("_bits").alias("bits")), "simhash-marks")
-    first = grouped(marks, difference).filter("bits = leader").select(
-        F.col("bits").alias("_first_bits"), F.col("component_id").alias("_first_id")
-    )
-    same = (marked["_bits"] == first["_first_bits"]) & marked["doc_id"].eqNullSafe(first["_first_id"])
-    return marked.join(first, same, "left_semi").dropDuplicates(["_bits", "doc_id"]).drop("_bits")
+    first = grouped(marks, difference).filter("bits = leader").select(key(F.col("bits"), F.col("component_id")).alias("_first"))
+    known = marked.withColumn("_first", key(F.col("_bits"), F.col("doc_id"))).drop("_bits")
+    return known.join(first, "_first", "left_semi").dropDuplicates(["_first"]).drop("_first")
