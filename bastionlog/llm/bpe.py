@@ -6,7 +6,7 @@ neighbour, the swallowed position), each in logarithmic time, so a match of n by
 long it is. Matches of up to 64 bytes are merged many at a time: one row of a matrix holds the tree of
 one match. Longer ones have a tree each.
 
-A task works through its texts in shards of about a megabyte. Splitting, looking up the matches it has
+A task works through its texts in shards of about half a megabyte. Splitting, looking up the matches it has
 seen, laying out ids and bytes are array operations over the shard. Looked-up matches are known by a
 64-bit hash; as the ids of a text must decode to its very bytes, each shard is compared with its input,
 and a shard that differs is done again match by match.
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from bastionlog.llm.words import raw, shards, span_hashes
 
-SHARD_BYTES = 2 << 20
-KEPT_MATCHES = 1 << 19
+SHARD_BYTES = 1 << 19
+KEPT_MATCHES = 1 << 18
 NEVER = 1 << 62
 #: The pattern whose matches are found by array operations; others go through the ``regex`` library.
 RUNS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -270,7 +270,7 @@ class Codec:
                 at += 1
                 continue
             leaves = 1 << max(1, int(width[at]).bit_length())
-            stop = min(int(np.searchsorted(width, leaves)), at + (1 << 20) // leaves)
+            stop = min(int(np.searchsorted(width, leaves)), at + (1 << 17) // leaves)
             stop = min(max(stop, at + 1), int(np.searchsorted(lengths[order], Merger.WIDEST, side="right")))
             some = order[at:stop]
             ids, counts[some] = self.merger.merge(data, starts[some], lengths[some])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from bastionlog.llm import words as W
 
 WINDOW = 13
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 16 << 20
 FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
