@@ -35,8 +35,9 @@ FOLDS, HELD_OUT_FOLD, CUT = 4, 2, 0.3
 PER_CLASS = 3000
 MOST_CHARS = 30_000
 LEAST_TEXTS = 4
-LEAST_SHARE = 0.01
-SHARE_PER_OTHER = 0.04
+LEAST_ODDS, ODDS_A_TEXT = 100, 0.04
+PLACES_A_TEXT, MOST_PLACES_ASKED = 0.1, 0.01
+FALSE_TERMS = 0.002
 STEM_LETTERS = range(4, 8)
 STEM_WORDS = 5
 KEPT_WORDS = 1 << 19
@@ -185,21 +186,40 @@ def terms_of(token: str) -> list[str]:
     return [token, *(token[:n] + "*" for n in STEM_LETTERS if len(token) > n)] if token else []
 
 
+def chance(n: int, m: int, share: float) -> float:
+    """Probability that of n + m texts n or more are toxic, where ``share`` of all texts are."""
+    more = math.log((1 - share) / share)
+    first = (n + m) * math.log(share)
+    return math.exp(first) * math.fsum(math.comb(n + m, j) * math.exp(j * more) for j in range(m + 1))
+
+
+def surprising(by_chance: dict[str, float], tested: int) -> set[str]:
+    """The terms least likely by chance, of which two in a thousand may be false (Benjamini and Hochberg)."""
+    ranked = sorted(by_chance.items(), key=lambda x: x[1])
+    last = max((i for i, (_, p) in enumerate(ranked, 1) if p <= FALSE_TERMS * i / tested), default=0)
+    return {t for t, _ in ranked[:last]}
+
+
 def learn_lexicon(rows: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
-    """Words and stems by how many toxic and other texts hold them. A term stands between different
-    neighbours in a hundredth as many places as there are toxic texts, so that a group of copies, where
-    a rare word always has the same neighbours, does not make it a term; and for each other text that holds
-    it, four in a hundred more of the toxic ones do. Only what passes one test is counted for the next."""
+    """Words and stems by how many toxic and other texts hold them. Each term is tested on its own texts, so
+    terms of a rare language count like those of a common one: beyond one other text, toxic texts hold it
+    ``LEAST_ODDS`` times as often (fewer where there are few others), and that is not by chance, given how
+    many terms were tried. A text counts as evidence
+    only with a place of its own (different neighbours), and a tenth of a term's texts have one, so that a
+    group of copies, where a rare word always has the same neighbours, does not make it a term. Only what
+    passes one test is counted for the next."""
     toxic, other = [t for t, y in rows if y], [t for t, y in rows if not y]
-    least = max(LEAST_TEXTS, LEAST_SHARE * len(toxic))
+    share = len(toxic) / len(rows)
+    odds = min(LEAST_ODDS, ODDS_A_TEXT * len(other)) * len(toxic) / len(other)
     held: Counter = Counter()
     for text in toxic:
         held.update({term for token in set(text.split()) for term in terms_of(plain(token))})
-    held = {term: n for term, n in held.items() if n >= max(LEAST_TEXTS, SHARE_PER_OTHER / 2 * len(toxic))}
+    held = {term: n for term, n in held.items() if n >= LEAST_TEXTS}
+    tested = len(held)
     elsewhere: Counter = Counter()
     for text in other:
         elsewhere.update({term for token in set(text.split()) for term in terms_of(plain(token)) if term in held})
-    held = {t: n for t, n in held.items() if n >= SHARE_PER_OTHER * (elsewhere[t] + 0.5) * len(toxic)}
+    held = {t: n for t, n in held.items() if n >= odds * (elsewhere[t] - 1)}
     places: dict[str, set[int]] = defaultdict(set)
     endings: dict[str, set[str]] = defaultdict(set)
     for text in toxic:
@@ -209,7 +229,12 @@ def learn_lexicon(rows: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
                 if term in held:
                     places[term].add(hash((before, after)))
                     endings[term].add(word)
-    telling = sorted((t for t in held if len(places[t]) >= least), key=lambda t: (len(t), t))
+    asked = {t: max(LEAST_TEXTS, min(PLACES_A_TEXT * n, MOST_PLACES_ASKED * len(toxic))) for t, n in held.items()}
+    by_chance = {
+        t: chance(min(n, len(places[t])), elsewhere[t], share) for t, n in held.items() if len(places[t]) >= asked[t]
+    }
+    terms = surprising(by_chance, tested)
+    telling = sorted(terms, key=lambda t: (len(t), t))
     stems: list[str] = []
     for stem in (t[:-1] for t in telling if t.endswith("*") and len(endings[t]) >= STEM_WORDS):
         if not any(stem.startswith(s) for s in stems):

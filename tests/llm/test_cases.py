@@ -119,6 +119,23 @@ def test_quotation_is_told_from_abuse():
     assert score("you idiott there") > 0.5 > score("")
 
 
+def test_terms_of_a_rare_language_are_learnt():
+    """A hundredth of 3,000 toxic rows is in another language; its terms are in 15 rows each. Copies are no terms."""
+    rng = random.Random(5)
+    prose = {x: [f"{x}{i:02}" for i in range(60)] for x in "es"}
+    common, rare = ["idiot", "moron"], ["tonto", "bobo", "zafio", "necio"]
+
+    def text(language, *terms):
+        words = rng.choices(prose[language], k=12)
+        for term in terms:
+            words.insert(rng.randrange(len(words)), term)
+        return " ".join(words)
+
+    rows = [(text("e", common[i % 2]), 1) for i in range(2940)] + [(text("s", rare[i % 2], rare[2 + i % 2]), 1) for i in range(30)]
+    rows += [("e01 e02 copied e03", 1)] * 30 + [(text("e" if i % 100 else "s"), 0) for i in range(3000)]
+    assert toxicity.learn_lexicon(rows) == (sorted(common + rare), [])
+
+
 def test_training_rows_are_bounded_and_held_out(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)] * 2, "doc_id long, text string")
     labels = labels_of(spark, [(i, i % 2, 0, "") for i in range(200)] + [(7, 0, 0, "")])
