@@ -56,7 +56,7 @@ def plain(token: str) -> str:
 
 
 def errors_allowed(term: str, stem: bool) -> int:
-    """Stems are short and open at the end: they allow none."""
+    """Stems are short and open at the end: they allow none; the words learnt beside them do."""
     if stem or len(term) < 4:
         return 0
     return 1 if len(term) < 8 else 2
@@ -84,7 +84,7 @@ class FuzzyTrie:
                     self.nodes.append(Node())
                 at = self.nodes[at].child[letter]
             self.nodes[at].most = max(self.nodes[at].most, allowed)
-            self.nodes[at].ends, self.nodes[at].stem = allowed, stem
+            self.nodes[at].ends, self.nodes[at].stem = max(self.nodes[at].ends, allowed), self.nodes[at].stem or stem
         self.sets: list[dict[int, int]] = []
         self.numbers: dict[tuple, int] = {}
         self.steps: list[dict[str, int]] = []
@@ -114,8 +114,8 @@ class FuzzyTrie:
         found: dict[int, int] = {}
         for at, cost in self.sets[state].items():
             node = self.nodes[at]
-            if node.stem and cost <= node.ends:
-                found[at] = min(cost, found.get(at, 99))
+            if node.stem and not cost:
+                found[at] = 0
             if cost + 1 <= node.most:
                 found[at] = min(cost + 1, found.get(at, 99))
             for own, child in node.child.items():
@@ -239,7 +239,7 @@ def learn_lexicon(rows: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
     for stem in (t[:-1] for t in telling if t.endswith("*") and len(endings[t]) >= STEM_WORDS):
         if not any(stem.startswith(s) for s in stems):
             stems.append(stem)
-    return sorted(t for t in telling if not t.endswith("*") and not any(t.startswith(s) for s in stems)), stems
+    return sorted(t for t in telling if not t.endswith("*")), stems
 
 
 @dataclass

@@ -136,6 +136,17 @@ def test_terms_of_a_rare_language_are_learnt():
     assert toxicity.learn_lexicon(rows) == (sorted(common + rare), [])
 
 
+def test_misspelt_terms_are_found_beside_a_stem():
+    endings = ["idiot", "idiots", "idiotic", "idiocy", "idiotically"]
+    rows = [(f"you{i} {endings[i % 5]} {i} go", 1) for i in range(100)] + [(f"a calm word {i} go", 0) for i in range(100)]
+    words, stems = toxicity.learn_lexicon(rows)
+    trie = toxicity.FuzzyTrie(words, stems)
+    assert stems == ["idio"] and words == sorted(endings)
+    assert [trie.errors(w) for w in ("idiotry", "1diot", "idot", "1diotcally", "1dioxy")] == [0, 1, 1, 2, -1]
+    trie = toxicity.FuzzyTrie(["idiot"], ["idiot"])
+    assert [trie.errors(w) for w in ("idiot", "idiotry", "1diot", "1diotry")] == [0, 0, 1, -1]
+
+
 def test_training_rows_are_bounded_and_held_out(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)] * 2, "doc_id long, text string")
     labels = labels_of(spark, [(i, i % 2, 0, "") for i in range(200)] + [(7, 0, 0, "")])
