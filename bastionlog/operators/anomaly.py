@@ -7,6 +7,7 @@ proven bound (trees x sample rows) no matter how large the table is, while scori
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from bastionlog.operators.features import VECTOR_FIELDS
 ship_by_value(__name__)
 
 # ---- fixed values: forest size, sample size, contamination and seed ---------------------------------
-TREES, SAMPLE_ROWS, CONTAMINATION, SEED = 100, 256, 0.05, 42
+TREES, SAMPLE_ROWS, CONTAMINATION, SEED, FOLDS = 100, 256, 0.05, 42, 4
 TREE_DDL = "tree int, node int, feature int, threshold double, left int, right int, depth double"
 
 
@@ -175,3 +176,13 @@ def classify_threats(vectors: DataFrame, model: PipelineModel) -> DataFrame:
         F.element_at(names, F.col("prediction").cast("int") + 1).alias("prediction"),
         F.array_max(full).alias("probability"), full.alias("probabilities"),
     )
+
+
+def cross_fitted(labelled: DataFrame, key: str, trees: int = TREES) -> DataFrame:
+    """Every line of ``labelled`` classified by a model that has not seen its fold, a hash of ``key``."""
+    fold = F.pmod(F.xxhash64(key), F.lit(FOLDS))
+    scored = [
+        classify_threats(labelled.filter(fold == k), fit_threat_classifier(labelled.filter(fold != k), trees))
+        for k in range(FOLDS)
+    ]
+    return reduce(DataFrame.unionAll, scored)

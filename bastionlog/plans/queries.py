@@ -550,11 +550,9 @@ def anomaly_scores(spark, sf_dir):
 
 @query
 def rf_threat_class(spark, sf_dir):
-    """A classifier fitted on three lines of four scores the others."""
+    """Every line, scored by a classifier fitted on the three quarters of the lines that it is not in."""
     labelled = materialise(vectors(spark, sf_dir).join(expected_threats(spark, sf_dir), "line_index"), "labelled")
-    fold = F.pmod(F.xxhash64("line_index"), F.lit(4))
-    model = anomaly.fit_threat_classifier(labelled.filter(fold > 0))
-    return anomaly.classify_threats(labelled.filter(fold == 0), model).drop("probabilities")
+    return anomaly.cross_fitted(labelled, "line_index").drop("probabilities")
 
 
 # ---- code corpus -----------------------------------------------------------------------------------------------------

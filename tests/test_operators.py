@@ -262,6 +262,15 @@ def test_random_forest(spark):
     assert all(r.label == r.prediction and 0.5 <= r.probability <= 1 and len(r.probabilities) == 2 for r in got)
 
 
+def test_every_line_is_classified_by_a_model_that_has_not_seen_it(spark):
+    """Line 0 alone is labelled z: a model that had seen it could answer z."""
+    rows = [(i, "z" if not i else "x" if i % 2 else "y", *[100.0 if not i else float(i % 2) * 10] * len(VECTOR_FIELDS)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "line_index bigint, label string, " + ", ".join(f"{c} double" for c in VECTOR_FIELDS))
+    got = {r.line_index: r for r in anomaly.cross_fitted(frame, "line_index", trees=5).collect()}
+    assert sorted(got) == list(range(200)) and got[0].prediction != "z"
+    assert all(got[i].prediction == got[i].label for i in range(1, 200))
+
+
 def test_each_tree_draws_for_itself(spark):
     names = ", ".join(f"{c} double" for c in VECTOR_FIELDS)
     for rows, least, most in ((100, 100, 100), (4000, 256, 600)):

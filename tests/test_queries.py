@@ -36,5 +36,11 @@ def test_query_without_sql(spark, name):
     assert rows == 1000 if name == "anomaly_scores" else 200 < rows < 300
 
 
+def test_threat_class_has_every_line(spark):
+    got = [r.line_index for r in queries()["rf_threat_class"](spark, SF_DIR).collect()]
+    want = [r.line_index for r in queries()["raw_lines"](spark, SF_DIR).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
