@@ -32,7 +32,7 @@ from bastionlog.llm.labelled import held_out, training_rows
 from bastionlog.llm.logistic import Logistic
 
 FOLDS, HELD_OUT_FOLD, CUT = 4, 2, 0.3
-PER_CLASS = 3000
+PER_CLASS = 5000
 MOST_CHARS = 30_000
 LEAST_TEXTS = 4
 LEAST_ODDS, ODDS_A_TEXT = 100, 0.04

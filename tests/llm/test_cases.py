@@ -157,6 +157,13 @@ def test_training_rows_are_bounded_and_held_out(spark):
     assert all(int(t.split()[1]) % 2 == y for t, y in rows)
 
 
+def test_toxicity_learns_from_5000_rows_a_class(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(toxicity, "training_rows", lambda *a: asked.append(a[5]) or [])
+    toxicity.train(None, None)
+    assert asked == [5000]
+
+
 def test_keep_good_keeps_columns(spark, odd):
     assert quality.keep_good(odd, labels_of(spark)).columns == odd.columns
 
