@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 NEIGHBOURS = 20
 DIMENSIONS = 8
-CONFIDENCE = 0.95
+CONFIDENCE = 0.98
 LEAF = 256
 SHARD_ROWS = 1 << 14
 QUERY_ROWS = 1 << 15

@@ -183,6 +183,11 @@ def test_neighbour_cases(spark):
     assert neighbours.nearest(vectors.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_search_ends_at_98_in_100():
+    shard = neighbours.Shard(np.eye(4), [np.array([i]) for i in range(4)])
+    assert abs(neighbours.chi_square(shard.limit) - 0.98) < 1e-9
+
+
 def test_recall_over_shards_with_lengths(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((3000, 16)) * rng.uniform(0.2, 3, (3000, 1))
