@@ -47,7 +47,14 @@ BASE_RULES = (
 )
 #: Rules of a later version; their spans are added to those of the base.
 ADDED_RULES = (
-    Rule("private", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    # Up to the next dashes if they are the END line's, or else over the lines of base64 that follow.
+    Rule(
+        "private",
+        2,
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?>(?s:.*?)-----)END [A-Z ]*PRIVATE KEY-----|(?:(?:\s|\\[nr]){1,4}[A-Za-z0-9+/]{16,}={0,2}){0,400}(?:(?:\s|\\[nr]){1,4}[A-Za-z0-9+/]{1,15}={1,2})?)",
+        0,
+        1,
+    ),
     Rule("webtoken", 2, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
     Rule("forge", 2, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
 )
@@ -157,8 +164,8 @@ def secret_findings(docs: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The text with ``REDACTED`` for the secret part of every finding."""
-    for rule in rules:
+    """The text with ``REDACTED`` for the secret part of every finding; private keys go first, being whole blocks."""
+    for rule in sorted(rules, key=lambda r: r.kind != "private"):
         if rule.kind == "assign":
             head, value = rule.pattern.rsplit("(", 1)
             least = value.removesuffix("+)") + f"{{{rule.least},}}"

@@ -310,6 +310,19 @@ def test_secret_cases(spark, odd, none):
     assert secrets.redact_secrets(odd, secrets.findings_by_blob(ledger)).columns == odd.columns
 
 
+def test_private_keys_go_with_their_bodies(spark):
+    body = "\n".join(["MIIEow+/" * 8] * 2000)
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    short = "\n".join(["MIIEow+/" * 8] * 3) + "\nAb12="
+    texts = [f"a {begin}\n{body}\n{end} z", f"a {begin}\n{short}\nand more words", f"a {begin}\n{short}\n{begin}\n{short}\n{end} z", f"a {begin} z"]
+    texts += [f"a {begin}\\n{'MIIEow+/' * 8}\\nAb12=\\n{end} z", f"a {begin}\nProc-Type: 4,ENCRYPTED\n\n{short}\n{end} z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = secrets.redact_secrets(docs, secrets.findings_by_blob(secrets.scan_unseen(docs)))
+    mark = secrets.REDACTED
+    want = [f"a {mark} z", f"a {mark}\nand more words", f"a {mark}\n{mark} z", f"a {mark} z", f"a {mark} z", f"a {mark} z"]
+    assert [r["text"] for r in clean.orderBy("doc_id").collect()] == want
+
+
 def test_secret_spans_and_redaction(spark):
     text = "é😀 Password: 'abcdefghijkl' token=short AKIA" + "Z" * 14 + " " + "0123456789abcdef " * 3 + "token=secret: \"abcdefghijklmnop"
     docs = spark.createDataFrame([(1, text, 0), (2, "AKIA" + "Z" * 13, 17), (3, "ghp_" + "z" * 36, 40)], "doc_id long, text string, n_chars int")
