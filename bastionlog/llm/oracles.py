@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of this package that SQL can express.
 
 Without SQL: toxicity and quality (trained models), neighbours (an approximate search), simhash (XXH64 and
-components), bpe (merges). They are tested against brute force, round trips or held-out labels.
+components), bpe and packing (merges). They are tested against brute force, round trips or held-out labels.
 """
 
 from __future__ import annotations
@@ -132,10 +132,80 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+PREFIXES = r"""
+WITH slim AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, strlen(coalesce(text, ''))::BIGINT AS size,
+    sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS said
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'said': said, 'size': size} ORDER BY turn NULLS FIRST, role, said) AS turns,
+    xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda s, b: list_reduce(list_concat([xor(s, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda t, z: xor(t >> 1, 3988292384 * (t & 1))))) % 9 AS h
+  FROM slim GROUP BY conv_id
+), rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.turns, [])[1:o.h], o.turns[o.h + 1:]) AS turns
+  FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5
+), member AS (
+  SELECT conv_id, len(turns) AS whole, d, md5(list_aggregate(list_transform(turns[1:d], lambda t: t.said), 'string_agg', ',')) AS node,
+    md5(list_aggregate(list_transform(turns[1:d - 1], lambda t: t.said), 'string_agg', ',')) AS up, CASE WHEN d > 0 THEN turns[d].size ELSE 0 END AS size
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT d, coalesce(node, '') AS node, CASE WHEN d > 0 THEN coalesce(up, '') END AS up, min(conv_id) AS conv_id, count(*) AS n,
+    (count(*) - 1) * any_value(size) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (whole = d), '')) AS ends
+  FROM member GROUP BY ALL
+), children AS (
+  SELECT up AS node, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), sized AS (
+  SELECT nodes.*, coalesce(c.n, 0) AS n_children FROM nodes LEFT JOIN children c USING (node, d)
+), below AS (
+  SELECT m.node, m.d, sum(s.saved) AS saved, count(*) FILTER (s.n_children = 0) AS leaves
+  FROM sized s JOIN (SELECT conv_id, d, coalesce(node, '') AS node FROM member) m ON m.conv_id = s.conv_id AND m.d <= s.d
+  GROUP BY ALL
+)
+SELECT s.conv_id, s.d::BIGINT AS depth, p.conv_id AS parent_conv_id, s.n::BIGINT AS n_convs, s.n_children::BIGINT AS n_children,
+  b.leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, s.ends AS ends_sha256
+FROM sized s JOIN below b USING (node, d) LEFT JOIN nodes p ON p.node = s.up AND p.d = s.d - 1
+"""
+
+COLLOCATIONS = rf"""
+WITH said AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), totals AS (
+  SELECT lang, sum(len(w)) AS n FROM said GROUP BY lang
+), often AS (
+  SELECT lang, k, phrase, count(*) AS a
+  FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM said, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k))
+  GROUP BY ALL HAVING count(*) >= 100
+), candidates AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM often WHERE k > 1
+), cuts AS (
+  SELECT c.lang, c.phrase, c.w, c.a, c.cut, l.a AS l, r.a AS r, t.n, (1000::HUGEINT * c.a * t.n) // (l.a::HUGEINT * r.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+  JOIN often l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN often r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.cut + 1:], ' ')
+  JOIN totals t ON t.lang = c.lang
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), within AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM candidates)) GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l,
+  r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM lowest LEFT JOIN within USING (lang, phrase) WHERE NOT coalesce(100 * longer >= 100 * a, false)
+QUALIFY rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc": WARC,
     "op6_secrets": secret_sql(),
     "op8_chat": CHAT,
     "op9_substrings": SUBSTRINGS,
     "op10_decontaminate": DECONTAMINATION,
+    "op12_prefixes": PREFIXES,
+    "op13_collocations": COLLOCATIONS,
 }

@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bastionlog.llm import bpe, chat, decontaminate, neighbours, quality, secrets, simhash, substrings, toxicity, warc
+from bastionlog.llm import (
+    bpe, chat, collocations, decontaminate, neighbours, packing, prefixes, quality, secrets, simhash, substrings, toxicity, warc,
+)
 from bastionlog.llm.tables import table
 from bastionlog.session import materialise
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PACKED_VOCABULARY = "word_bpe_49k.json"
 
 
 def query(f):
@@ -92,3 +95,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words of every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).drop("longest_span", "spans")
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of 2,048 ids."""
+    return packing.packed(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(PACKED_VOCABULARY))
+
+
+@query
+def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations."""
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents", "lang", "text"))

@@ -36,7 +36,7 @@ def rows(spark, name):
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in REGISTRY} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in REGISTRY} == {f"op{n}" for n in range(1, 14)}
     assert set(REGISTRY) | {"pipeline"} <= set(queries())
     assert set(ORACLES) <= set(oracle_sql())
 
