@@ -6,7 +6,8 @@ windows of 20 words, wherever they begin, share an equal anchor at the same offs
 windows that hold an anchor seen twice are extended to their 20 words, hashed and compared; the first in
 order of (doc_id, position) stays, the others' words go.
 
-Documents meet in blocks by a hash of their id. A block sends each distinct hash once, packed by bucket of
+Documents meet in blocks by a hash of id and text, so rows that share an id spread; equal rows are one row
+with a count, and what is left of the further ones is known without looking. A block sends each distinct hash once, packed by bucket of
 the hash: a passage in a third of all documents is one entry a block, and no bucket gathers more than its
 share. A bucket answers each block with a bit per entry. Blocks are made by one shuffle of the texts that
 all three passes read; what else is shuffled is a few bytes an anchor or window.
@@ -15,8 +16,8 @@ Anchors are told apart by their bucket and 40 bits, as a false meeting only cost
 are told apart by their bucket, from one hash, and 64 bits of another.
 
 Cases: null and blank texts have no words, and the digest of nothing. Texts of fewer words than a window
-lose none. Repeated rows of an id are documents one after another, in order of their texts. Null ids come
-last. An empty table gives an empty result. Columns other than doc_id and text are not looked at.
+lose none. Rows of one id are documents one after another, in order of a digest of their texts. Null ids come
+last (beside an id of 2^63 - 1). Ids are whole numbers throughout. An empty table gives an empty result. Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ WINDOW, ANCHOR, PERIOD = 20, 8, 13
 COVER = (0, 1, 3, 9)
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
-LAST = np.iinfo(np.int64).max
+LAST = int(np.iinfo(np.int64).max)
 BUCKET_POWERS = W.Powers(np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -52,12 +53,12 @@ class Block:
     """The documents of a block in order, and their words."""
 
     def __init__(self, rows: pd.DataFrame, buckets: int) -> None:
-        ids = rows["doc_id"]
-        order = np.where(ids.isna(), LAST, ids.fillna(0)).astype(np.int64)
+        order = rows["place"].to_numpy(dtype=np.int64)
         texts = [W.raw(t) for t in rows["text"]]
-        by = sorted(range(len(texts)), key=lambda i: (order[i], texts[i]))
+        tie = np.array([int.from_bytes(hashlib.sha256(t).digest()[:4], "big") for t in texts], dtype=np.uint32)
+        by = sorted(range(len(texts)), key=lambda i: (order[i], tie[i], texts[i]))
         self.rows, self.buckets = rows.iloc[by], buckets
-        self.order, self.texts = order[by], [texts[i] for i in by]
+        self.order, self.tie, self.texts = order[by], tie[by], [texts[i] for i in by]
         data, starts, ends, self.first = W.joined(self.texts, W.NOT_BLANK)
         self.counts = np.diff(self.first)
         self.words = W.span_hashes(data, starts, ends)
@@ -102,9 +103,10 @@ class Block:
         self.window_hash, self.window_bucket = hashes[self.head], bucket[self.head]
 
     def window_packs(self) -> Iterator[tuple[int, bytes]]:
-        """(bucket, hash of each group of equal windows and the id of the first document that has it)."""
-        ids = self.order[self.doc[self.windows[self.head]]]
-        yield from ((b, packed(self.window_hash[s:e], ids[s:e])) for b, s, e in parts(self.window_bucket))
+        """(bucket, hash of each group of equal windows and the place of the first document that has it)."""
+        first = self.doc[self.windows[self.head]]
+        ids, tie = self.order[first], self.tie[first]
+        yield from ((b, packed(self.window_hash[s:e], ids[s:e], tie[s:e])) for b, s, e in parts(self.window_bucket))
 
     def results(self, answers: dict[int, bytes]) -> pd.DataFrame:
         """What stays of each document, by whether the block's first of each group is the corpus's first."""
@@ -117,15 +119,21 @@ class Block:
         kept = np.cumsum(change)[:-1] == 0
         total = np.concatenate(([0], np.cumsum(~kept)))
         removed = total[self.first[1:]] - total[self.first[:-1]]
-        digests = []
+        made = []
         for i, text in enumerate(self.texts):
             own = text.split()
             if removed[i]:
                 own = compress(own, kept[self.first[i] : self.first[i + 1]].tolist())
-            digests.append(hashlib.sha256(b" ".join(own)).hexdigest())
-        return pd.DataFrame(
-            {"doc_id": self.rows["doc_id"].to_numpy(), "n_words": self.counts, "n_removed": removed, "kept_sha256": digests}
-        )
+            n, whole = int(self.counts[i]), int(self.counts[i]) >= WINDOW
+            made.append((n, int(removed[i]), hashlib.sha256(b" ".join(own)).hexdigest()))
+            # Every word of a further equal row lies in a window that stands earlier, if there is a window.
+            again = (n, n, hashlib.sha256(b"").hexdigest()) if whole else made[-1]
+            made += [again] * (int(self.rows["copies"].iloc[i]) - 1)
+        copies = self.rows["copies"].to_numpy()
+        places, missing = (np.repeat(self.rows[c].to_numpy(), copies) for c in ("place", "missing"))
+        result = pd.DataFrame(made, columns=["n_words", "n_removed", "kept_sha256"])
+        result.insert(0, "doc_id", pd.arrays.IntegerArray(places.astype(np.int64), missing.astype(bool)))
+        return result
 
 
 def parts(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -140,21 +148,22 @@ def bits_of(bucket: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
     return np.concatenate(bits).astype(bool) if bits else np.zeros(0, dtype=bool)
 
 
-def packed(hashes: np.ndarray, ids: np.ndarray) -> bytes:
-    """Hashes, and ids less their smallest in as few bytes as they need."""
+def packed(hashes: np.ndarray, ids: np.ndarray, tie: np.ndarray) -> bytes:
+    """Hashes, ties, and ids less their smallest in as few bytes as they need."""
     base = int(ids.min())
     more = (ids.astype(object) - base if int(ids.max()) - base >= 1 << 63 else ids - base).astype("<u8")
     width = max(1, (int(more.max()).bit_length() + 7) // 8)
     head = np.array([len(ids), base, width], dtype="<i8").tobytes()
-    return head + hashes.astype("<u8").tobytes() + more.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return head + hashes.astype("<u8").tobytes() + tie.astype("<u4").tobytes() + more.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, base, width = np.frombuffer(data, dtype="<i8", count=3).tolist()
     hashes = np.frombuffer(data, dtype="<u8", count=n, offset=24)
+    tie = np.frombuffer(data, dtype="<u4", count=n, offset=24 + 8 * n)
     wide = np.zeros((n, 8), dtype=np.uint8)
-    wide[:, :width] = np.frombuffer(data, dtype=np.uint8, offset=24 + 8 * n).reshape(n, width)
-    return hashes, (wide.view("<u8").ravel() + np.uint64(base & (1 << 64) - 1)).view(np.int64)
+    wide[:, :width] = np.frombuffer(data, dtype=np.uint8, offset=24 + 12 * n).reshape(n, width)
+    return hashes, tie, (wide.view("<u8").ravel() + np.uint64(base & (1 << 64) - 1)).view(np.int64)
 
 
 def answered(rows: pd.DataFrame, sizes: list[int], flags: np.ndarray, bucket: int) -> pd.DataFrame:
@@ -183,9 +192,9 @@ def seen_twice(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def seen_first(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Of a bucket's windows, those whose block holds the corpus's first."""
     sent = [unpacked(d) for d in rows["data"]]
-    sizes = [len(h) for h, _ in sent]
-    hashes, ids = (np.concatenate([s[k] for s in sent]) for k in (0, 1))
-    order = np.lexsort((np.repeat(rows["block"].to_numpy(), sizes), ids, hashes))
+    sizes = [len(h) for h, _, _ in sent]
+    hashes, tie, ids = (np.concatenate([s[k] for s in sent]) for k in (0, 1, 2))
+    order = np.lexsort((np.repeat(rows["block"].to_numpy(), sizes), tie, ids, hashes))
     flags = np.zeros(len(hashes), dtype=bool)
     flags[order[np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))]] = True
     return answered(rows, sizes, flags, key[0])
@@ -195,8 +204,13 @@ def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_byte
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     blocks, buckets = max(1, -(-size // block_bytes)), max(1, -(-size // bucket_bytes))
-    spread = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks))
-    dealt = docs.select(spread.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    doc_id = F.col("doc_id").cast("long")
+    dealt = docs.select(
+        F.pmod(F.xxhash64(doc_id, "text"), F.lit(blocks)).alias("block"),
+        F.coalesce(doc_id, F.lit(LAST)).alias("place"), doc_id.isNull().alias("missing"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+    # The shuffle by block serves this count and the three passes; equal rows never meet in a group.
+    dealt = dealt.repartition("block").groupBy("block", "place", "missing", "text").agg(F.count(F.lit(1)).alias("copies"))
     pack, answer = "block long, bucket long, data binary", "block long, bucket long, bits binary"
 
     def packs(key: tuple, made: Iterator[tuple[int, bytes]]) -> pd.DataFrame:
