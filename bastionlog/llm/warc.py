@@ -195,7 +195,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, frame_byte
     def bundles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made = Bundle(frame_bytes)
         for batch in batches:
-            number = lambda x: None if pd.isna(x) else int(x)
+            # Ids come as text: beside a null, whole numbers would become floats.
+            number = lambda x: None if x is None else int(x)
             for page_id, url, html, refers in zip(batch["page_id"], batch["url"], batch["html"], batch["refers_to"], strict=True):
                 page_id = number(page_id)
                 made.add(record_name(page_id), record(page_id, url, html.encode("utf-8", "surrogatepass"), number(refers)))
@@ -205,7 +206,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, frame_byte
         if made.index:
             yield pd.DataFrame({"content": [made.content().removesuffix(FOOTER)]})
 
-    packed = with_revisits(pages, least).mapInPandas(bundles, "content binary")
+    ids = {c: F.col(c).cast("string") for c in ("page_id", "refers_to")}
+    packed = with_revisits(pages, least).withColumns(ids).mapInPandas(bundles, "content binary")
     (
         packed.select(F.col("content").cast("string").alias("value"))
         .write.option("encoding", "ISO-8859-1")
@@ -226,8 +228,8 @@ def read_archives(spark: SparkSession, folder: str, names: set[str] | None = Non
         columns = [c.split()[0] for c in RECORD.split(", ")]
         for batch in batches:
             for content in batch["content"]:
-                rows = pd.DataFrame([described(r) for r in Reader(content).records(names)], columns=columns)
-                yield rows.astype({"page_id": "Int64", "refers_to": "Int64"})
+                rows = pd.DataFrame([described(r) for r in Reader(content).records(names)], columns=columns, dtype=object)
+                yield rows.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
 
     return bundle_files(spark, folder).mapInPandas(described_in, RECORD)
 
