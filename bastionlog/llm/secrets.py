@@ -47,11 +47,12 @@ BASE_RULES = (
 )
 #: Rules of a later version; their spans are added to those of the base.
 ADDED_RULES = (
-    # Up to the next dashes if they are the END line's, or else over the lines of base64 that follow.
+    # Up to the END line, past the few dashes of header lines; without one, the whole run of base64 signs,
+    # blanks and written line ends that follows.
     Rule(
         "private",
-        2,
-        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?>(?s:.*?)-----)END [A-Z ]*PRIVATE KEY-----|(?:(?:\s|\\[nr]){1,4}[A-Za-z0-9+/]{16,}={0,2}){0,400}(?:(?:\s|\\[nr]){1,4}[A-Za-z0-9+/]{1,15}={1,2})?)",
+        3,
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,8}-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=\x20\x09-\x0D\\]*)",
         0,
         1,
     ),

@@ -55,6 +55,14 @@ def test_warc_cases(spark):
     assert {r["record_type"] for r in warc.archived(spark, pages, least=1 << 30).collect()} == {response}
 
 
+def test_warc_ids_stay_whole(spark):
+    big = 2**53
+    rows = [(big + 1, "u", "same"), (big + 3, "u", "same"), (None, "u", "other"), (big + 5, "u", "third"), (-(2**63), "u", "fourth"), (2**63 - 1, "u", "fourth")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {(r["page_id"], r["refers_to"]) for r in warc.archived(spark, pages).collect()}
+    assert got == {(big + 1, None), (big + 3, big + 1), (None, None), (big + 5, None), (-(2**63), None), (2**63 - 1, -(2**63))}
+
+
 def test_warc_bundles_are_seekable(spark, tmp_path):
     import zstandard
 
@@ -314,12 +322,12 @@ def test_private_keys_go_with_their_bodies(spark):
     body = "\n".join(["MIIEow+/" * 8] * 2000)
     begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
     short = "\n".join(["MIIEow+/" * 8] * 3) + "\nAb12="
-    texts = [f"a {begin}\n{body}\n{end} z", f"a {begin}\n{short}\nand more words", f"a {begin}\n{short}\n{begin}\n{short}\n{end} z", f"a {begin} z"]
-    texts += [f"a {begin}\\n{'MIIEow+/' * 8}\\nAb12=\\n{end} z", f"a {begin}\nProc-Type: 4,ENCRYPTED\n\n{short}\n{end} z"]
+    texts = [f"a {begin}\n{body}\n{end} z", f"a {begin}\n{short}\nand more words", f"a {begin}\n{short}\n{begin}\n{short}\n{end} z", f"a {begin}, then z"]
+    texts += [f"a {begin}\\n{'MIIEow+/' * 8}\\nAb12=\\n{end} z", f"a {begin}\nProc-Type: 4,ENCRYPTED\n\n{short}\n{end} z", f"a {begin}\n{body}. Next"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     clean = secrets.redact_secrets(docs, secrets.findings_by_blob(secrets.scan_unseen(docs)))
     mark = secrets.REDACTED
-    want = [f"a {mark} z", f"a {mark}\nand more words", f"a {mark}\n{mark} z", f"a {mark} z", f"a {mark} z", f"a {mark} z"]
+    want = [f"a {mark} z", f"a {mark}", f"a {mark}{mark} z", f"a {mark}, then z", f"a {mark} z", f"a {mark} z", f"a {mark}. Next"]
     assert [r["text"] for r in clean.orderBy("doc_id").collect()] == want
 
 
@@ -385,7 +393,7 @@ def test_chat_cases(spark):
 
 def brute_repeats(docs):
     seen, out = set(), []
-    for i, text in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, d[1] or "")):
+    for i, text in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, hashlib.sha256((d[1] or "").encode()).digest()[:4])):
         words = (text or "").encode().split()
         gone = [False] * len(words)
         for k in range(len(words) - 19):
@@ -422,6 +430,18 @@ def test_repeat_cases(spark, odd, none):
     assert substrings.without_repeats(none).collect() == []
 
 
+@pytest.mark.parametrize("block", [8 << 20, 300])
+def test_repeats_and_null_or_large_ids(spark, block):
+    """Null ids come last, large ones stay apart, and one id or one row may hold a third of the table."""
+    passage = " ".join(f"w{i}" for i in range(30))
+    docs = [(1, passage), (2, passage), (None, passage), (None, "x " + passage), (2**53, "a " + passage), (2**53 + 1, "b " + passage)]
+    docs += [(7, f"{passage} tail {i}") for i in range(30)] + [(8, passage + " same")] * 30 + [(9, "few words")] * 5 + [(2**63 - 2, passage)]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, place long").repartition(4)
+    got = sorted((tuple(r) for r in substrings.without_repeats(df, block, 400).collect()), key=repr)
+    assert got == brute_repeats(docs)
+    assert (1, 30, 0) == next(r for r in got if r[0] == 1)[:3] and all(r[2] >= 30 for r in got if r[0] is None)
+
+
 def test_cover_meets_every_offset():
     cover, period = substrings.COVER, substrings.PERIOD
     assert substrings.ANCHOR + period - 1 <= substrings.WINDOW
@@ -430,8 +450,9 @@ def test_cover_meets_every_offset():
 
 def test_packs_come_back():
     for ids in ([5, 9, 5], [2**63 - 1, -(2**62)], [0, 2**63 - 1]):
-        hashes, back = substrings.unpacked(substrings.packed(np.arange(len(ids), dtype=np.uint64), np.array(ids)))
-        assert hashes.tolist() == list(range(len(ids))) and back.tolist() == ids
+        numbers = np.arange(len(ids), dtype=np.uint64)
+        hashes, tie, back = substrings.unpacked(substrings.packed(numbers, np.array(ids), numbers.astype(np.uint32) + 7))
+        assert hashes.tolist() == list(range(len(ids))) and back.tolist() == ids and tie.tolist() == [n + 7 for n in range(len(ids))]
 
 
 # --- decontamination ----------------------------------------------------------------------------------
