@@ -4,8 +4,13 @@ In line order a hit replaces the kept one when it lies more than the window away
 the window when its score is strictly higher. The last kept hit is the result. That is a sequential
 rule, but a stretch of consecutive hits can be reduced to a short list of *segments*: for the first
 hit of the stretch that would replace an earlier kept hit, which hit is kept at the end of the
-stretch. Stretches are reduced independently and the short lists are then walked per key, so no task
-ever holds all hits of a key.
+stretch. Two neighbouring lists compose to one of the same kind, and composing is associative: stretches
+are reduced independently, neighbouring stretches are composed ``FAN`` at a time, level by level, and what
+is left of a key is walked as it streams by, with one kept hit as the state. No task and no array holds
+all hits, or all segments, of a key.
+
+A segment carries its line's text: there are few, and fetching texts by line number at the end would read
+and shuffle all lines once more.
 
 Confidence depends on whether the whole key holds direct evidence, which is known only at the end;
 both possible scores are folded side by side and the right one is picked last.
@@ -19,7 +24,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bastionlog.functions.shipping import ship_by_value
@@ -28,6 +33,8 @@ from bastionlog.rules.signatures import DEDUP_WINDOW_SECONDS
 ship_by_value(__name__)
 
 CHUNK_LINES = 1 << 22
+#: Stretches composed in one task, and how often: once, a key's part of 2^28 lines is one list.
+FAN, LEVELS = 64, 1
 MODES = (("plain_score", 0), ("direct_score", 1))
 BOTH = 2
 
@@ -129,9 +136,9 @@ def compose(first: list[Segment], second: list[Segment], window: int) -> list[Se
 class _Open:
     """The key being read: its segments so far and its counts."""
 
-    def __init__(self, marker: tuple, first_line: int) -> None:
-        self.marker, self.key = marker, marker[:3]
-        self.first_line, self.hits, self.direct = first_line, 0, False
+    def __init__(self, marker: tuple) -> None:
+        self.marker, self.key, self.part = marker, marker[:3], marker[3]
+        self.hits, self.direct = 0, False
         self.segments: dict[int, list[Segment]] = {0: [], 1: []}
 
     def extend(self, mode: int, fresh: list[Segment], window: int, payload) -> None:
@@ -144,14 +151,14 @@ class _Open:
         counted = (self.hits, self.direct)
         plain, direct = self.segments[0], self.segments[1]
         if plain and plain[0].row == direct[0].row and len(plain) == len(direct) == 1:
-            yield (*self.key, *counted, self.first_line, 0, BOTH, *_bounds(plain[0], direct[0]), *plain[0].row)
+            yield (*self.key, *counted, self.part, 0, BOTH, *_bounds(plain[0], direct[0]), *plain[0].row)
             return
         for mode in (0, 1):
             for number, s in enumerate(self.segments[mode]):
-                yield (*self.key, *counted, self.first_line, number, mode, *_bounds(s, s), *s.row)
+                yield (*self.key, *counted, self.part, number, mode, *_bounds(s, s), *s.row)
                 counted = (0, False)
         if not plain:
-            yield (*self.key, *counted, self.first_line, 0, BOTH, *[None] * 10)
+            yield (*self.key, *counted, self.part, 0, BOTH, *[None] * 10)
 
 
 def _bounds(plain: Segment, direct: Segment) -> tuple:
@@ -187,7 +194,7 @@ def make_reducer(window_us: int, schema: pa.Schema):
                 if open_key is None or open_key.marker != marker:
                     if open_key is not None:
                         done.extend(open_key.rows())
-                    open_key = _Open(marker, int(lines[a]))
+                    open_key = _Open(marker)
                 open_key.hits += b - a
                 open_key.direct = open_key.direct or any(direct_list[a:b])
                 where = [i for i in range(a, b) if fit_list[i]]
@@ -240,57 +247,133 @@ def reduce_hits(hits: DataFrame, window_seconds: int = DEDUP_WINDOW_SECONDS, chu
     )
 
 
-def walk(segments: Column, score: str, top: str, window_us: int) -> Column:
-    """Kept hit after walking sorted segments; a stretch is left after its first trigger."""
-    state = "struct<part:bigint,time_us:bigint,score:int,line_index:bigint,jitter:int,raw_message:string>"
+def segments_of(rows: list[dict], mode: int) -> list[Segment]:
+    """The segments a mode sees among the rows of one part."""
+    top, score = ("direct_top", "direct_score") if mode else ("plain_top", "plain_score")
+    return [
+        Segment(r[top], r["latest"], r["earliest"], r["time_us"], r[score], (r["line_index"], r["time_us"], r["jitter"], r["raw_message"]))
+        for r in rows
+        if r["line_index"] is not None and r["mode"] in (mode, BOTH)
+    ]
+
 
-    def step(acc: Column, s: Column) -> Column:
-        enters = acc["line_index"].isNull() | (
-            (acc["part"] != s["part"])
-            & (
-                (s[top] > acc["score"])
-                | (s["latest"] - acc["time_us"] > window_us)
-                | (acc["time_us"] - s["earliest"] > window_us)
-            )
-        )
-        moved = F.struct(
-            s["part"].alias("part"), s["time_us"].alias("time_us"), s[score].alias("score"),
-            s["line_index"].alias("line_index"), s["jitter"].alias("jitter"), s["raw_message"].alias("raw_message"),
-        )
-        return F.when(enters, moved).otherwise(acc).cast(state)
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
+    """(key and part, rows) of batches sorted by key, part, mode and number."""
+    marker, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            at = (row["stream_id"], row["source_ip"], row["rule_no"], row["part"])
+            if at != marker and rows:
+                yield marker, rows
+                rows = []
+            marker = at
+            rows.append(row)
+    if rows:
+        yield marker, rows
 
-    return F.aggregate(segments, F.lit(None).cast(state), step)
 
+def make_composer(window_us: int, fan: int, schema: pa.Schema):
+    """Arrow function that composes the lists of ``fan`` neighbouring parts to one."""
 
-def keep_one(segments: DataFrame, window_seconds: int = DEDUP_WINDOW_SECONDS) -> DataFrame:
-    """One row per (scope, address, threat): hit count, evidence mark and the kept hit.
+    def compose_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key: _Open | None = None
+        done: list[tuple] = []
+        for marker, rows in parts(batches):
+            above = (*marker[:3], marker[3] // fan)
+            if open_key is None or open_key.marker != above:
+                if open_key is not None:
+                    done.extend(open_key.rows())
+                open_key = _Open(above)
+            open_key.hits += sum(r["hits"] for r in rows)
+            open_key.direct = open_key.direct or any(r["any_direct"] for r in rows)
+            for mode in (0, 1):
+                if fresh := segments_of(rows, mode):
+                    open_key.extend(mode, fresh, window_us, None)
+            if len(done) >= 10_000:
+                yield _as_batch(done, schema)
+                done = []
+        if open_key is not None:
+            done.extend(open_key.rows())
+        if done:
+            yield _as_batch(done, schema)
+
+    return compose_parts
+
+
+KEPT_SCHEMA = pa.schema(
+    [
+        ("stream_id", pa.int64()), ("source_ip", pa.string()), ("rule_no", pa.int32()), ("hits", pa.int64()),
+        ("any_direct", pa.bool_()), ("segment_count", pa.int64()), ("line_index", pa.int64()), ("time_us", pa.int64()),
+        ("jitter", pa.int32()), ("raw_message", pa.string()),
+    ]
+)
+KEPT_DDL = (
+    "stream_id bigint, source_ip string, rule_no int, hits bigint, any_direct boolean, segment_count bigint, "
+    "line_index bigint, time_us bigint, jitter int, raw_message string"
+)
 
-    ``segment_count`` is zero where no hit was eligible; the kept hit is null there. Filtering by it
-    costs nothing, while a filter on the kept hit would make the optimiser walk the segments twice.
+
+def make_walker(window_us: int):
+    """Arrow function that walks a key's lists in order; its state is the kept hit by either score."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, done = None, None, []
+
+        def row() -> tuple:
+            hits, direct, count, kept = state
+            return (*key, hits, direct, count, *(kept[int(direct)].row if kept[int(direct)] else (None,) * 4))
+
+        for marker, rows in parts(batches):
+            if marker[:3] != key:
+                if key is not None:
+                    done.append(row())
+                key, state = marker[:3], (0, False, 0, (None, None))
+            hits, direct, count, kept = state
+            moved = []
+            for mode, now in enumerate(kept):
+                own = segments_of(rows, mode)
+                count += len(own)
+                entered = (own[0] if own else None) if now is None else enter(own, now.time, now.score, window_us)
+                moved.append(entered or now)
+            state = (hits + sum(r["hits"] for r in rows), direct or any(r["any_direct"] for r in rows), count, tuple(moved))
+            if len(done) >= 10_000:
+                yield _as_batch(done, KEPT_SCHEMA)
+                done = []
+        if key is not None:
+            done.append(row())
+        if done:
+            yield _as_batch(done, KEPT_SCHEMA)
+
+    return walk
+
+
+def compose_level(segments: DataFrame, window_seconds: int = DEDUP_WINDOW_SECONDS, fan: int = FAN) -> DataFrame:
+    """Segments with the lists of ``fan`` neighbouring parts of a key composed to one.
+
+    The part above is in the shuffle key, so a hot key stays spread over tasks.
     """
-    window_us = window_seconds * 1_000_000
-    fields = ["part", "number", "mode", "plain_top", "direct_top", "latest", "earliest", "plain_score",
-              "direct_score", "line_index", "time_us", "jitter", "raw_message"]
-    grouped = (
-        segments.repartition("stream_id", "source_ip")
-        .groupBy("stream_id", "source_ip", "rule_no")
-        .agg(
-            F.sum("hits").alias("hits"),
-            F.bool_or("any_direct").alias("any_direct"),
-            F.count("line_index").alias("segment_count"),
-            F.array_sort(F.collect_list(F.struct(*fields))).alias("segments"),
-        )
-    )
-    mode = F.when(F.col("any_direct"), 1).otherwise(0)
-    usable = F.filter(
-        "segments", lambda s: s["mode"].isin(BOTH) & s["line_index"].isNotNull() | (s["mode"] == mode)
-    )
-    kept = F.when(F.col("any_direct"), walk(F.col("usable"), "direct_score", "direct_top", window_us)).otherwise(
-        walk(F.col("usable"), "plain_score", "plain_top", window_us)
+    keys = ["stream_id", "source_ip", "rule_no"]
+    return (
+        segments.withColumn("above", F.expr(f"part div {fan}"))
+        .repartition(*keys, "above")
+        .sortWithinPartitions(*keys, "above", "part", "mode", "number")
+        .drop("above")
+        .mapInArrow(make_composer(window_seconds * 1_000_000, fan, SEGMENT_SCHEMA), SEGMENT_DDL)
     )
+
+
+def keep_one(
+    segments: DataFrame, window_seconds: int = DEDUP_WINDOW_SECONDS, levels: int = LEVELS, fan: int = FAN
+) -> DataFrame:
+    """One row per (scope, address, threat): hit count, evidence mark and the kept hit.
+
+    ``segment_count`` is zero where no hit was eligible; the kept hit is null there.
+    """
+    for _ in range(levels):
+        segments = compose_level(segments, window_seconds, fan)
+    keys = ["stream_id", "source_ip", "rule_no"]
     return (
-        grouped.withColumn("usable", usable)
-        .withColumn("kept", kept)
-        .select("stream_id", "source_ip", "rule_no", "hits", "any_direct", "segment_count", "kept.*")
-        .drop("part", "score")
+        segments.repartition("stream_id", "source_ip")
+        .sortWithinPartitions(*keys, "part", "mode", "number")
+        .mapInArrow(make_walker(window_seconds * 1_000_000), KEPT_DDL)
     )

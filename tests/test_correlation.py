@@ -2,13 +2,14 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from bastionlog.operators.correlate import escalations, gap_sessions
 from bastionlog.operators.disambiguate import disambiguate, most_specific_auth, suppress_losers
 from bastionlog.operators.features import extract_features
-from bastionlog.operators.fold import compose, enter, keep_one, reduce_hits, summarise
+from bastionlog.operators.fold import compose, compose_level, enter, keep_one, reduce_hits, summarise
 from bastionlog.operators.ipfill import resolve_source_ip
 from bastionlog.plans.detect import detect, scored_hits
 from bastionlog.rules.signatures import AUTH_PRIORITY, SUPPRESSION_PAIRS
@@ -67,8 +68,8 @@ HITS_DDL = ("stream_id bigint, source_ip string, rule_no int, line_index bigint,
             "eligible boolean, plain_score int, direct_score int, raw_message string")
 
 
-@pytest.mark.parametrize("chunk_lines", [16, 700, 1 << 22])
-def test_fold_over_chunks_and_batches(spark, chunk_lines):
+@pytest.mark.parametrize("chunk_lines,levels,fan", [(16, 3, 4), (16, 0, 2), (1, 4, 3), (700, 1, 64), (1 << 22, 1, 64)])
+def test_fold_over_chunks_and_batches(spark, chunk_lines, levels, fan):
     rng = random.Random(3)
     rows, line = [], 0
     for _ in range(3000):
@@ -82,7 +83,7 @@ def test_fold_over_chunks_and_batches(spark, chunk_lines):
         line += 1
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     try:
-        got = keep_one(reduce_hits(spark.createDataFrame(rows, HITS_DDL), WINDOW, chunk_lines), WINDOW).collect()
+        got = keep_one(reduce_hits(spark.createDataFrame(rows, HITS_DDL), WINDOW, chunk_lines), WINDOW, levels, fan).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     groups = {}
@@ -101,6 +102,25 @@ def test_fold_over_chunks_and_batches(spark, chunk_lines):
         assert (r.line_index, r.jitter, r.raw_message) == (kept[3], kept[5], kept[10])
 
 
+def test_fold_spreads_a_hot_key(spark):
+    """One key in a third of the lines: no array of a key in the plan, and each task composes its own parts."""
+    rows = [(0, "hot" if i % 3 == 0 else f"ip{i % 50}", 1, i, i * 40_000_000, i % 1000, False, True, 650, 700, f"m{i}") for i in range(6000)]
+    segments = reduce_hits(spark.createDataFrame(rows, HITS_DDL), WINDOW, 16)
+    kept = keep_one(segments, WINDOW, 2, 8)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "above" in plan
+    composed = compose_level(segments, WINDOW, 8).filter("source_ip = 'hot'")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        a_task = composed.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(a_task) > 1 and composed.select("part").distinct().count() == -(-6000 // (16 * 8))
+    hot = [r for r in rows if r[1] == "hot"]
+    want = hot[plain_fold([(r[4] // 1_000_000, r[8]) for r in hot])[0]]
+    assert kept.filter("source_ip = 'hot'").first().line_index == want[3]
+
+
 @pytest.mark.parametrize("chunk_lines", [1, 3, 7, 1000])
 def test_ip_fill(spark, chunk_lines):
     rng = random.Random(chunk_lines)
