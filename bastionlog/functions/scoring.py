@@ -1,4 +1,4 @@
-"""Confidence arithmetic in whole ten-thousandths, so that rounding never depends on binary fractions."""
+"""Confidence arithmetic in whole millionths, so that rounding never depends on binary fractions."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from bastionlog.rules.signatures import COMPLIANCE_THREATS, NOT_APPLICABLE
 
-# ---- fixed values: weights and limits in ten-thousandths -----------------------------------------
-BASE_WEIGHT_PERCENT = 70
+# ---- fixed values: weights in percent, limits in ten-thousandths ---------------------------------
+BASE_WEIGHT_PERCENT, MODEL_WEIGHT_PERCENT = 70, 15
+WEAK_BASE_PERCENT, WEAK_MODEL_PERCENT = 50, 25
+WEAK_FLOOR, WEAK_CAP = 3000, 5500
 JITTER_CENTRE = 500
 DIRECT_BONUS = 1500
 FLOOR_CONFIRMED = 7000
@@ -22,20 +24,31 @@ def jitter(message: Column, threat: Column, line_index: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 1000).cast("int")
 
 
-def confidence_thousandths(base: Column, spread: Column, direct: Column, corroborated: Column) -> Column:
+def model_share(anomaly: Column, classified: Column) -> Column:
+    """Both models' scores of a line (0 to 1, null counts as 0) as one whole number of ten-thousandths."""
+    whole = [F.floor(F.coalesce(c.cast("double"), F.lit(0.0)) * 10_000 + 0.5).cast("int") for c in (anomaly, classified)]
+    return whole[0] + whole[1]
+
+
+def confidence_thousandths(base: Column, spread: Column, direct: Column, corroborated: Column, model: Column | None = None) -> Column:
     """Confidence of a confirmed detection in thousandths (ties round up).
 
-    ``base`` is the severity base, ``direct`` whether the group holds direct evidence and
-    ``corroborated`` whether it holds two or more lines.
+    ``base`` is the severity base, ``direct`` whether the group holds direct evidence, ``corroborated``
+    whether it holds two or more lines and ``model`` the line's ``model_share``.
     """
     raw = (
-        (base * BASE_WEIGHT_PERCENT / 100).cast("int")
-        + spread
-        - JITTER_CENTRE
-        + F.when(direct, DIRECT_BONUS).otherwise(0)
+        base * BASE_WEIGHT_PERCENT
+        + (F.lit(0) if model is None else model) * MODEL_WEIGHT_PERCENT
+        + (spread - JITTER_CENTRE + F.when(direct, DIRECT_BONUS).otherwise(0)) * 100
     )
-    floor = F.when(corroborated & ~direct, FLOOR_CORROBORATED).otherwise(FLOOR_CONFIRMED)
-    return F.floor((F.least(F.lit(CAP), F.greatest(raw, floor)) + 5) / 10).cast("int")
+    floor = F.when(corroborated & ~direct, FLOOR_CORROBORATED).otherwise(FLOOR_CONFIRMED) * 100
+    return F.floor((F.least(F.lit(CAP * 100), F.greatest(raw, floor)) + 500) / 1000).cast("int")
+
+
+def weak_thousandths(base: Column, spread: Column, model: Column) -> Column:
+    """Confidence of a hit that lacks the direct evidence its threat needs, in thousandths."""
+    raw = base * WEAK_BASE_PERCENT + model * WEAK_MODEL_PERCENT + (spread - JITTER_CENTRE) * 100
+    return F.floor((F.least(F.lit(WEAK_CAP * 100), F.greatest(F.lit(WEAK_FLOOR * 100), raw)) + 500) / 1000).cast("int")
 
 
 def threat_status(thousandths: Column) -> Column:

@@ -158,7 +158,7 @@ class _Open:
                 yield (*self.key, *counted, self.part, number, mode, *_bounds(s, s), *s.row)
                 counted = (0, False)
         if not plain:
-            yield (*self.key, *counted, self.part, 0, BOTH, *[None] * 10)
+            yield (*self.key, *counted, self.part, 0, BOTH, *[None] * 11)
 
 
 def _bounds(plain: Segment, direct: Segment) -> tuple:
@@ -181,14 +181,14 @@ def make_reducer(window_us: int, schema: pa.Schema):
             ends = [*starts[1:], batch.num_rows]
             first = pa.array(starts)
             markers = zip(*[col[name].take(first).to_pylist() for name in ("stream_id", "source_ip", "rule_no", "chunk")])
-            lines, times, jitter = (col[name].to_numpy() for name in ("line_index", "time_us", "jitter"))
+            lines, times, jitter, model = (col[name].to_numpy() for name in ("line_index", "time_us", "jitter", "model"))
             fit, direct = (col[name].to_numpy(zero_copy_only=False) for name in ("eligible", "direct"))
             scores = {mode: col[name].to_numpy() for name, mode in MODES}
             fit_list, direct_list = fit.tolist(), direct.tolist()
             done: list[tuple] = []
 
             def payload(i: int) -> tuple:
-                return (int(lines[i]), int(times[i]), int(jitter[i]), col["raw_message"][i].as_py())
+                return (int(lines[i]), int(times[i]), int(jitter[i]), int(model[i]), col["raw_message"][i].as_py())
 
             for marker, a, b in zip(markers, starts, ends):
                 if open_key is None or open_key.marker != marker:
@@ -221,13 +221,13 @@ SEGMENT_SCHEMA = pa.schema(
         ("part", pa.int64()), ("number", pa.int32()), ("mode", pa.int32()),
         ("plain_top", pa.int32()), ("direct_top", pa.int32()), ("latest", pa.int64()), ("earliest", pa.int64()),
         ("plain_score", pa.int32()), ("direct_score", pa.int32()),
-        ("line_index", pa.int64()), ("time_us", pa.int64()), ("jitter", pa.int32()), ("raw_message", pa.string()),
+        ("line_index", pa.int64()), ("time_us", pa.int64()), ("jitter", pa.int32()), ("model", pa.int32()), ("raw_message", pa.string()),
     ]
 )
 SEGMENT_DDL = (
     "stream_id bigint, source_ip string, rule_no int, hits bigint, any_direct boolean, part bigint, number int, "
     "mode int, plain_top int, direct_top int, latest bigint, earliest bigint, plain_score int, direct_score int, "
-    "line_index bigint, time_us bigint, jitter int, raw_message string"
+    "line_index bigint, time_us bigint, jitter int, model int, raw_message string"
 )
 
 
@@ -235,10 +235,12 @@ def reduce_hits(hits: DataFrame, window_seconds: int = DEDUP_WINDOW_SECONDS, chu
     """Segments of every (scope, address, threat, chunk of lines).
 
     ``hits`` needs stream_id, source_ip, rule_no, line_index, time_us, jitter, direct, eligible,
-    plain_score, direct_score and raw_message. The chunk is part of the shuffle key, which spreads a
+    plain_score, direct_score and raw_message; ``model`` is 0 where there is none. The chunk is part of the shuffle key, which spreads a
     hot key over tasks.
     """
     keys = ["stream_id", "source_ip", "rule_no", "chunk"]
+    if "model" not in hits.columns:
+        hits = hits.withColumn("model", F.lit(0))
     return (
         hits.withColumn("chunk", F.expr(f"line_index div {chunk_lines}"))
         .repartition(*keys)
@@ -251,7 +253,7 @@ def segments_of(rows: list[dict], mode: int) -> list[Segment]:
     """The segments a mode sees among the rows of one part."""
     top, score = ("direct_top", "direct_score") if mode else ("plain_top", "plain_score")
     return [
-        Segment(r[top], r["latest"], r["earliest"], r["time_us"], r[score], (r["line_index"], r["time_us"], r["jitter"], r["raw_message"]))
+        Segment(r[top], r["latest"], r["earliest"], r["time_us"], r[score], (r["line_index"], r["time_us"], r["jitter"], r["model"], r["raw_message"]))
         for r in rows
         if r["line_index"] is not None and r["mode"] in (mode, BOTH)
     ]
@@ -304,12 +306,12 @@ KEPT_SCHEMA = pa.schema(
     [
         ("stream_id", pa.int64()), ("source_ip", pa.string()), ("rule_no", pa.int32()), ("hits", pa.int64()),
         ("any_direct", pa.bool_()), ("segment_count", pa.int64()), ("line_index", pa.int64()), ("time_us", pa.int64()),
-        ("jitter", pa.int32()), ("raw_message", pa.string()),
+        ("jitter", pa.int32()), ("model", pa.int32()), ("raw_message", pa.string()),
     ]
 )
 KEPT_DDL = (
     "stream_id bigint, source_ip string, rule_no int, hits bigint, any_direct boolean, segment_count bigint, "
-    "line_index bigint, time_us bigint, jitter int, raw_message string"
+    "line_index bigint, time_us bigint, jitter int, model int, raw_message string"
 )
 
 
@@ -321,7 +323,7 @@ def make_walker(window_us: int):
 
         def row() -> tuple:
             hits, direct, count, kept = state
-            return (*key, hits, direct, count, *(kept[int(direct)].row if kept[int(direct)] else (None,) * 4))
+            return (*key, hits, direct, count, *(kept[int(direct)].row if kept[int(direct)] else (None,) * 5))
 
         for marker, rows in parts(batches):
             if marker[:3] != key:

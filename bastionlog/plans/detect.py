@@ -14,6 +14,7 @@ from bastionlog.functions.scoring import (
     classification_type,
     confidence_thousandths,
     jitter,
+    model_share,
     threat_domain,
     threat_status,
     visible_technique,
@@ -42,8 +43,9 @@ def resolved_hits(features: DataFrame, signatures: Sequence[Signature] = SIGNATU
     their text.
     """
     matched = match_lines(with_event_time(features), signatures)
+    terms = [F.col(c) if c in features.columns else F.lit(0.0) for c in ("anomaly", "clf")]
     hits = matched.select(
-        "stream_id", "line_index", "event_ts", "source_ip", "raw_message", F.explode_outer("codes").alias("code")
+        "stream_id", "line_index", "event_ts", "source_ip", "raw_message", model_share(*terms).alias("model"), F.explode_outer("codes").alias("code")
     )
     is_hit = F.col("code").isNotNull()
     slim = hits.filter(is_hit | (F.col("source_ip") != UNKNOWN)).withColumn(
@@ -68,8 +70,8 @@ def scored_hits(features: DataFrame, signatures: Sequence[Signature] = SIGNATURE
         )
         .withColumns(
             {
-                "plain_score": confidence_thousandths(base, F.col("jitter"), F.lit(False), F.lit(True)),
-                "direct_score": confidence_thousandths(base, F.col("jitter"), F.lit(True), F.lit(True)),
+                "plain_score": confidence_thousandths(base, F.col("jitter"), F.lit(False), F.lit(True), F.col("model")),
+                "direct_score": confidence_thousandths(base, F.col("jitter"), F.lit(True), F.lit(True), F.col("model")),
             }
         )
     )
@@ -92,7 +94,7 @@ def kept_hits(features: DataFrame, signatures: Sequence[Signature] = SIGNATURES)
     """The hit each (scope, address, threat) keeps, with its confidence in thousandths."""
     hits = scored_hits(features, signatures).select(
         "stream_id", "source_ip", "rule_no", "line_index", "time_us", "jitter", "direct", "eligible",
-        "plain_score", "direct_score", "raw_message",
+        "plain_score", "direct_score", "raw_message", "model",
     )
     kept = keep_one(reduce_hits(hits)).filter("segment_count > 0")
     rule = F.col("rule_no")
@@ -107,7 +109,9 @@ def kept_hits(features: DataFrame, signatures: Sequence[Signature] = SIGNATURES)
         )
         .withColumn(
             "thousandths",
-            confidence_thousandths(severity_base("severity"), F.col("jitter"), F.col("any_direct"), F.col("hits") >= 2),
+            confidence_thousandths(
+                severity_base("severity"), F.col("jitter"), F.col("any_direct"), F.col("hits") >= 2, F.col("model")
+            ),
         )
     )
 
@@ -170,5 +174,9 @@ def describe(kept: DataFrame) -> DataFrame:
 
 
 def detect(features: DataFrame, signatures: Sequence[Signature] = SIGNATURES) -> DataFrame:
-    """Detections of a feature table, one per (scope, address, threat)."""
+    """Detections of a feature table, one per (scope, address, threat).
+
+    Where ``features`` has the columns ``anomaly`` and ``clf`` (models' scores of a line, 0 to 1), they take
+    part in the confidence.
+    """
     return describe(disambiguate(kept_hits(features, signatures), SCOPE))

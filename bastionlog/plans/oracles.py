@@ -232,13 +232,13 @@ def hit_ctes(source: str = "log_lines") -> list[str]:
 JITTER = "(CAST(('0x' || substr(md5(raw_message || ':' || threat_type || ':' || line_index), 1, 8)) AS BIGINT) % 1000)"
 
 
-def confidence(base: str, spread: str, direct: str, corroborated: str) -> str:
-    raw = f"({base} + {spread} - {JITTER_CENTRE} + CASE WHEN {direct} THEN {DIRECT_BONUS} ELSE 0 END)"
+def confidence(base: str, spread: str, direct: str, corroborated: str, model: str = "0") -> str:
+    raw = f"(({base} + {spread} - {JITTER_CENTRE} + CASE WHEN {direct} THEN {DIRECT_BONUS} ELSE 0 END) * 100 + 15 * {model})"
     floor = f"CASE WHEN {corroborated} AND NOT {direct} THEN {FLOOR_CORROBORATED} ELSE {FLOOR_CONFIRMED} END"
-    return f"((least({CAP}, greatest({raw}, {floor})) + 5) // 10)"
+    return f"((least({CAP * 100}, greatest({raw}, ({floor}) * 100)) + 500) // 1000)"
 
 
-def _detection_ctes() -> list[str]:
+def _detection_ctes(models: bool = False) -> list[str]:
     needs_direct = ", ".join(q(t) for t in sig.DIRECT_EVIDENCE_REQUIRED)
     auth = " ".join(f"WHEN {q(t)} THEN {i}" for i, t in enumerate(sig.AUTH_PRIORITY))
     pairs = values(sig.SUPPRESSION_PAIRS, ["winner", "loser"], "pairs")
@@ -262,8 +262,9 @@ def _detection_ctes() -> list[str]:
         """stats AS (SELECT stream_id, source_ip, rule_no, count(*) AS hit_count, bool_or(direct) AS any_direct
              FROM keyed GROUP BY ALL)""",
         f"""scored AS (SELECT k.*, s.hit_count, s.any_direct,
-             {confidence('k.base', 'k.jitter', 's.any_direct', 's.hit_count >= 2')} AS thousandths
+             {confidence('k.base', 'k.jitter', 's.any_direct', 's.hit_count >= 2', 'm.model' if models else '0')} AS thousandths
              FROM keyed k JOIN stats s USING (stream_id, source_ip, rule_no)
+             {'JOIN line_models m USING (stream_id, line_index)' if models else ''}
              WHERE k.direct OR k.threat_type NOT IN ({needs_direct}))""",
         f"""folded AS (SELECT stream_id, source_ip, rule_no, list_reduce(
                list(struct_pack(l := line_index, t := time_us, c := thousandths) ORDER BY line_index),
@@ -309,6 +310,21 @@ def detection_ctes() -> list[str]:
     return [*hit_ctes("features"), *_detection_ctes()]
 
 
+def model_ctes(deviation: str, vector: str, moments: str) -> list[str]:
+    """Detections with the scores of both line models, in ten-thousandths."""
+    return [
+        *hit_ctes("features"),
+        f"vectors AS (SELECT stream_id, line_index, {vector} FROM features)",
+        f"moments AS (SELECT {moments} FROM vectors)",
+        """shares AS (SELECT format, severity, (sum(CASE WHEN len(codes) > 0 THEN 1 ELSE 0 END) * 20000 + count(*)) // (2 * count(*)) AS share
+            FROM coded JOIN features USING (stream_id, line_index) GROUP BY ALL)""",
+        f"""line_models AS (SELECT v.stream_id, v.line_index,
+            floor(least({deviation}, 10.0::DOUBLE) * 1000 + 0.5)::BIGINT + share AS model
+            FROM vectors v CROSS JOIN moments JOIN features f USING (stream_id, line_index) JOIN shares USING (format, severity))""",
+        *_detection_ctes(models=True),
+    ]
+
+
 def _flags() -> str:
     exploit = next(i for i, s in enumerate(sig.SIGNATURES) if s.name == sig.EXPLOIT_THREAT)
     return f"""flags AS (SELECT c.*, {search('raw_message', sig.OPERATIONAL_PATTERN)} AND len(codes) = 0 AS operational_only,
@@ -707,6 +723,8 @@ def oracles() -> dict[str, str]:
         "category_suppression": with_ctes(*detection) + "SELECT stream_id, source_ip, threat_type, suppressed FROM marked",
         "detections": with_ctes(*detection) + """SELECT * EXCLUDE (evidence_list), array_to_string(evidence_list, '|') AS evidence
             FROM detections""",
+        "model_detections": with_ctes(*model_ctes(deviation.replace("abs((", "abs((v."), vector, moments)) + """SELECT stream_id, line_index,
+            source_ip, threat_type, confidence, threat_status, status, corroborating_count FROM detections""",
         "evidence": with_ctes(*detection) + """SELECT line_index, threat_type, unnest(range(0, len(evidence_list))) AS position,
             unnest(evidence_list) AS evidence FROM detections""",
         "alerts_projection": with_ctes(*detection, *_alerts()) + "SELECT * FROM alerts",

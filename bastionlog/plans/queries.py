@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bastionlog.functions.columns import imatch, strip
 from bastionlog.functions.scoring import confidence_thousandths, jitter
 from bastionlog.operators import alerts as al
-from bastionlog.operators import anomaly, classify, codescan, correlate, quality, risk, strict
+from bastionlog.operators import anomaly, classify, codescan, correlate, line_models, quality, risk, strict
 from bastionlog.operators import vulnerabilities as vu
 from bastionlog.operators.disambiguate import most_specific_auth, suppress_losers
 from bastionlog.operators.features import VECTOR_FIELDS, extract_features, window_features, with_event_time
@@ -302,6 +302,15 @@ def detections(spark, sf_dir):
     )
 
 
+@query
+def model_detections(spark, sf_dir):
+    """Detections whose confidence takes in the scores of models fitted on the same lines."""
+    rows = materialise(features(spark, sf_dir), "features")
+    moments, shares = line_models.fit_moments(rows), materialise(line_models.fit_shares(rows), "shares")
+    found = detect.detect(line_models.score_lines(rows, moments, shares))
+    return found.select("stream_id", "line_index", "source_ip", "threat_type", "confidence", "threat_status", "status", "corroborating_count")
+
+
 @query
 def evidence(spark, sf_dir):
     rows = detect.detect(features(spark, sf_dir))

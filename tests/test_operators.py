@@ -310,3 +310,46 @@ def test_labelled_csv_to_metrics(spark, tmp_path):
     model = classify.train(classify.built_in_examples(spark))
     lines = spark.createDataFrame([(t, x) for x, t in SAMPLE] * 2, "log_entry string, label string")
     assert {tuple(r) for r in evaluate.classifier_confusion(lines, model).collect()} == {("benign", "benign", 6), ("threat", "threat", 6)}
+
+
+def test_confidence_with_model_terms(spark):
+    """Both branches against plain fractions, ties up; without models the weight is 0."""
+    from fractions import Fraction
+    from itertools import product
+
+    from bastionlog.functions.scoring import confidence_thousandths, model_share, weak_thousandths
+
+    rows = list(product([9500, 6000], [0, 999], [None, 0.0, 0.3333, 1.0], [0.25, None], [True, False], [True, False]))
+    df = spark.createDataFrame(rows, "base int, spread int, anomaly double, clf double, direct boolean, many boolean")
+    share = model_share(F.col("anomaly"), F.col("clf"))
+    got = df.select(
+        "*", confidence_thousandths(F.col("base"), F.col("spread"), F.col("direct"), F.col("many"), share).alias("strong"),
+        weak_thousandths(F.col("base"), F.col("spread"), share).alias("weak"),
+    ).collect()
+    up = lambda x: int((x * 1000 + Fraction(1, 2)) // 1)
+    for r in got:
+        base, spread = Fraction(r.base, 10_000), Fraction(r.spread - 500, 10_000)
+        models = Fraction(str(r.anomaly or 0)) + Fraction(str(r.clf or 0))
+        raw = Fraction(70, 100) * base + Fraction(15, 100) * models + spread + (Fraction(15, 100) if r.direct else 0)
+        floor = Fraction(65, 100) if r.many and not r.direct else Fraction(70, 100)
+        assert r.strong == up(min(Fraction(99, 100), max(raw, floor)))
+        weak = Fraction(1, 2) * base + Fraction(1, 4) * models + spread
+        assert r.weak == up(min(Fraction(55, 100), max(Fraction(30, 100), weak)))
+
+
+def test_line_models_raise_the_confidence(spark, make_lines):
+    """A line far from what the model was fitted on is rated higher, and unseen groups score 0."""
+    from bastionlog.operators import line_models
+    from bastionlog.operators.features import extract_features
+    from bastionlog.plans.detect import detect
+
+    usual = make_lines([f"10.0.0.{i} - - [01/May/2024:10:00:00 +0000] \"GET /a HTTP/1.1\" 200 {100 + i}" for i in range(60)])
+    attack = "10.9.9.9 - - [01/May/2024:10:00:00 +0000] \"GET /?q=1 UNION SELECT password FROM users HTTP/1.1\" 200 99999999 ransomware encrypted files port scan"
+    fitted = extract_features(usual)
+    moments, shares = line_models.fit_moments(fitted), line_models.fit_shares(fitted)
+    seen = extract_features(make_lines([attack, "free words only"]))
+    scored = line_models.score_lines(seen, moments, shares)
+    rows = {r.line_index: r for r in scored.select("line_index", "anomaly", "clf").collect()}
+    assert rows[0].anomaly == 1.0 and rows[1].clf == 0.0 and len(rows) == 2
+    plain, rated = (max(r.confidence for r in detect(x).collect()) for x in (seen, scored))
+    assert rated > plain
