@@ -1,18 +1,23 @@
 """Phrase collocations by sampling with a negative border.
 
 A sample of the documents, chosen by a hash of the text, proposes phrases level by level: those that reach
-a lowered count in it. A full pass then counts, exactly, every phrase that is a word, or all of whose parts
-(one word shorter, at either end) were proposed: these are the proposed phrases and their negative border,
-and a phrase of the border that does not occur needs no entry. Where a counted phrase reaches the full
-limit but had not been proposed, its longer phrases may be missing: it is proposed too and a further pass
-counts what that adds, and only that. It ends when no such phrase is left; then every phrase of at least
-the limit has been counted, whatever the sample was.
-
-What is proposed is sent to the tasks as a bitmap of fixed size (``BITS``), so it does not grow with the
-corpus. A false positive, or a full bitmap, only means that more phrases are counted than are needed.
-Counting works in blocks of texts: words are numbered by their bytes, phrases by pairs of (phrase, word), so
-phrases are told apart exactly. A block sends each phrase once with its count; Spark adds them up before and
-after the shuffle, so a phrase or language in a third of all rows is one row a task.
+a lowered count in it. A full pass then counts every phrase that is a word, or all of whose parts (one word
+shorter, at either end) were proposed: these are the proposed phrases and their negative border, and a
+phrase of the border that does not occur needs no entry. Where a counted phrase reaches the full limit but
+had not been proposed, its longer phrases may be missing: it is proposed too and a further pass counts what
+that adds, and only that. It ends when no such phrase is left; then every phrase of at least the limit has
+been counted, whatever the sample was.
+
+The border is mostly phrases that occur a few times, so these passes count by hash: tasks add up what they
+can, send six bytes a phrase to buckets, and a bucket answers with the hashes that reach the limit. Equal
+hashes of different phrases can only let one too many through. What reached the limit is then counted by
+the phrase itself, exactly.
+
+What is proposed, or reached the limit, is sent to the tasks as a bitmap of fixed size (``BITS``), so it does
+not grow with the corpus. A false positive, or a full bitmap, only means that more is counted than needed.
+Texts are split once, into written blocks of numbered words that all passes read. Phrases are numbered by
+pairs of (phrase, word), so in a block they are told apart exactly. A phrase or language in a third of all
+rows is one entry a block.
 
 Cases: null and empty texts have no words; a null language is ``und``. Repeated rows and null ids are
 documents like others. An empty table gives an empty result. Columns other than lang and text are not looked
@@ -21,13 +26,14 @@ at. A phrase's cuts and containers are joined by the phrase; ranks are limited b
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bastionlog.llm import words as W
@@ -37,10 +43,16 @@ LONGEST, LIMIT, TOP = 5, 100, 2000
 #: One document in SHARE is in the sample; a phrase is proposed at this part of its expected count there.
 SHARE, LOWERED = 8, 0.4
 BITS = 1 << 26
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, SLICE = 1 << 20, 128
+#: Rows an Arrow batch of blocks, and of texts.
+BLOCK_ROWS, TEXT_ROWS = 4, 512
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Entries a task holds before it sends them, and word places a bucket.
+HELD_ENTRIES, BUCKET_PLACES = 1 << 19, 1 << 19
 LOWER_AND_PART = bytes(
     ord(".") if chr(b) in ".,;:!?" or 0x0A <= b <= 0x0D else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)
 )
+NOT_SPACE = W.byte_class(lambda b: b != 0x20)
 NEXT = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -79,31 +91,81 @@ def bits_of(phrases: DataFrame, size: int = BITS) -> tuple[np.ndarray, np.ndarra
     return made["at"].to_numpy(dtype=np.int64), made["bits"].to_numpy(dtype=np.int64)
 
 
+BLOCK = pa.schema([("langs", pa.list_(pa.string())), ("words", pa.binary()), ("lang", pa.binary()), ("word", pa.binary()), ("ids", pa.binary())])
+BLOCK_DDL = "langs array<string>, words binary, lang binary, word binary, ids binary"
+
+
+def numbered(texts: list[str | None], langs: list[str]) -> list:
+    """A block of texts: languages, words joined by blanks, language and word of each number, numbers by place.
+
+    A number is a word in a language. Pieces are parted by the number of ``.``, which is no word.
+    """
+    lang_of, names, known, numbers = [], sorted(set(langs)), {}, []
+    code = {lang: i for i, lang in enumerate(names)}
+    for text, lang in zip(texts, langs, strict=True):
+        own = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_AND_PART).replace(b".", b" . ").split()
+        own.append(b".")
+        for word in set(own).difference(known):
+            known[word] = len(known)
+        numbers.append(np.fromiter(map(known.__getitem__, own), dtype=np.int64, count=len(own)))
+        lang_of.append((code[lang], len(own)))
+    numbers, words = np.concatenate(numbers), list(known)
+    lang = np.repeat([c for c, _ in lang_of], [n for _, n in lang_of])
+    pairs = lang * len(words) + numbers
+    seen = np.zeros(len(names) * len(words), dtype=bool)
+    seen[pairs] = True
+    used = np.flatnonzero(seen)
+    new = np.cumsum(seen) - 1
+    lang, word = np.divmod(used, len(words))
+    return [names, b" ".join(words), *(x.astype("<i4").tobytes() for x in (lang, word, new[pairs]))]
+
+
 class Words:
-    """The words of a block of texts: numbers by place, -1 between pieces, and a hash of each word."""
-
-    def __init__(self, texts: list[str | None], langs: list[str]) -> None:
-        tokens, lang_of, self.langs = [], [], sorted(set(langs))
-        code = {lang: i for i, lang in enumerate(self.langs)}
-        for text, lang in zip(texts, langs, strict=True):
-            own = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_AND_PART).replace(b".", b" . ").split()
-            tokens += own
-            tokens.append(b".")
-            lang_of.append((code[lang], len(own) + 1))
-        numbers, self.words = pd.factorize(np.array(tokens, dtype=object))
-        lang = np.repeat([c for c, _ in lang_of], [n for _, n in lang_of])
-        # One number for a word in a language.
-        pairs, self.ids = np.unique(lang * max(1, len(self.words)) + numbers, return_inverse=True)
-        self.lang, self.word = np.divmod(pairs, max(1, len(self.words)))
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], dtype=np.uint64)
-        of_lang = np.array([xxhash.xxh3_64_intdigest(x.encode(), seed=1) for x in self.langs], dtype=np.uint64)
+    """A block as it was written: numbers by place, and a hash of each word and of each number."""
+
+    def __init__(self, langs: list[str], words: bytes, lang: bytes, word: bytes, ids: bytes) -> None:
+        self.langs, self.text = langs, words
+        self.lang, self.word, self.ids = (np.frombuffer(x, "<i4").astype(np.int64) for x in (lang, word, ids))
+        data = np.frombuffer(words, np.uint8)
+        hashes = W.span_hashes(data, *W.spans(data, NOT_SPACE))
+        names = [n.encode("utf-8", "surrogatepass") + b" " for n in langs]
+        of_lang = np.array([int.from_bytes(hashlib.sha256(n).digest()[:8], "little") for n in names], dtype=np.uint64)
         self.word_hash = hashes[self.word]
         self.hash = W.mix(self.word_hash ^ of_lang[self.lang])
-        gap = np.flatnonzero(self.words == b".") if len(self.words) else np.empty(0, np.int64)
-        self.valid = ~np.isin(self.word, gap)[self.ids]
+        self.valid = (self.word != words.split(b" ").index(b"."))[self.ids]
+
+    def said(self) -> np.ndarray:
+        return np.array(self.text.split(b" "), dtype=object)
 
 
-def levels(block: Words, now: Proposed | None, before: Proposed | None, longest: int) -> Iterator[tuple]:
+def number_blocks(docs: DataFrame) -> DataFrame:
+    """``docs`` (lang, text) as blocks of numbered words."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, langs in blocks_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(numbered(texts, langs), BLOCK, strict=True)], schema=BLOCK)
+
+    return docs.select("lang", "text").mapInArrow(number, BLOCK_DDL)
+
+
+def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield Words(*(batch.column(n)[i].as_py() for n in BLOCK.names))
+
+
+def distinct_numbers(ids: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of small numbers: which of the distinct ones each is, their counts and their first places."""
+    counts = np.bincount(ids, minlength=most)
+    used = np.flatnonzero(counts)
+    first = np.zeros(most, dtype=np.int64)
+    first[ids[::-1]] = at[::-1]
+    new = np.zeros(most, dtype=np.int64)
+    new[used] = np.arange(len(used))
+    return new[ids], counts[used], first[used]
+
+
+def levels(block: Words, now: Proposed | None, before: Proposed | None, longest: int, entries: Entries) -> Iterator[tuple]:
     """By length: (length, first places, hashes, counts, whether proposed) of the phrases to count.
 
     ``before`` is what was proposed in the passes before: phrases they counted are left out. Words are counted
@@ -117,9 +179,14 @@ def levels(block: Words, now: Proposed | None, before: Proposed | None, longest:
         at = np.flatnonzero(valid)
         if not len(at):
             return
-        number, first, which, counts = np.unique(ids[at], return_index=True, return_inverse=True, return_counts=True)
-        own = hashes[number] if length == 1 else hashes[at[first]]
-        places = at[first]
+        if length == 1:
+            which, counts, places = distinct_numbers(ids[at], at, len(hashes))
+            full = hashes[ids[places]]
+        else:
+            _, first, which, counts = np.unique(ids[at], return_index=True, return_inverse=True, return_counts=True)
+            places = at[first]
+            full = hashes[places]
+        own = entries.whole(full)
         known = now.has(own) if now is not None else np.zeros(len(own), dtype=bool)
         fresh = np.ones(len(own), dtype=bool) if before is None else ~counted[places]
         yield length, places[fresh], own[fresh], counts[fresh], known[fresh]
@@ -134,7 +201,7 @@ def levels(block: Words, now: Proposed | None, before: Proposed | None, longest:
         part = np.zeros(n, dtype=np.int64)
         part[at] = which
         part_hash = np.zeros(n, dtype=np.uint64)
-        part_hash[at] = own[which]
+        part_hash[at] = full[which]
         valid = np.zeros(n, dtype=bool)
         valid[:-1] = here[:-1] & here[1:]
         counted = np.zeros(n, dtype=bool)
@@ -146,67 +213,154 @@ def levels(block: Words, now: Proposed | None, before: Proposed | None, longest:
         hashes[spot] = W.mix(part_hash[spot] * NEXT + block.word_hash[last])
 
 
-COUNTED_DDL = "lang string, phrase string, length int, hash long, known boolean, n long"
-COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("length", pa.int32()), ("hash", pa.int64()), ("known", pa.bool_()), ("n", pa.int64())])
-HASHED_DDL = "hash long, n long"
+COUNTED_DDL = "lang string, phrase string, length int, n long"
+COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("length", pa.int32()), ("n", pa.int64())])
+SENT = pa.schema([("bucket", pa.int64()), ("length", pa.int32()), ("data", pa.binary())])
+SENT_DDL, HEAVY_DDL = "bucket long, length int, data binary", "length int, hash long"
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
-    """Texts in blocks of about ``BLOCK_BYTES``; a longer text is a block of its own."""
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """Texts and languages in blocks of about ``BLOCK_BYTES``; a longer text is a block of its own."""
     texts, langs, size = [], [], 0
-    for batch in batches:
+    for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
             if texts and size + len(text or "") > BLOCK_BYTES:
-                yield Words(texts, langs)
+                yield texts, langs
                 texts, langs, size = [], [], 0
             texts.append(text)
             langs.append(lang)
             size += len(text or "")
     if texts:
-        yield Words(texts, langs)
+        yield texts, langs
 
 
-def sample_counts(docs: DataFrame, now: Proposed | None, length: int) -> DataFrame:
-    """Counts by hash of the phrases of one length whose parts are proposed."""
+def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order, with the sums of their counts."""
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], counts[order]
+    start = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    return hashes[start], np.add.reduceat(counts, start)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks_of(batches):
-            for size, _, hashes, counts, _ in levels(block, now, None, length):
-                if size == length:
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], names=["hash", "n"])
 
-    return docs.mapInArrow(count, HASHED_DDL).groupBy("hash").agg(F.sum("n").alias("n"))
+class Entries:
+    """Packs of a hash's low five bytes and its count, which stops at the limit; a bucket is of the upper bytes."""
+
+    def __init__(self, limit: int, buckets: int) -> None:
+        self.limit, self.buckets, self.width = limit, buckets, (limit.bit_length() + 7) // 8
 
+    def whole(self, hashes: np.ndarray) -> np.ndarray:
+        """What stands for a hash everywhere: its bucket and its low five bytes."""
+        return (hashes >> np.uint64(40)) % np.uint64(self.buckets) << np.uint64(40) | hashes & np.uint64((1 << 40) - 1)
 
-def exact_counts(docs: DataFrame, now: Proposed, before: Proposed | None, longest: int) -> DataFrame:
-    """Exact counts of the phrases whose parts are proposed ``now`` and were not all ``before``."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((now, before))
+    def packs(self, length: int, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        hashes, counts = summed(hashes, counts)
+        raw = np.empty((len(hashes), 5 + self.width), dtype=np.uint8)
+        raw[:, :5] = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        raw[:, 5:] = np.minimum(counts, self.limit).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.width]
+        bucket = (hashes >> np.uint64(40)).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        yield from ((int(bucket[s]), length, raw[s:e].tobytes()) for s, e in zip(cuts, cuts[1:], strict=False))
+
+    def heavy(self, bucket: int, packs: list[bytes]) -> np.ndarray:
+        """The hashes of a bucket whose counts reach the limit together."""
+        raw = np.concatenate([np.frombuffer(p, np.uint8).reshape(-1, 5 + self.width) for p in packs])
+        wide = np.zeros((2, len(raw), 8), dtype=np.uint8)
+        wide[0, :, :5], wide[1, :, : self.width] = raw[:, :5], raw[:, 5:]
+        hashes, counts = summed(wide[0].view("<u8").ravel(), wide[1].view("<u8").ravel())
+        return hashes[counts >= self.limit] | np.uint64(bucket << 40)
+
+
+def heavy_hashes(blocks: DataFrame, now: Proposed | None, before: Proposed | None, lengths: list[int], entries: Entries) -> DataFrame:
+    """(length, hash) that reach the limit, of phrases whose parts are proposed ``now`` and were not all ``before``."""
+    sent = blocks.sparkSession.sparkContext.broadcast((now, before))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, before = sent.value
-        for block in blocks_of(batches):
-            for length, places, hashes, counts, known in levels(block, now, before, longest):
-                if not len(places):
-                    continue
-                words = [block.words[block.word[block.ids[places + k]]] for k in range(length)]
-                phrases = [b" ".join(p).decode("utf-8", "surrogatepass") for p in zip(*words, strict=True)]
-                langs = np.array(block.langs, dtype=object)[block.lang[block.ids[places]]]
-                columns = [langs, phrases, np.full(len(places), length), hashes.view(np.int64), known, counts]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, COUNTED, strict=True)], schema=COUNTED)
+        held: dict[int, list] = {length: [] for length in lengths}
+        size = 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for length, pairs in held.items():
+                if pairs:
+                    hashes, counts = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+                    columns = zip(*entries.packs(length, hashes, counts), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SENT, strict=True)], schema=SENT)
+                    pairs.clear()
+
+        for block in read_blocks(batches):
+            for length, _, hashes, counts, _ in levels(block, now, before, max(lengths), entries):
+                if length in held and len(hashes):
+                    held[length].append((hashes, counts))
+                    size += len(hashes)
+                if size >= HELD_ENTRIES:
+                    yield from flushed()
+                    size = 0
+        yield from flushed()
+
+    def answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        bucket, length = int(key[0]), int(key[1])
+        return pd.DataFrame({"length": length, "hash": entries.heavy(bucket, rows["data"].tolist()).view(np.int64)})
+
+    return blocks.mapInArrow(count, SENT_DDL).groupBy("bucket", "length").applyInPandas(answer, HEAVY_DDL)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Blocks are rows of megabytes, texts may be: while a pass over them runs, a batch holds few."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
+def not_proposed(heavy: DataFrame, now: Proposed, longest: int) -> DataFrame:
+    """The hashes of ``heavy`` that had to be proposed and were not."""
+    sent = heavy.sparkSession.sparkContext.broadcast(now)
+
+    def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[~sent.value.has(batch["hash"].to_numpy().view(np.uint64))]
+
+    return heavy.filter(F.col("length") < longest).mapInPandas(left, HEAVY_DDL)
 
-    summed = docs.mapInArrow(count, COUNTED_DDL).groupBy("lang", "phrase", "length")
-    return summed.agg(F.first("hash").alias("hash"), F.first("known").alias("known"), F.sum("n").alias("n"))
 
+def exact_counts(blocks: DataFrame, often: Proposed, longest: int, entries: Entries) -> DataFrame:
+    """Exact counts of the phrases ``often`` has, by the phrases; and all words of a language, as length 0."""
+    sent = blocks.sparkSession.sparkContext.broadcast(often)
 
-def proposals(docs: DataFrame, limit: int, longest: int, share: int, lowered: float, bits: int) -> Proposed:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in read_blocks(batches):
+            said = block.said()
+            of_lang = np.array(block.langs, dtype=object)
+            totals = np.bincount(block.lang[block.ids[block.valid]], minlength=len(of_lang))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(of_lang, pa.string()), pa.array([""] * len(of_lang)), pa.array([0] * len(of_lang), pa.int32()), pa.array(totals, pa.int64())],
+                schema=COUNTED,
+            )
+            for length, places, _, counts, known in levels(block, sent.value, None, longest, entries):
+                places, counts = places[known], counts[known]
+                if len(places):
+                    words = [said[block.word[block.ids[places + k]]] for k in range(length)]
+                    phrases = [b" ".join(p).decode("utf-8", "surrogatepass") for p in zip(*words, strict=True)]
+                    columns = [of_lang[block.lang[block.ids[places]]], phrases, np.full(len(places), length), counts]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, COUNTED, strict=True)], schema=COUNTED)
+
+    return blocks.mapInArrow(count, COUNTED_DDL).groupBy("lang", "phrase", "length").agg(F.sum("n").alias("n"))
+
+
+def proposals(texts: DataFrame, limit: int, longest: int, share: int, lowered: float, bits: int, buckets: int) -> Proposed:
     """Phrases the sample proposes, level by level."""
-    sample = materialise(docs.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0), "phrase-sample")
-    least = max(1, int(limit * lowered / share))
+    drawn = texts.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    with small_batches(texts.sparkSession, TEXT_ROWS):
+        sample = materialise(number_blocks(drawn), "phrase-sample")
+    entries = Entries(max(1, int(limit * lowered / share)), buckets)
     now = Proposed(bits)
     for length in range(1, longest):
-        counts = sample_counts(sample, now if length > 1 else None, length)
-        now = now.add(*bits_of(counts.filter(F.col("n") >= least), bits))
+        with small_batches(texts.sparkSession, BLOCK_ROWS):
+            heavy = materialise(heavy_hashes(sample, now if length > 1 else None, None, [length], entries), "phrase-sampled")
+        now = now.add(*bits_of(heavy, bits))
     return now
 
 
@@ -214,24 +368,30 @@ def frequent_phrases(
     docs: DataFrame, limit: int = LIMIT, longest: int = LONGEST, share: int = SHARE, lowered: float = LOWERED, bits: int = BITS
 ) -> DataFrame:
     """All phrases of up to ``longest`` words of ``docs`` (lang, text) with at least ``limit`` occurrences, and
-    the words of each language: lang, phrase, length, n. Words below the limit are there too."""
+    as length 0 how many words each language has: lang, phrase, length, n."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    now, before, found = proposals(texts, limit, longest, share, lowered, bits), None, None
+    with small_batches(docs.sparkSession, TEXT_ROWS):
+        blocks = materialise(number_blocks(texts), "phrase-blocks")
+    places = blocks.agg(F.coalesce(F.sum(F.octet_length("ids").cast("long")), F.lit(0))).first()[0] // 4
+    entries = Entries(limit, min(1 << 23, 1 + places // BUCKET_PLACES))
+    now = proposals(texts, limit, longest, share, lowered, bits, entries.buckets)
+    before, often = None, Proposed(bits)
     while True:
-        counts = exact_counts(texts, now, before, longest).filter((F.col("n") >= limit) | (F.col("length") == 1))
-        counts = materialise(counts, "phrase-counts")
-        found = counts if found is None else found.unionAll(counts)
-        missed = counts.filter((F.col("n") >= limit) & (F.col("length") < longest) & ~F.col("known"))
-        bytes_at, values = bits_of(missed, bits)
+        with small_batches(docs.sparkSession, BLOCK_ROWS):
+            heavy = materialise(heavy_hashes(blocks, now, before, list(range(1, longest + 1)), entries), "phrase-hashes")
+        often = often.add(*bits_of(heavy, bits))
+        bytes_at, values = bits_of(not_proposed(heavy, now, longest), bits)
         if not len(bytes_at):
-            return found.select("lang", "phrase", "length", "n")
+            break
         now, before = now.add(bytes_at, values), now
+    with small_batches(docs.sparkSession, BLOCK_ROWS):
+        return materialise(exact_counts(blocks, often, longest, entries).filter((F.col("n") >= limit) | (F.col("length") == 0)), "phrase-counts")
 
 
 def scored(phrases: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Candidates with the lowest-scoring of their cuts: lang, phrase, length, a, l, r, n, score, all exact."""
-    totals = phrases.filter("length = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    often = phrases.filter(F.col("n") >= limit)
+    totals = phrases.filter("length = 0").select("lang", F.col("n").alias("total"))
+    often = phrases.filter((F.col("n") >= limit) & (F.col("length") > 0))
     said = F.split("phrase", " ", -1)
     cuts = (
         often.filter("length > 1")

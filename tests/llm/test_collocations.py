@@ -69,11 +69,11 @@ def test_collocations(spark, options):
 def test_expansion_closes(spark, monkeypatch):
     """A sample that proposes nothing leaves all to the border: one pass for each length."""
     passes = []
-    whole = collocations.exact_counts
-    monkeypatch.setattr(collocations, "exact_counts", lambda *a: passes.append(1) or whole(*a))
+    whole = collocations.heavy_hashes
+    monkeypatch.setattr(collocations, "heavy_hashes", lambda *a: passes.append(len(a[3])) or whole(*a))
     rows = [(i, "one two three four five six", "en") for i in range(30)]
     compare(spark, rows, 20, share=2, lowered=1000.0)
-    assert len(passes) == 5
+    assert passes == [1] * 4 + [5] * 5
 
 
 def test_odd_cases(spark):
@@ -86,7 +86,7 @@ def test_odd_cases(spark):
 
 def test_products_pass_64_bits(spark):
     big = 10**13
-    rows = [("en", "a b", 2, big - 7), ("en", "a", 1, big - 3), ("en", "b", 1, big - 5), ("en", "c", 1, 9 * big)]
+    rows = [("en", "a b", 2, big - 7), ("en", "a", 1, big - 3), ("en", "b", 1, big - 5), ("en", "", 0, 11 * big - 8)]
     row = collocations.scored(spark.createDataFrame(rows, "lang string, phrase string, length int, n long")).collect()[0]
     n = 11 * big - 8
     assert (row["n"], row["score"]) == (n, 1000 * (big - 7) * n // ((big - 3) * (big - 5)))
@@ -100,3 +100,16 @@ def test_bitmap():
     for p in at.tolist():
         full = full.add(np.array([p >> 3]), np.array([1 << (p & 7)]))
     assert full.has(hashes).all() and not made.has(hashes).any()
+
+
+def test_entries_come_back():
+    """Counts stop at the limit and add up over packs; a hash is its bucket and low bytes."""
+    entries = collocations.Entries(300, 7)
+    hashes = entries.whole(np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    counts = np.arange(399)
+    sent = {}
+    for _ in range(2):
+        for bucket, _, data in entries.packs(2, hashes, counts):
+            sent.setdefault(bucket, []).append(data)
+    heavy = np.concatenate([entries.heavy(b, packs) for b, packs in sent.items()])
+    assert sorted(heavy.tolist()) == sorted(hashes[counts >= 150].tolist())
