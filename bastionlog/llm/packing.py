@@ -27,6 +27,7 @@ others. An empty table gives an empty result. Columns other than doc_id and text
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections.abc import Iterator
@@ -44,7 +45,7 @@ from bastionlog.session import materialise
 
 SEQUENCE, CLOSING_ID = 2048, 1
 KEPT_RUNS, KEPT_BYTES, LEARNT_BYTES = 300_000, 48, 1 << 14
-MARK = b"\0"
+MARK, WORD_END = b"\0", "</w>"
 SIGNS = frozenset(bytes([b]) for b in b".,;:!?")
 
 
@@ -61,6 +62,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.mark = self._ids(MARK.decode())
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.ends[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -69,15 +73,24 @@ class Encoder:
         return np.array(made[0].ids, dtype="<u4")
 
     def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of runs, encoded as one text with a mark between that no run holds."""
-        plain = [r for r in runs if MARK not in r and len(self.mark) == 1]
-        known = {r: self._ids(r.decode("utf-8")).tobytes() for r in runs if MARK in r or len(self.mark) != 1}
-        for begin, stop in runs_of_rows([len(r) for r in plain], LEARNT_BYTES):
-            ids = self._ids((b" " + MARK + b" ").join([*plain[begin:stop], b""]).decode("utf-8"))
-            data, at = ids.tobytes(), 0
-            for run, end in zip(plain[begin:stop], np.flatnonzero(ids == self.mark[0]).tolist(), strict=True):
-                known[run] = data[4 * at : 4 * end]
-                at = end + 1
+        """Ids of runs, many encoded as one text.
+
+        A run of ASCII letters is one word, whose last id alone ends a word; others get a mark between that
+        no run holds.
+        """
+        words = [r for r in runs if r.isalpha()]
+        rest = [r for r in runs if not r.isalpha()]
+        marked = [r for r in rest if MARK not in r and len(self.mark) == 1]
+        known = {r: self._ids(r.decode("utf-8")).tobytes() for r in rest if MARK in r or len(self.mark) != 1}
+        for some, between in ((words, b" "), (marked, b" " + MARK + b" ")):
+            skip = int(some is marked)
+            for begin, stop in runs_of_rows([len(r) for r in some], LEARNT_BYTES):
+                ids = self._ids(between.join([*some[begin:stop], b""]).decode("utf-8"))
+                last = np.flatnonzero(ids == self.mark[0] if skip else self.ends[ids]) + 1
+                data, at = ids.tobytes(), 0
+                for run, end in zip(some[begin:stop], last.tolist(), strict=True):
+                    known[run] = data[4 * at : 4 * (end - skip)]
+                    at = end
         return known
 
     def _runs(self, text: str | None) -> list[bytes]:
@@ -104,14 +117,26 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         split = [self._runs(t) for t in texts]
         found = [list(map(self.known.get, runs)) for runs in split]
-        missing = {r for runs, ids in zip(split, found, strict=True) if None in ids for r, i in zip(runs, ids, strict=True) if i is None}
+        gaps = [places_of(None, ids) for ids in found]
+        missing = {runs[i] for runs, at in zip(split, gaps, strict=True) for i in at}
         made = self._settle(missing) if missing else {}
-        for runs, ids in zip(split, found, strict=True):
-            if None in ids:
-                ids = [(made[r] if r in made else self.known[r]) if i is None else i for r, i in zip(runs, ids, strict=True)]
+        for runs, ids, at in zip(split, found, gaps, strict=True):
+            for i in at:
+                run = runs[i]
+                ids[i] = made[run] if run in made else self.known[run]
             yield b"".join(ids)
 
 
+def places_of(value, values: list) -> list[int]:
+    places, at = [], -1
+    try:
+        while True:
+            at = values.index(value, at + 1)
+            places.append(at)
+    except ValueError:
+        return places
+
+
 @lru_cache(maxsize=1)
 def encoder_of(vocabulary: str) -> Encoder:
     """A worker's encoder, which later tasks use too."""
@@ -156,6 +181,7 @@ def tokenised(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, closing: i
             all_texts = texts.to_pylist()
             for begin, stop in runs_of_rows([len(t or "") for t in all_texts], BATCH_BYTES):
                 rows = []
+                gc.disable()
                 for doc_id, ids in zip(ids_of[begin:stop], encoder.encode(all_texts[begin:stop]), strict=True):
                     ids += end
                     n, step = len(ids) // 4, 4 * size
@@ -165,6 +191,7 @@ def tokenised(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, closing: i
                     rows.append((doc_id, part, number, n, full, crcs, rest, int(seen[rest]), zlib.crc32(tail), tail))
                     seen[rest] += 1
                     number, full = number + 1, full + whole
+                gc.enable()
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, TOKENISED, strict=True)], schema=TOKENISED)
 
@@ -341,7 +368,9 @@ def packed(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, closing: int
     tokens = materialise(tokenised(docs, vocabulary, size, closing), "packing-tokens")
     counted = tokens.filter("rest > 0").groupBy("rest").count().collect()
     plan = planned({r["rest"]: r["count"] for r in counted}, size)
-    slim = ranked(tokens.drop("rest_ids"))
+    where = F.when(F.col("rest") > 0, placed(plan)("rest", "rank"))
+    # Read three times below.
+    slim = materialise(ranked(tokens.drop("rest_ids")).select("*", where.alias("at")), "packing-places")
     result = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     first = plan.packs + plan.loose // size + len(tail_sizes(plan.loose % size))
@@ -352,15 +381,16 @@ def packed(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, closing: int
     begin = F.col("doc_tokens") - F.col("rest")
     rest = slim.filter("rest > 0").select(
         "doc_id", "part", "number", "doc_tokens", F.col("rest").cast("long").alias("rest"), "rest_crc",
-        placed(plan)("rest", "rank").alias("at"),
-    ).select("*", "at.*").drop("at")
+        "at.*",
+    )
     bound = rest.filter("stream IS NULL").select(
         "doc_id", begin.alias("start"), F.col("rest").alias("length"), F.col("rest_crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
     loose = cut(rest.filter("stream IS NOT NULL"), plan, size)
     whole = loose.filter("length = rest").withColumn("ids_crc32", F.col("rest_crc"))
     ids = tokens.select("part", "number", "rest_ids")
-    divided = loose.filter("length < rest").join(ids, ["part", "number"]).withColumn(
+    # Few as a rule; written, so that the planner knows how few before it shuffles the ids.
+    divided = materialise(loose.filter("length < rest"), "packing-cuts").join(ids, ["part", "number"]).withColumn(
         "ids_crc32", F.crc32(F.expr("substring(rest_ids, cast(4 * piece_start + 1 as int), cast(4 * length as int))"))
     )
     loose_rows = [d.withColumn("start", begin + F.col("piece_start")).select(*result) for d in (whole, divided)]
