@@ -9,7 +9,7 @@ that adds, and only that. It ends when no such phrase is left; then every phrase
 been counted, whatever the sample was.
 
 The border is mostly phrases that occur a few times, so these passes count by hash: tasks add up what they
-can, send six bytes a phrase to buckets, and a bucket answers with the hashes that reach the limit. Equal
+can, send five bytes a phrase to buckets, and a bucket answers with the hashes that reach the limit. Equal
 hashes of different phrases can only let one too many through. What reached the limit is then counted by
 the phrase itself, exactly.
 
@@ -42,13 +42,13 @@ from bastionlog.session import materialise
 LONGEST, LIMIT, TOP = 5, 100, 2000
 #: One document in SHARE is in the sample; a phrase is proposed at this part of its expected count there.
 SHARE, LOWERED = 8, 0.4
-BITS = 1 << 26
-BLOCK_BYTES, SLICE = 1 << 20, 128
+BITS = 1 << 25
+BLOCK_BYTES, SLICE = 1 << 19, 128
 #: Rows an Arrow batch of blocks, and of texts.
 BLOCK_ROWS, TEXT_ROWS = 4, 512
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Entries a task holds before it sends them, and word places a bucket.
-HELD_ENTRIES, BUCKET_PLACES = 1 << 19, 1 << 19
+HELD_ENTRIES, BUCKET_PLACES = 1 << 18, 1 << 19
 LOWER_AND_PART = bytes(
     ord(".") if chr(b) in ".,;:!?" or 0x0A <= b <= 0x0D else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)
 )
@@ -95,6 +95,10 @@ BLOCK = pa.schema([("langs", pa.list_(pa.string())), ("words", pa.binary()), ("l
 BLOCK_DDL = "langs array<string>, words binary, lang binary, word binary, ids binary"
 
 
+def id_type(numbers: int) -> str:
+    return "<u2" if numbers <= 1 << 16 else "<i4"
+
+
 def numbered(texts: list[str | None], langs: list[str]) -> list:
     """A block of texts: languages, words joined by blanks, language and word of each number, numbers by place.
 
@@ -117,7 +121,7 @@ def numbered(texts: list[str | None], langs: list[str]) -> list:
     used = np.flatnonzero(seen)
     new = np.cumsum(seen) - 1
     lang, word = np.divmod(used, len(words))
-    return [names, b" ".join(words), *(x.astype("<i4").tobytes() for x in (lang, word, new[pairs]))]
+    return [names, b" ".join(words), lang.astype("<i4").tobytes(), word.astype("<i4").tobytes(), new[pairs].astype(id_type(len(word))).tobytes()]
 
 
 class Words:
@@ -125,7 +129,8 @@ class Words:
 
     def __init__(self, langs: list[str], words: bytes, lang: bytes, word: bytes, ids: bytes) -> None:
         self.langs, self.text = langs, words
-        self.lang, self.word, self.ids = (np.frombuffer(x, "<i4").astype(np.int64) for x in (lang, word, ids))
+        self.lang, self.word = (np.frombuffer(x, "<i4").astype(np.int64) for x in (lang, word))
+        self.ids = np.frombuffer(ids, id_type(len(self.word))).astype(np.int64)
         data = np.frombuffer(words, np.uint8)
         hashes = W.span_hashes(data, *W.spans(data, NOT_SPACE))
         names = [n.encode("utf-8", "surrogatepass") + b" " for n in langs]
@@ -243,29 +248,30 @@ def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Entries:
-    """Packs of a hash's low five bytes and its count, which stops at the limit; a bucket is of the upper bytes."""
+    """Packs of a hash's low four bytes and its count, which stops at the limit; a bucket is of the upper bytes."""
 
     def __init__(self, limit: int, buckets: int) -> None:
         self.limit, self.buckets, self.width = limit, buckets, (limit.bit_length() + 7) // 8
 
     def whole(self, hashes: np.ndarray) -> np.ndarray:
-        """What stands for a hash everywhere: its bucket and its low five bytes."""
-        return (hashes >> np.uint64(40)) % np.uint64(self.buckets) << np.uint64(40) | hashes & np.uint64((1 << 40) - 1)
+        """What stands for a hash everywhere: its bucket and its low four bytes. Buckets grow with the corpus, so
+        that one in about ten thousand meets another, at any size."""
+        return (hashes >> np.uint64(40)) % np.uint64(self.buckets) << np.uint64(40) | hashes & np.uint64((1 << 32) - 1)
 
     def packs(self, length: int, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         hashes, counts = summed(hashes, counts)
-        raw = np.empty((len(hashes), 5 + self.width), dtype=np.uint8)
-        raw[:, :5] = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        raw[:, 5:] = np.minimum(counts, self.limit).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.width]
+        raw = np.empty((len(hashes), 4 + self.width), dtype=np.uint8)
+        raw[:, :4] = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :4]
+        raw[:, 4:] = np.minimum(counts, self.limit).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.width]
         bucket = (hashes >> np.uint64(40)).astype(np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
         yield from ((int(bucket[s]), length, raw[s:e].tobytes()) for s, e in zip(cuts, cuts[1:], strict=False))
 
     def heavy(self, bucket: int, packs: list[bytes]) -> np.ndarray:
         """The hashes of a bucket whose counts reach the limit together."""
-        raw = np.concatenate([np.frombuffer(p, np.uint8).reshape(-1, 5 + self.width) for p in packs])
+        raw = np.concatenate([np.frombuffer(p, np.uint8).reshape(-1, 4 + self.width) for p in packs])
         wide = np.zeros((2, len(raw), 8), dtype=np.uint8)
-        wide[0, :, :5], wide[1, :, : self.width] = raw[:, :5], raw[:, 5:]
+        wide[0, :, :4], wide[1, :, : self.width] = raw[:, :4], raw[:, 4:]
         hashes, counts = summed(wide[0].view("<u8").ravel(), wide[1].view("<u8").ravel())
         return hashes[counts >= self.limit] | np.uint64(bucket << 40)
 
@@ -372,7 +378,7 @@ def frequent_phrases(
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     with small_batches(docs.sparkSession, TEXT_ROWS):
         blocks = materialise(number_blocks(texts), "phrase-blocks")
-    places = blocks.agg(F.coalesce(F.sum(F.octet_length("ids").cast("long")), F.lit(0))).first()[0] // 4
+    places = blocks.agg(F.coalesce(F.sum(F.octet_length("ids").cast("long")), F.lit(0))).first()[0] // 2
     entries = Entries(limit, min(1 << 23, 1 + places // BUCKET_PLACES))
     now = proposals(texts, limit, longest, share, lowered, bits, entries.buckets)
     before, often = None, Proposed(bits)
