@@ -248,7 +248,8 @@ def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Entries:
-    """Packs of a hash's low four bytes and its count, which stops at the limit; a bucket is of the upper bytes."""
+    """Packs of the hashes' low four bytes, then their counts, which stop at the limit; a bucket is of the upper
+    bytes. Most counts are one, so they are kept together, where shuffles compress them."""
 
     def __init__(self, limit: int, buckets: int) -> None:
         self.limit, self.buckets, self.width = limit, buckets, (limit.bit_length() + 7) // 8
@@ -260,18 +261,20 @@ class Entries:
 
     def packs(self, length: int, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         hashes, counts = summed(hashes, counts)
-        raw = np.empty((len(hashes), 4 + self.width), dtype=np.uint8)
-        raw[:, :4] = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :4]
-        raw[:, 4:] = np.minimum(counts, self.limit).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.width]
+        low = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :4]
+        often = np.minimum(counts, self.limit).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.width]
         bucket = (hashes >> np.uint64(40)).astype(np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-        yield from ((int(bucket[s]), length, raw[s:e].tobytes()) for s, e in zip(cuts, cuts[1:], strict=False))
+        yield from ((int(bucket[s]), length, low[s:e].tobytes() + often[s:e].tobytes()) for s, e in zip(cuts, cuts[1:], strict=False))
 
     def heavy(self, bucket: int, packs: list[bytes]) -> np.ndarray:
         """The hashes of a bucket whose counts reach the limit together."""
-        raw = np.concatenate([np.frombuffer(p, np.uint8).reshape(-1, 4 + self.width) for p in packs])
-        wide = np.zeros((2, len(raw), 8), dtype=np.uint8)
-        wide[0, :, :4], wide[1, :, : self.width] = raw[:, :4], raw[:, 4:]
+        sizes = [len(p) // (4 + self.width) for p in packs]
+        wide = np.zeros((2, sum(sizes), 8), dtype=np.uint8)
+        wide[0, :, :4] = np.concatenate([np.frombuffer(p, np.uint8, 4 * n) for p, n in zip(packs, sizes, strict=True)]).reshape(-1, 4)
+        wide[1, :, : self.width] = np.concatenate(
+            [np.frombuffer(p, np.uint8, offset=4 * n) for p, n in zip(packs, sizes, strict=True)]
+        ).reshape(-1, self.width)
         hashes, counts = summed(wide[0].view("<u8").ravel(), wide[1].view("<u8").ravel())
         return hashes[counts >= self.limit] | np.uint64(bucket << 40)
 
