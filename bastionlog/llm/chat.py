@@ -28,8 +28,8 @@ class Template:
     open: str = "### "
     head_end: str = ": "
     close: str = "</turn>\n"
-    #: What texts may hold and an escaped text may not, with what stands for it. In every escaped text a
-    #: backslash is followed by a letter that says what it stands for; the plain one is first.
+    #: What stands for parts of texts, plain one first. In every escaped text a backslash is followed by a
+    #: letter that says what it stands for, and neither ``open`` nor ``close`` is left.
     escapes: tuple[tuple[str, str], ...] = (("\\", "\\e"), ("</turn>", "<\\t/turn>"), ("##", "#\\h#"))
     role_escapes: tuple[tuple[str, str], ...] = ((":", "\\c"),)
     learnt: tuple[str, ...] = ("assistant",)
@@ -103,17 +103,25 @@ def read_turns(text: Column, template: Template = TEMPLATE) -> Column:
     return F.transform(whole, turn)
 
 
-def learnt_text(segments: Column, template: Template = TEMPLATE) -> Column:
-    """The texts under the loss mask, unescaped, nothing between."""
+def learnt_text(turns: Column, template: Template = TEMPLATE) -> Column:
+    """What is learnt of turns read back from a formatted text: the learnt roles' texts, nothing between."""
+    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"].isin(*template.learnt)), lambda t: t["text"]), "")
+
+
+def flagged_text(segments: Column, template: Template = TEMPLATE) -> Column:
+    """The segments with a loss flag, unescaped, nothing between: the same as ``learnt_text`` of what is read back."""
     kept = F.filter(segments, lambda s: s["loss"])
     return F.array_join(F.transform(kept, lambda s: unescaped(s["text"], template.escapes)), "")
 
 
 def conversation_digests(made: DataFrame, template: Template = TEMPLATE) -> DataFrame:
-    """What a reader of the output finds: conv_id, n_turns, digests of turns and learnt text, lengths, valid."""
-    read = made.select(
-        "conv_id", "valid", formatted(F.col("segments")).alias("whole"), learnt_text(F.col("segments"), template).alias("learnt")
-    ).select("*", read_turns(F.col("whole"), template).alias("turns"))
+    """What a reader of the formatted text alone finds: conv_id, n_turns, digests of turns and learnt text, lengths;
+    and ``valid`` of the segments."""
+    read = (
+        made.select("conv_id", "valid", formatted(F.col("segments")).alias("whole"))
+        .select("*", read_turns(F.col("whole"), template).alias("turns"))
+        .select("*", learnt_text(F.col("turns"), template).alias("learnt"))
+    )
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
