@@ -112,6 +112,11 @@ def unscanned(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...
     return blobs.join(seen, "blob", "left").withColumn("versions", left).drop("seen").filter(F.size("versions") > 0)
 
 
+def may_match(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Whether some rule matches in the text, by one pattern of all; false for null."""
+    return F.coalesce(text.rlike("|".join(f"(?:{r.pattern})" for r in rules)), F.lit(False))
+
+
 def scan_unseen(texts: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger entries (blob, version, spans) for ``texts`` (text), with empty spans where nothing was found.
 
@@ -119,7 +124,7 @@ def scan_unseen(texts: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     """
     addressed = texts.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("content"))
     pairs = unscanned(addressed.select("blob").distinct(), ledger, rules)
-    matching = addressed.filter(F.col("content").rlike("|".join(f"(?:{r.pattern})" for r in rules)))
+    matching = addressed.filter(may_match(F.col("content"), rules))
     once = matching.groupBy("blob").agg(F.first("content").alias("content"))
     version = F.element_at(F.array(*(F.lit(r.version) for r in rules)), F.col("ord") + 1)
     found = scan(unscanned(once, ledger, rules), rules).groupBy("blob", version.alias("version")).agg(
@@ -177,18 +182,22 @@ def redacted(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return text
 
 
-def redact_secrets(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    """``docs`` with the secrets of all rows that ``findings`` by blob has spans for taken out of the text.
+def redact_secrets(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with the secrets of all rows that ``findings`` by blob, made with ``rules``, has spans for taken
+    out of the text.
 
-    All rows and columns stay; n_chars, where it is a column, follows the text.
+    All rows and columns stay; n_chars, where it is a column, follows the text. Only rows some rule matches in
+    meet the findings in a shuffle; the others, most of a corpus, pass by it.
     """
     found = findings.select(F.col("blob").alias("_found_blob"))
-    marked = docs.withColumn("_blob", blob_of(docs["text"]))
+    matching = may_match(docs["text"], rules)
+    marked = docs.filter(matching).withColumn("_blob", blob_of(F.col("text")))
     hit = F.col("_found_blob").isNotNull()
     clean = marked.join(found, marked["_blob"] == found["_found_blob"], "left").withColumn(
-        "text", F.when(hit, redacted(F.col("text"))).otherwise(F.col("text"))
+        "text", F.when(hit, redacted(F.col("text"), rules)).otherwise(F.col("text"))
     )
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         clean = clean.withColumn("n_chars", F.when(hit, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return clean.select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return clean.select(*names).unionAll(docs.filter(~matching).select(*names))

@@ -346,6 +346,18 @@ def test_secret_spans_and_redaction(spark):
     assert again.collect() == []
 
 
+def test_texts_without_a_match_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, "0123456789abcdef" if i % 50 == 0 else f"words {i}") for i in range(500)] + [(500, None)], "doc_id long, text string")
+    findings = secrets.findings_by_blob(secrets.scan_unseen(docs)).cache()
+    clean = secrets.redact_secrets(docs, findings)
+    assert [r["text"] for r in clean.orderBy("doc_id").collect()] == [
+        secrets.REDACTED if i % 50 == 0 else f"words {i}" for i in range(500)
+    ] + [None]
+    # One branch of the union has the join, the other is a filter of the documents.
+    passed = clean._jdf.queryExecution().optimizedPlan().children().apply(1).toString()
+    assert "Join" not in passed and "Filter" in passed
+
+
 def test_many_matches_in_one_text(spark):
     docs = spark.createDataFrame([(1, "0123456789abcdef " * 20_000)], "doc_id long, text string")
     assert secrets.secret_findings(docs, secrets.findings_by_blob(secrets.scan_unseen(docs))).first()["n_hex"] == 20_000
@@ -357,7 +369,7 @@ def test_ledger_scans_only_what_is_new(spark):
     assert sorted(len(r["spans"]) for r in ledger) == [0, 1]
     known = spark.createDataFrame(ledger, secrets.scan_unseen(one).schema)
     assert secrets.scan_unseen(one, known, secrets.BASE_RULES).collect() == []
-    assert {r["version"] for r in secrets.scan_unseen(one, known).collect()} == {2}
+    assert {r["version"] for r in secrets.scan_unseen(one, known).collect()} == {r.version for r in secrets.ADDED_RULES}
     more = one.unionByName(spark.createDataFrame([("d", "new")], "path string, text string"))
     assert len(secrets.scan_unseen(more, known, secrets.BASE_RULES).collect()) == 1
 
@@ -370,10 +382,11 @@ def test_ledger_scans_only_what_is_new(spark):
 def test_turns_come_back(spark, turns):
     rows = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn int, role string, text string")
     made = chat.segments(rows).select("segments", chat.formatted(F.col("segments")).alias("whole")).select(
-        chat.read_turns(F.col("whole")).alias("turns"), chat.learnt_text(F.col("segments")).alias("learnt"), "whole"
+        chat.read_turns(F.col("whole")).alias("turns"), chat.learnt_text(chat.read_turns(F.col("whole"))).alias("learnt"),
+        chat.flagged_text(F.col("segments")).alias("flagged"), "whole"
     ).first()
     assert [tuple(t) for t in made["turns"]] == turns
-    assert made["learnt"] == "".join(t for r, t in turns if r == "assistant")
+    assert made["learnt"] == made["flagged"] == "".join(t for r, t in turns if r == "assistant")
     assert made["whole"].count("</turn>\n") == len(turns)
 
 
