@@ -353,3 +353,58 @@ def test_line_models_raise_the_confidence(spark, make_lines):
     assert rows[0].anomaly == 1.0 and rows[1].clf == 0.0 and len(rows) == 2
     plain, rated = (max(r.confidence for r in detect(x).collect()) for x in (seen, scored))
     assert rated > plain
+
+
+def random_vectors(spark, rows):
+    import random
+
+    draw = random.Random(5)
+    return [(i, *(round(draw.gauss(0, 1 + (i % 7 == 0) * 5), 3) for _ in VECTOR_FIELDS)) for i in range(rows)]
+
+
+def test_forest_scores_equal_a_plain_walk(spark):
+    """Each row walked node by node through the written-out forest gives the library's score."""
+    import math
+
+    rows = random_vectors(spark, 300)
+    scaled = spark.createDataFrame(rows, "line_index long, " + ", ".join(f"{c} double" for c in VECTOR_FIELDS))
+    nodes = anomaly.fit_forest(scaled, "line_index").cache()
+    trees = {}
+    for n in nodes.collect():
+        trees.setdefault(n.tree, {})[n.node] = n
+    got = {r.line_index: r.raw_score for r in anomaly.raw_scores(scaled, nodes).collect()}
+    assert len(trees) == anomaly.TREES and len(got) == 300
+    for line, *values in rows:
+        shares = []
+        for tree in trees.values():
+            at = tree[0]
+            while at.feature >= 0:
+                at = tree[at.left if values[at.feature] <= at.threshold else at.right]
+            shares.append(at.depth / max(tree[0].depth, 1.0))
+        assert got[line] == pytest.approx(2.0 ** -(math.fsum(shares) / len(shares)), abs=1.1e-6)
+
+
+def test_classifier_votes_equal_a_plain_walk(spark):
+    """Leaf shares of every tree, averaged, are the library's probabilities."""
+    rows = [(*r, "threat" if r[1] + r[2] > 0 else "benign") for r in random_vectors(spark, 200)]
+    frame = spark.createDataFrame(rows, "line_index long, " + ", ".join(f"{c} double" for c in VECTOR_FIELDS) + ", label string")
+    model = anomaly.fit_threat_classifier(frame, trees=5)
+
+    def walked(node):
+        if not node.getClass().getSimpleName().startswith("Internal"):
+            return [float(x) for x in node.impurityStats().stats()]
+        split = node.split()
+        return split.featureIndex(), split.threshold(), walked(node.leftChild()), walked(node.rightChild())
+
+    trees = [walked(t._java_obj.rootNode()) for t in model.stages[2].trees]
+    names = model.stages[0].labels
+    by_line = {r[0]: r[1:-1] for r in rows}
+    got = anomaly.classify_threats(frame, model).collect()
+    assert len(got) == 200
+    for r in got:
+        votes = [0.0, 0.0]
+        for at in trees:
+            while isinstance(at, tuple):
+                at = at[2] if by_line[r.line_index][at[0]] <= at[1] else at[3]
+            votes = [v + x / sum(at) / len(trees) for v, x in zip(votes, at, strict=True)]
+        assert list(r.probabilities) == pytest.approx(votes) and r.prediction == names[votes.index(max(votes))]

@@ -104,6 +104,34 @@ def test_vulnerability_versions(spark, make_lines, tmp_path):
     assert version == 1 and table.count() == 2
 
 
+def test_interleaved_writers_lose_nothing(spark, make_lines, tmp_path, monkeypatch):
+    """A writer whose version number is taken between its read and its commit merges again."""
+    path = str(tmp_path / "v")
+    one, two = (assess(extract_features(make_lines([t])), ["stream_id"]) for t in ("log4j seen", "xxe seen"))
+    commit, taken = sinks.commit_version, []
+
+    def late(spark, staged, path, version):
+        if not taken:
+            taken.append(version)
+            monkeypatch.setattr(sinks, "commit_version", commit)
+            assert sinks.upsert_vulnerabilities(two, path)
+        return commit(spark, staged, path, version)
+
+    monkeypatch.setattr(sinks, "commit_version", late)
+    assert sinks.upsert_vulnerabilities(one, path)
+    table, version = sinks.read_version(spark, path)
+    assert taken == [0] and version == 1 and table.count() == 2
+    assert sorted(os.listdir(path)) == ["version=0", "version=1"]
+
+
+def test_old_versions_go(spark, make_lines, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "KEPT_VERSIONS", 1)
+    path = str(tmp_path / "v")
+    for text in ("log4j seen", "xxe seen"):
+        assert sinks.upsert_vulnerabilities(assess(extract_features(make_lines([text])), ["stream_id"]), path)
+    assert sinks.versions(spark, path) == [1] and sinks.read_version(spark, path)[0].count() == 2
+
+
 def test_ingest_equals_batch(spark, stored, tmp_path):
     path, lines = stored
     root = str(tmp_path / "store")
