@@ -81,19 +81,19 @@ def with_event_time(features: DataFrame) -> DataFrame:
     return features.withColumn("event_ts", event_time(F.col("timestamp"), F.col("ts")))
 
 
-def window_features(features: DataFrame, scope: list[str]) -> DataFrame:
-    """Totals and distinct counts per scope.
-
-    Rows are reduced per (scope, address, user) first, so one busy scope never sends its raw rows to
-    a single task and the distinct counts run over the reduced rows.
-    """
+def per_source(features: DataFrame, scope: list) -> DataFrame:
+    """Rows reduced per (scope, address, user)."""
     lowered = F.lower("raw_message")
     failed = lowered.contains("failed") & (lowered.contains("password") | lowered.contains("login"))
-    reduced = features.groupBy(*scope, "source_ip", "username").agg(
+    return features.groupBy(*scope, "source_ip", "username").agg(
         F.count("*").alias("n"),
         F.sum("message_length").alias("length_sum"),
         F.count_if(failed).alias("failed"),
     )
+
+
+def totals(reduced: DataFrame, scope: list[str]) -> DataFrame:
+    """Totals and distinct counts per scope from reduced rows."""
     known_ip = F.col("source_ip") != UNKNOWN
     return reduced.groupBy(*scope).agg(
         F.sum("n").alias("total_events"),
@@ -103,3 +103,22 @@ def window_features(features: DataFrame, scope: list[str]) -> DataFrame:
         F.sum("failed").alias("failed_login_count"),
         F.count_distinct(F.when(known_ip & (F.col("failed") > 0), F.col("source_ip"))).alias("suspicious_auth_sources"),
     )
+
+
+def window_features(features: DataFrame, scope: list[str]) -> DataFrame:
+    """Totals and distinct counts per scope.
+
+    Rows are reduced per (scope, address, user) first, so one busy scope never sends its raw rows to
+    a single task and the distinct counts run over the reduced rows.
+    """
+    return totals(per_source(features, scope), scope)
+
+
+def sliding_features(features: DataFrame, scope: list[str], width: str = "5 minutes", pane: str = "1 minute") -> DataFrame:
+    """``window_features`` in windows of ``width`` that start every ``pane``, with ``window_start``.
+
+    Rows are reduced inside panes first; only the reduced rows of a pane are written once per window.
+    """
+    panes = per_source(features, [*scope, F.window("ts", pane).alias("pane")])
+    spread = panes.withColumn("w", F.window(F.col("pane.start"), width, pane)).withColumn("window_start", F.col("w.start"))
+    return totals(spread, [*scope, "window_start"])

@@ -13,7 +13,7 @@ from bastionlog.operators import alerts as al
 from bastionlog.operators import anomaly, classify, codescan, correlate, line_models, quality, risk, strict
 from bastionlog.operators import vulnerabilities as vu
 from bastionlog.operators.disambiguate import most_specific_auth, suppress_losers
-from bastionlog.operators.features import VECTOR_FIELDS, extract_features, window_features, with_event_time
+from bastionlog.operators.features import VECTOR_FIELDS, extract_features, sliding_features, window_features, with_event_time
 from bastionlog.operators.fold import keep_one, reduce_hits
 from bastionlog.operators.ipfill import resolve_source_ip
 from bastionlog.operators.parse import field, parse_lines, simple_line, split_text, timestamp_text
@@ -174,9 +174,7 @@ def window_totals(spark, sf_dir):
 @query
 def sliding_window_totals(spark, sf_dir):
     """Batch twin of the streaming window aggregate: five-minute windows every minute."""
-    rows = features(spark, sf_dir).withColumn("w", F.window("ts", "5 minutes", "1 minute"))
-    rows = rows.withColumn("window_start", F.col("w.start"))
-    return window_features(rows, ["stream_id", "window_start"])
+    return sliding_features(features(spark, sf_dir), ["stream_id"])
 
 
 # ---- signatures and predicates ------------------------------------------------------------------------
@@ -346,19 +344,19 @@ def latest_alerts(spark, sf_dir):
     return al.latest(stored_alerts(spark, sf_dir)).select("id", "ts", "alert_type", "severity", "source_ip", "confidence")
 
 
-def alert_table(spark, sf_dir) -> DataFrame:
-    """Stored alerts as a written table, for queries that read it more than once."""
-    return materialise(stored_alerts(spark, sf_dir), "alerts")
+def alerts_by_day(spark, sf_dir) -> DataFrame:
+    """Stored alerts as a table written by day, for queries that read a time range of it."""
+    return materialise(stored_alerts(spark, sf_dir).withColumn("day", F.to_date("ts")), "alerts", "day")
 
 
 @query
 def attack_timeline(spark, sf_dir):
-    return al.timeline(al.since_last(alert_table(spark, sf_dir), 60))
+    return al.timeline(al.since_last_by_day(alerts_by_day(spark, sf_dir), 60))
 
 
 @query
 def attack_timeline_threats(spark, sf_dir):
-    return al.timeline_entries(al.since_last(alert_table(spark, sf_dir), 60))
+    return al.timeline_entries(al.since_last_by_day(alerts_by_day(spark, sf_dir), 60))
 
 
 DASHBOARD_COLUMNS = ["id", "ts", "alert_type", "severity", "description", "source_ip", "mitre_tactic", "domain",

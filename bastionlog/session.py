@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Map state and timers of the streams need a store with column families.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -55,10 +58,17 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "bastionlog-checkpoints")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later passes scan narrow columns
-    of the written table instead of repeating the work, and lost executors cost no lineage replay."""
+    of the written table instead of repeating the work, and lost executors cost no lineage replay.
+
+    ``by`` names a column to partition the table by; rows of a value go to few files, and a value with
+    many rows to several tasks.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if by is None:
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bastionlog.rules.code_rules import SOURCE_EXTENSIONS
@@ -13,23 +13,27 @@ HEALTH_DDL = (
     "network_rx double, active_connections int"
 )
 LABELLED_COLUMNS = ["log_entry", "label"]
-ROW_BITS = 33
-MEGABYTE_BITS = 20
 
 
 def text_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Log files as lines in file order, one stream per file.
+    """Log files as lines in file order, one stream per file; ``line_index`` is the line's number from 0.
 
-    ``line_index`` combines the file block (splits start at least a megabyte apart) with the row
-    number inside the task, so it grows along each file without a sort or a shuffle.
+    Two passes over the same splits: one counts the lines of each split, without their text, and adds
+    the counts up along each file; the other adds a line's place in its split. Only a row per split is
+    shuffled, whatever the size of splits, and compressed files are one split.
     """
-    block = F.shiftright(F.col("_metadata.file_block_start"), MEGABYTE_BITS)
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    return spark.read.text(path).select(
-        F.shiftleft(block, ROW_BITS).bitwiseOR(row).alias("line_index"),
-        F.xxhash64("_metadata.file_path").alias("stream_id"),
+    row = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("ts"),
-        F.col("value").alias("raw_message"),
+        F.col("value").alias("raw_message"), row.alias("row"),
+    )
+    splits = lines.groupBy("file", "block").agg(F.min("row").alias("first_row"), F.count("*").alias("n"))
+    along = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0))).drop("n")
+    return lines.join(offsets, ["file", "block"]).select(
+        (F.col("before") + F.col("row") - F.col("first_row")).alias("line_index"),
+        F.xxhash64("file").alias("stream_id"), "ts", "raw_message",
     )
 
 

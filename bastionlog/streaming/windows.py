@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from bastionlog.functions.columns import UNKNOWN
 from bastionlog.functions.shipping import ship_by_value
@@ -21,6 +20,8 @@ from bastionlog.rules.signatures import DEDUP_WINDOW_SECONDS
 ship_by_value(__name__)
 
 LATENESS = "10 minutes"
+SKETCH_BITS = 14
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
 FOLD_KEYS = ["stream_id", "source_ip", "threat_type"]
 FOLD_DDL = "stream_id bigint, source_ip string, threat_type string, line_index bigint, time_us bigint, score int"
 ESCALATION_DDL = "stream_id bigint, source_ip string, threat_type string, time_us bigint, recent bigint"
@@ -51,6 +52,46 @@ def windowed_totals(features: DataFrame, exact: bool = False) -> DataFrame:
     )
 
 
+def pane_sketches(features: DataFrame) -> DataFrame:
+    """One row per stream and minute: sums, and mergeable sketches of the distinct sources and users.
+
+    For streams (the watermark is the input's) and for batches alike; expects ``event_time``.
+    """
+    known = F.when(F.col("source_ip") != UNKNOWN, F.col("source_ip"))
+    user = F.when(F.col("username") != UNKNOWN, F.col("username"))
+    return features.groupBy("stream_id", F.window("event_time", "1 minute").alias("pane")).agg(
+        F.count("*").alias("n"), F.sum("message_length").alias("length_sum"),
+        F.count_if(failed_login()).alias("failed"),
+        F.hll_sketch_agg(known, F.lit(SKETCH_BITS)).alias("sources"),
+        F.hll_sketch_agg(user, F.lit(SKETCH_BITS)).alias("users"),
+        F.hll_sketch_agg(F.when(failed_login(), known), F.lit(SKETCH_BITS)).alias("suspicious"),
+    )
+
+
+def totals_of_panes(panes: DataFrame) -> DataFrame:
+    """Five-minute windows every minute as unions of their panes: only panes are written five times, not rows.
+
+    Sums are exact; distinct counts are within the sketch's error (``SKETCH_ERROR``, one standard error).
+    In a stream both aggregates run behind one watermark, in append mode.
+    """
+    windows = F.window(F.window_time("pane"), "5 minutes", "1 minute").alias("w")
+    joined = panes.groupBy("stream_id", windows).agg(
+        F.sum("n").alias("total_events"),
+        *[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(name) for c, name in
+          (("sources", "unique_sources"), ("users", "unique_users"), ("suspicious", "suspicious_auth_sources"))],
+        (F.sum("length_sum") / F.sum("n")).alias("avg_message_length"),
+        F.sum("failed").alias("failed_login_count"),
+    )
+    return joined.select("stream_id", F.col("w.start").alias("window_start"), "total_events", "unique_sources",
+                         "unique_users", "avg_message_length", "failed_login_count", "suspicious_auth_sources")
+
+
+def pane_totals(features: DataFrame) -> DataFrame:
+    """``windowed_totals`` by way of one-minute panes."""
+    rows = watermarked(features) if features.isStreaming else features.withColumn("event_time", F.col("ts").cast("timestamp"))
+    return totals_of_panes(pane_sketches(rows))
+
+
 def minute_timeline(alerts: DataFrame) -> DataFrame:
     """Threats per minute of a stream of alerts."""
     rows = watermarked(alerts.filter(is_security_threat()))
@@ -59,36 +100,53 @@ def minute_timeline(alerts: DataFrame) -> DataFrame:
     )
 
 
-def escalate_key(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+class Escalate(StatefulProcessor):
     """Instants of a key that reach the limit within their trailing window, once no earlier hit can still come.
 
-    The state holds how many hits each instant had, back to one window before the watermark.
+    A map holds how many hits each instant had, back to one window before the watermark; a timer stands
+    just behind each instant that waits, and one behind the last window of a quiet key, which clears it.
     """
-    settled, held = state.get if state.exists else (-(2**62), "")
-    counts = Counter({int(t): int(n) for t, n in (pair.split(":") for pair in held.split(",") if pair)})
-    for rows in batches:
-        counts.update(rows["time_us"].astype("int64").tolist())
-    limit, width = state.getCurrentWatermarkMs() * 1000, ESCALATION_SECONDS * 1_000_000
-    times = np.array(sorted(counts), dtype=np.int64)
-    upto = np.concatenate(([0], np.cumsum([counts[t] for t in times.tolist()])))
-    recent = upto[1:] - upto[np.searchsorted(times, times - width)]
-    ready = (times > settled) & (times <= limit) & (recent >= ESCALATION_HITS)
-    kept = times[times >= limit - width].tolist()
-    if kept:
-        state.update((max(settled, limit), ",".join(f"{t}:{counts[t]}" for t in kept)))
-        waiting = [t for t in kept if t > limit]
-        due = waiting[0] if waiting else kept[-1] + width
-        state.setTimeoutTimestamp(max(due, limit) // 1000 + 1)
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame([[*key, int(t), int(n)] for t, n in zip(times[ready], recent[ready])], columns=ESCALATION_COLUMNS)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "time_us bigint", "n bigint")
+        self.settled = handle.getValueState("settled", "time_us bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for time, n in batch["time_us"].astype("int64").value_counts().items():
+                at = (int(time),)
+                held = self.counts.getValue(at)[0] if self.counts.containsKey(at) else 0
+                self.counts.updateValue(at, (held + int(n),))
+                self.handle.registerTimer(at[0] // 1000 + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit, width = timerValues.getCurrentWatermarkInMs() * 1000, ESCALATION_SECONDS * 1_000_000
+        settled = self.settled.get()[0] if self.settled.exists() else -(2**62)
+        counts = {t: n for (t,), (n,) in self.counts.iterator()}
+        times = np.array(sorted(counts), dtype=np.int64)
+        upto = np.concatenate(([0], np.cumsum([counts[t] for t in times.tolist()])))
+        recent = upto[1:] - upto[np.searchsorted(times, times - width)]
+        ready = (times > settled) & (times <= limit) & (recent >= ESCALATION_HITS)
+        for gone in times[times < limit - width].tolist():
+            self.counts.removeKey((gone,))
+        kept = times[times >= limit - width].tolist()
+        if kept:
+            self.settled.update((max(settled, limit),))
+            if kept[-1] <= limit:
+                self.handle.registerTimer((kept[-1] + width) // 1000 + 1)
+        else:
+            self.settled.clear()
+        if ready.any():
+            found = [[*key, int(t), int(n)] for t, n in zip(times[ready], recent[ready])]
+            yield pd.DataFrame(found, columns=ESCALATION_COLUMNS)
 
 
 def escalations(hits: DataFrame) -> DataFrame:
     """Stream of the instants the batch operator finds, each once, when the watermark has passed it."""
-    return watermarked(hits).select(*FOLD_KEYS, "time_us", "event_time").groupBy(*FOLD_KEYS).applyInPandasWithState(
-        escalate_key, ESCALATION_DDL, "settled bigint, times string", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    rows = watermarked(hits).select(*FOLD_KEYS, "time_us", "event_time")
+    return rows.groupBy(*FOLD_KEYS).transformWithStateInPandas(Escalate(), ESCALATION_DDL, "Append", "EventTime")
 
 
 def first_hits(hits: DataFrame) -> DataFrame:
@@ -96,29 +154,54 @@ def first_hits(hits: DataFrame) -> DataFrame:
     return watermarked(hits).dropDuplicatesWithinWatermark(FOLD_KEYS)
 
 
-def fold_key(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Carry the kept hit of a key over batches by the exact rule; emits it whenever a batch arrives.
+class Fold(StatefulProcessor):
+    """The kept hit of a key by the exact rule, whatever batches its hits arrive in.
 
-    State is three numbers per key, whatever the number of hits. It ends when the watermark is a window
-    past the kept hit: whatever comes then replaces it.
+    Hits wait in a map by line until the watermark passes their time, and are then taken in line order up
+    to the first that still waits. The kept hit is three numbers; it goes when the watermark is a window
+    past it and nothing waits, as whatever comes then replaces it.
     """
-    if state.hasTimedOut:
-        state.remove()
-        return
-    kept = state.get if state.exists else None
-    window = DEDUP_WINDOW_SECONDS * 1_000_000
-    rows = pd.concat(list(batches)).sort_values("line_index")
-    for line, time, score in zip(rows["line_index"], rows["time_us"], rows["score"]):
-        if kept is None or abs(time - kept[1]) > window or score > kept[2]:
-            kept = (int(line), int(time), int(score))
-    state.update(kept)
-    state.setTimeoutTimestamp(max((kept[1] + window) // 1000, state.getCurrentWatermarkMs()) + 1)
-    yield pd.DataFrame([[*key, *kept]], columns=[*FOLD_KEYS, "line_index", "time_us", "score"])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "line_index bigint", "time_us bigint, score int")
+        self.kept = handle.getValueState("kept", FOLD_STATE_DDL)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for line, time, score in zip(batch["line_index"], batch["time_us"], batch["score"]):
+                self.waiting.updateValue((int(line),), (int(time), int(score)))
+                self.handle.registerTimer(int(time) // 1000 + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit, window = timerValues.getCurrentWatermarkInMs() * 1000, DEDUP_WINDOW_SECONDS * 1_000_000
+        kept = before = tuple(self.kept.get()) if self.kept.exists() else None
+        held = sorted((line, time, score) for (line,), (time, score) in self.waiting.iterator())
+        taken = 0
+        for line, time, score in held:
+            if time > limit:
+                break
+            self.waiting.removeKey((line,))
+            taken += 1
+            if kept is None or abs(time - kept[1]) > window or score > kept[2]:
+                kept = (line, time, score)
+        if kept is None:
+            return
+        if taken < len(held) or kept[1] + window >= limit:
+            self.kept.update(kept)
+            self.handle.registerTimer(max((kept[1] + window) // 1000, limit // 1000) + 1)
+        else:
+            self.kept.clear()
+        if kept != before:
+            yield pd.DataFrame([[*key, *kept]], columns=[*FOLD_KEYS, "line_index", "time_us", "score"])
 
 
 def exact_fold(hits: DataFrame) -> DataFrame:
-    """Stream of the currently kept hit per key; the newest row of a key counts."""
+    """Stream of the kept hit per key, each time another one is kept; the newest row of a key counts.
+
+    It equals the batch fold however hits are dealt to batches, as long as line order and time order
+    differ by less than the lateness. What waits is one lateness of hits.
+    """
     rows = watermarked(hits).select(*FOLD_KEYS, "line_index", "time_us", "score", "event_time")
-    return rows.groupBy(*FOLD_KEYS).applyInPandasWithState(
-        fold_key, FOLD_DDL, FOLD_STATE_DDL, "update", GroupStateTimeout.EventTimeTimeout
-    )
+    return rows.groupBy(*FOLD_KEYS).transformWithStateInPandas(Fold(), FOLD_DDL, "Update", "EventTime")
