@@ -27,6 +27,7 @@ from bastionlog.rules.narratives import (
     narrative_rows,
 )
 from bastionlog.rules.vulnerabilities import FACTS, SERVER_ERROR, SIGNALS
+from bastionlog.sources.derive import LINES_PER_TURN
 from bastionlog.sources.templates import (
     BURST_EVENTS,
     BURST_SECONDS,
@@ -91,6 +92,29 @@ def _log_lines() -> str:
         FROM events))"""
 
 
+def _given_lines() -> str:
+    texts = " UNION ALL ".join(
+        f"SELECT {key} * 4 + {place} AS s, {order}::BIGINT AS t, {text} AS text FROM {name}"
+        for place, (name, key, text, order) in enumerate(
+            [("documents", "doc_id", "text", "0"), ("pages", "page_id", "html", "0"), ("conversations", "conv_id", "text", "turn")], 1)
+    )
+    return f"""log_lines AS (
+  SELECT event_id AS line_index, user_id * 4 AS stream_id, ts, '{{"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","level":"'
+      || coalesce(event_type, '') || '","customer_id":' || coalesce(CAST(user_id AS VARCHAR), 'null') || ',"usage_mbps":'
+      || coalesce(CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), 'null') || ',"message":"' || coalesce(event_type, '')
+      || '","props":' || coalesce(props, 'null') || '}}' AS raw_message FROM events
+  UNION ALL SELECT t * {LINES_PER_TURN} + i, s, TIMESTAMP '2024-01-01 00:00:00', l FROM
+    (SELECT s, t, unnest(lines) AS l, generate_subscripts(lines, 1) AS i FROM
+      (SELECT s, t, CASE WHEN len(kept) = 0 THEN [trim(text, {BLANKS})] ELSE kept END AS lines FROM
+        (SELECT s, t, text, list_filter(list_transform(regexp_split_to_array(text, {q(LINE_BREAKS)}),
+           lambda x: trim(x, {BLANKS})), lambda x: x <> '') AS kept FROM ({texts})))))"""
+
+
+def given(ctes: list[str]) -> list[str]:
+    """The same stages over the lines of the supplied texts."""
+    return [_given_lines() if c == _log_lines() else c for c in ctes]
+
+
 def field(name: str) -> str:
     pos = f"list_position(names, {q(name)})"
     return f"(CASE WHEN j IS NOT NULL THEN json_extract_string(j, '$.{name}') WHEN {pos} > 0 THEN vals[{pos}] END)"
@@ -601,11 +625,14 @@ def _risk() -> str:
 
 
 def _health() -> str:
-    return f"""health AS (SELECT event_id AS id, user_id % {STREAMS} AS stream_id, ts,
-        ((event_id * 7 + user_id) % 101)::DOUBLE AS cpu_usage, ((event_id * 11 + user_id) % 97)::DOUBLE AS memory_usage,
-        ((event_id * 13 + user_id * 5) % 25000)::DOUBLE AS network_tx,
-        ((event_id * 17 + user_id * 3) % 25000)::DOUBLE AS network_rx,
-        ((event_id + user_id) % 500)::INTEGER AS active_connections FROM events)"""
+    cents = "CAST(round(value * 100) AS BIGINT)"
+    shown = "event_type IN ('view', 'click')"
+    return f"""health AS (SELECT min(event_id) AS id, user_id % {STREAMS} AS stream_id, date_trunc('hour', ts) AS ts,
+        least(100.0::DOUBLE, max({cents})::DOUBLE / 100) AS cpu_usage,
+        least(100.0::DOUBLE, sum({cents})::DOUBLE / count({cents}) / 100) AS memory_usage,
+        coalesce(sum({cents}) FILTER (WHERE {shown}), 0)::DOUBLE / 100 AS network_tx,
+        coalesce(sum({cents}) FILTER (WHERE NOT {shown}), 0)::DOUBLE / 100 AS network_rx,
+        count(DISTINCT user_id)::INTEGER AS active_connections FROM events GROUP BY user_id % {STREAMS}, date_trunc('hour', ts))"""
 
 
 def _fields(formats: list[str], names: list[str]) -> str:
@@ -663,6 +690,15 @@ def oracles() -> dict[str, str]:
     clean = CLEAN_SUMMARY
     return {
         "raw_lines": with_ctes(*lines_ctes()) + "SELECT * FROM log_lines",
+        "given_text": with_ctes(_given_lines()) + "SELECT * FROM log_lines",
+        "given_features": with_ctes(*given(feature_ctes())) + "SELECT * FROM features",
+        "given_formats": with_ctes(*given(parsed_ctes())) + """SELECT line_format, count(*) AS n, count(DISTINCT stream_id) AS streams
+            FROM parsed GROUP BY 1""",
+        "given_totals": with_ctes(*given(feature_ctes())) + _window_totals("stream_id", "features"),
+        "given_signatures": with_ctes(*given(hit_ctes())) + """SELECT threat_type, severity, count(*) AS n,
+            count(*) FILTER (WHERE direct) AS direct_hits, count(DISTINCT stream_id) AS streams FROM hits GROUP BY ALL""",
+        "given_detections": with_ctes(*given(detection)) + """SELECT stream_id, line_index, source_ip, threat_type, severity,
+            confidence, threat_status, corroborating_count, event_ts FROM detections""",
         "health_snapshots": with_ctes(_health()) + "SELECT * FROM health",
         "text_lines": _split_documents(False),
         "numbered_text_lines": _split_documents(True),

@@ -22,7 +22,7 @@ from bastionlog.plans import dashboard, detect, scan
 from bastionlog.rules.line_classifier import SIMPLE_LINE_PATTERN
 from bastionlog.rules.signatures import CVE_MENTION_PATTERN
 from bastionlog.session import materialise, prepare
-from bastionlog.sources.derive import expected_threats, log_lines, source_files, system_health, table
+from bastionlog.sources.derive import expected_threats, given_lines, log_lines, source_files, system_health, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -82,6 +82,11 @@ def text_lines(spark, sf_dir):
     return split_text(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query
+def given_text(spark, sf_dir):
+    return given_lines(spark, sf_dir)
+
+
 @query
 def numbered_text_lines(spark, sf_dir):
     return split_text(table(spark, sf_dir, "documents"), "doc_id", "text", keep_numbering=True)
@@ -166,6 +171,23 @@ def log_features(spark, sf_dir):
     return features(spark, sf_dir)
 
 
+@query
+def given_features(spark, sf_dir):
+    return extract_features(given_lines(spark, sf_dir))
+
+
+@query
+def given_formats(spark, sf_dir):
+    parsed = parse_lines(given_lines(spark, sf_dir))
+    return parsed.groupBy("line_format").agg(F.count("*").alias("n"), F.count_distinct("stream_id").alias("streams"))
+
+
+@query
+def given_totals(spark, sf_dir):
+    """Totals per user, document, page and conversation."""
+    return window_features(extract_features(given_lines(spark, sf_dir)), ["stream_id"])
+
+
 @query
 def window_totals(spark, sf_dir):
     return window_features(features(spark, sf_dir), ["stream_id"])
@@ -201,6 +223,15 @@ def document_signatures(spark, sf_dir):
     )
 
 
+@query
+def given_signatures(spark, sf_dir):
+    """Signature counts over events and all texts, and the streams they were seen in."""
+    hits = explode_hits(match_lines(given_lines(spark, sf_dir)))
+    return hits.groupBy("threat_type", "severity").agg(
+        F.count("*").alias("n"), F.count_if("direct").alias("direct_hits"), F.count_distinct("stream_id").alias("streams")
+    )
+
+
 @query
 def direct_hits(spark, sf_dir):
     return explode_hits(match_lines(lines(spark, sf_dir))).filter("direct").select("line_index", "threat_type")
@@ -300,6 +331,16 @@ def detections(spark, sf_dir):
     )
 
 
+@query
+def given_detections(spark, sf_dir):
+    """Detections in events and all texts; each user, document, page and conversation is a scope of its own."""
+    rows = detect.detect(extract_features(given_lines(spark, sf_dir)))
+    return rows.select(
+        "stream_id", "line_index", "source_ip", "threat_type", "severity", "confidence", "threat_status",
+        "corroborating_count", "event_ts",
+    )
+
+
 @query
 def model_detections(spark, sf_dir):
     """Detections whose confidence takes in the scores of models fitted on the same lines."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bastionlog.functions.columns import choose, literal, literal_array
+from bastionlog.operators.parse import split_text
 from bastionlog.sources.templates import (
     BURST_EVENTS,
     BURST_SECONDS,
@@ -20,6 +21,8 @@ from bastionlog.sources.templates import (
 )
 
 INPUT_PARTITIONS = "bastionlog.input.partitions"
+#: Numbers kept free for the lines of a conversation turn.
+LINES_PER_TURN = 1 << 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +74,37 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def given_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the supplied tables hold as log input: each event written out as a JSON line with its own values,
+    and every line of every document, page and conversation turn as it stands.
+
+    A user's events are a stream, as is each document, page and conversation; streams of the four tables
+    differ in their number modulo 4. Texts carry no time and take the first of 2024.
+    """
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    event = F.concat(
+        F.lit('{"timestamp":"'), stamp, F.lit('","level":"'), F.coalesce("event_type", F.lit("")),
+        F.lit('","customer_id":'), F.coalesce(F.col("user_id").cast("string"), F.lit("null")),
+        F.lit(',"usage_mbps":'), F.coalesce(F.col("value").cast("decimal(18,2)").cast("string"), F.lit("null")),
+        F.lit(',"message":"'), F.coalesce("event_type", F.lit("")),
+        F.lit('","props":'), F.coalesce("props", F.lit("null")), F.lit("}"),
+    )
+    lines = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("line_index"), (F.col("user_id") * 4).alias("stream_id"),
+        F.col("ts").cast("timestamp_ntz").alias("ts"), event.alias("raw_message"),
+    )
+    number = F.lit(0).cast("bigint")
+    for place, (name, key, text, order) in enumerate(
+        [("documents", "doc_id", "text", number), ("pages", "page_id", "html", number), ("conversations", "conv_id", "text", F.col("turn"))], 1
+    ):
+        texts = table(spark, sf_dir, name).select(F.struct((F.col(key) * 4 + place).alias("s"), order.alias("t")).alias("at"), F.col(text).alias("text"))
+        lines = lines.unionByName(split_text(texts, "at", "text").select(
+            (F.col("at.t") * LINES_PER_TURN + F.col("line_number")).alias("line_index"), F.col("at.s").alias("stream_id"),
+            F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'").alias("ts"), F.col("line").alias("raw_message"),
+        ))
+    return lines
+
+
 def expected_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``line_index, label``: the threat each log line was written to show, or ``benign``."""
     cases = [(number, literal(threat)) for number, threat in EXPECTED.items()]
@@ -81,18 +115,19 @@ def expected_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def system_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Health snapshots computed from events with whole-number arithmetic."""
-    e, u = F.col("event_id"), F.col("user_id")
-    return table(spark, sf_dir, "events").select(
-        e.alias("id"),
-        (u % STREAMS).alias("stream_id"),
-        "ts",
-        ((e * 7 + u) % 101).cast("double").alias("cpu_usage"),
-        ((e * 11 + u) % 97).cast("double").alias("memory_usage"),
-        ((e * 13 + u * 5) % 25000).cast("double").alias("network_tx"),
-        ((e * 17 + u * 3) % 25000).cast("double").alias("network_rx"),
-        ((e + u) % 500).cast("int").alias("active_connections"),
-    )
+    """Hourly load of each stream from the events' own values: their peak and mean as percentages, the sums of
+    what was viewed or clicked and of the rest as traffic, the users as connections. Hundredths are summed whole."""
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    shown = F.col("event_type").isin("view", "click")
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
+    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % STREAMS).alias("stream_id"), hour.alias("ts")).agg(
+        F.min("event_id").alias("id"),
+        F.least(F.lit(100.0), F.max(cents) / 100).alias("cpu_usage"),
+        F.least(F.lit(100.0), F.sum(cents) / F.count(cents) / 100).alias("memory_usage"),
+        (F.coalesce(F.sum(F.when(shown, cents)), F.lit(0)) / 100).alias("network_tx"),
+        (F.coalesce(F.sum(F.when(~shown, cents)), F.lit(0)) / 100).alias("network_rx"),
+        F.count_distinct("user_id").cast("int").alias("active_connections"),
+    ).select("id", "stream_id", "ts", "cpu_usage", "memory_usage", "network_tx", "network_rx", "active_connections")
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
