@@ -3,11 +3,14 @@
 Training texts are cut into shards of a few megabytes where they lie; no text is shuffled. Each shard
 builds a suffix array of its words, ordered by as many words as a window holds. All suffixes of the
 benchmark items are searched in it together: the interval of matching suffixes is narrowed word by word
-with two binary searches, so each ends with the length of its longest match and the places of the full
-ones. Words the benchmark does not hold are one filler that matches nothing, and no suffix starts there.
+with two binary searches, so each ends with the places of its full matches. Words the benchmark does not
+hold are one filler that matches nothing, and no suffix starts there. Full matches are then extended: the
+matched places of a shard and the item places of the same windows are sorted as suffixes of window numbers,
+and the nearest item suffix of a place shares the longest verbatim match that starts there.
 
-The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text, so what is sent at once
-does not grow with the benchmark; a document's spans from several blocks are united.
+The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text; a document's spans from
+several blocks are united. All blocks stay with the tasks until the end, so a benchmark of many blocks
+needs as much memory.
 
 Cases: a null or blank text has no words, ``n_hit`` 0 and is not contaminated. An item without words has
 no window; a shorter item than the window is one window of its own length. Equal windows of several items
@@ -30,7 +33,8 @@ from bastionlog.llm import words as W
 WINDOW = 13
 SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 16 << 20
-FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+LONGEST = "struct<words:long,start:long,item_id:string>"
+FOUND = f"n_words long, spans array<struct<start:long,end:long>>, items array<string>, longest {LONGEST}"
 
 
 class Suffixes:
@@ -38,11 +42,24 @@ class Suffixes:
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int) -> None:
         owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item_id, text in items:
+        rows: dict[tuple[int, ...], int] = {}
+        places: list[int] = []
+        holders: list[int] = []
+        self.ids: list[str | None] = []
+        for item_id, text in sorted(set(items), key=lambda i: (i[0] is None, i[0] or "", i[1] or "")):
             data = np.frombuffer(W.lower_ascii(text), dtype=np.uint8)
             hashes = W.span_hashes(data, *W.spans(data, W.WORD_BYTES)).tolist()
             for at in range(max(1, len(hashes) - window + 1) if hashes else 0):
-                owners[tuple(hashes[at : at + window])].update([item_id] if item_id is not None else [])
+                sequence = tuple(hashes[at : at + window])
+                owners[sequence].update([item_id] if item_id is not None else [])
+                rows.setdefault(sequence, len(rows))
+                if len(sequence) == window:
+                    places.append(rows[sequence] + 1)
+            # A zero ends the item.
+            places.append(0)
+            holders += [len(self.ids)] * (len(places) - len(holders))
+            self.ids.append(item_id)
+        self.places, self.holders = np.array(places, dtype=np.int64), np.array(holders, dtype=np.int64)
         self.vocabulary = np.unique(np.array([h for w in owners for h in w], dtype=np.uint64))
         self.bits = max(1, int(len(self.vocabulary)).bit_length())
         self.window = window
@@ -104,12 +121,64 @@ def search(order: np.ndarray, numbers: np.ndarray, wanted: Suffixes) -> tuple[np
     return longest, low, high
 
 
-def scan(texts: list[bytes], wanted: Suffixes) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
-    """Per lower-cased text: number of words, word spans that windows cover, items with windows there."""
+def longest_matches(placed: np.ndarray, wanted: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+    """Per place of ``placed`` (window number from 1, 0 where none is): words of the longest verbatim match with
+    an item that starts there, and the place in ``wanted.places`` of one that has it."""
+    here = np.flatnonzero(placed)
+    seen = np.zeros(len(wanted.numbers) + 1, dtype=bool)
+    seen[placed[here]] = True
+    seen[0] = False
+    there = np.flatnonzero(seen[wanted.places])
+    words, holder = np.zeros(len(here), dtype=np.int64), np.zeros(len(here), dtype=np.int64)
+    # Runs of neighbouring places, each ended by a zero.
+    where = np.concatenate((there, here + len(wanted.places) + 1))
+    ends = np.flatnonzero(np.append(np.diff(where) != 1, True)) + 1
+    slot = np.arange(len(where)) + np.searchsorted(ends, np.arange(len(where)), side="right")
+    symbols = np.zeros(len(where) + len(ends), dtype=np.int64)
+    symbols[slot] = np.concatenate((wanted.places[there], placed[here]))
+    zeros = np.flatnonzero(symbols == 0)
+    end = zeros[np.searchsorted(zeros, np.arange(len(symbols)))]
+    longest = int((end - np.arange(len(symbols))).max(initial=0))
+    # Ranks of the first 1, 2, 4, ... windows of each suffix, up to the end of its run.
+    levels = [np.unique(symbols, return_inverse=True)[1].astype(np.int32)]
+    while (1 << (len(levels) - 1)) < longest:
+        rank = levels[-1].astype(np.int64)
+        after = rank[np.minimum(np.arange(len(symbols)) + (1 << (len(levels) - 1)), end)]
+        levels.append(np.unique(rank * (len(symbols) + 1) + after, return_inverse=True)[1].astype(np.int32))
+    order = np.argsort(levels[-1], kind="stable")
+    is_item = np.zeros(len(symbols), dtype=bool)
+    is_item[slot[: len(there)]] = True
+    index = np.arange(len(order))
+    before = np.maximum.accumulate(np.where(is_item[order], index, -1))
+    behind = np.minimum.accumulate(np.where(is_item[order], index, len(order))[::-1])[::-1]
+    position = np.empty(len(order), dtype=np.int64)
+    position[order] = index
+    mine = slot[len(there) :]
+    place_of = np.zeros(len(symbols), dtype=np.int64)
+    place_of[slot[: len(there)]] = there
+    for near in (before[position[mine]], behind[position[mine]]):
+        real = (near >= 0) & (near < len(order))
+        other = order[np.where(real, near, 0)]
+        one, two, length = mine.copy(), other.copy(), np.zeros(len(mine), dtype=np.int64)
+        for level in range(len(levels) - 1, -1, -1):
+            step = 1 << level
+            fits = real & (one + step <= end[one]) & (two + step <= end[two])
+            same = fits & (levels[level][one] == levels[level][two])
+            one, two, length = one + same * step, two + same * step, length + same * step
+        better = length + wanted.window - 1 > words
+        better &= length > 0
+        words = np.where(better, length + wanted.window - 1, words)
+        holder = np.where(better, place_of[other], holder)
+    return words, holder
+
+
+def scan(texts: list[bytes], wanted: Suffixes) -> Iterator[tuple]:
+    """Per lower-cased text: number of words, word spans that windows cover, items with windows there, and the
+    longest verbatim match (words, start, item), the first of equally long ones; None without a match."""
     data, starts, ends, first = W.joined(texts, W.WORD_BYTES)
     counts = np.diff(first)
     if not len(starts) or not len(wanted.lengths):
-        yield from ((int(n), [], []) for n in counts)
+        yield from ((int(n), [], [], None) for n in counts)
         return
     # Zeros after each text keep a window from running into the next one.
     gap = np.arange(len(texts)) * wanted.window
@@ -139,8 +208,24 @@ def scan(texts: list[bytes], wanted: Suffixes) -> Iterator[tuple[int, list[tuple
         pairs = np.unique(np.stack((np.searchsorted(base, at, side="right") - 1, which)), axis=1)
         for text, window in pairs.T.tolist():
             items_of[text].update(wanted.items[window])
+    best: dict[int, tuple[int, int, str | None]] = {}
+    if len(at):
+        placed = np.zeros(len(numbers), dtype=np.int64)
+        whole = wanted.lengths[which] == wanted.window
+        placed[at[whole]] = which[whole] + 1
+        words, holder = longest_matches(placed, wanted)
+        short = ~whole
+        starts_at = np.concatenate((np.flatnonzero(placed), at[short]))
+        lengths = np.concatenate((words, wanted.lengths[which[short]]))
+        source = np.concatenate((holder, -1 - which[short]))
+        text_of = np.searchsorted(base, starts_at, side="right") - 1
+        rows = np.lexsort((source, starts_at, -lengths, text_of))
+        for row in rows[np.append(True, np.diff(text_of[rows]) > 0)].tolist():
+            owner_at = int(source[row])
+            held_by = wanted.ids[wanted.holders[owner_at]] if owner_at >= 0 else next(iter(wanted.items[-1 - owner_at]), None)
+            best[int(text_of[row])] = (int(lengths[row]), int(starts_at[row] - base[text_of[row]]), held_by)
     for i, n in enumerate(counts.tolist()):
-        yield n, spans_of.get(i, []), sorted(items_of.get(i, ()))
+        yield n, spans_of.get(i, []), sorted(items_of.get(i, ())), best.get(i)
 
 
 def scan_column(text: Column, wanted, shard_bytes: int) -> Column:
@@ -151,7 +236,7 @@ def scan_column(text: Column, wanted, shard_bytes: int) -> Column:
         for batch in batches:
             texts = [W.lower_ascii(t) for t in batch]
             rows = [r for b, e in W.shards(texts, shard_bytes) for r in scan(texts[b:e], wanted.value)]
-            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+            yield pd.DataFrame(rows, columns=["n_words", "spans", "items", "longest"])
 
     return found(text)
 
@@ -195,8 +280,18 @@ def matches(docs: DataFrame, items: DataFrame, text: str, window: int, shard_byt
         F.col(f"{names[0]}.n_words").alias("n_words"),
         united(F.flatten(F.array(*(F.col(f"{n}.spans") for n in names)))).alias("spans"),
         F.array_distinct(F.flatten(F.array(*(F.col(f"{n}.items") for n in names)))).alias("items"),
+        # Longest first, then leftmost; a null match is less than any.
+        F.array_max(F.array(*(F.when(F.col(f"{n}.longest").isNotNull(), F.struct(
+            F.col(f"{n}.longest.words").alias("words"), (-F.col(f"{n}.longest.start")).alias("start"),
+            F.col(f"{n}.longest.item_id").alias("item_id"))) for n in names))).alias("longest"),
+    )
+    leftmost = F.struct(
+        F.col("_match.longest.words").alias("words"), (-F.col("_match.longest.start")).alias("start"),
+        F.col("_match.longest.item_id").alias("item_id"),
+    )
+    return wide.withColumn("_match", gathered).drop(*names).withColumn(
+        "_match", F.col("_match").withField("longest", F.when(F.col("_match.longest").isNotNull(), leftmost))
     )
-    return wide.withColumn("_match", gathered).drop(*names)
 
 
 def hit_words(match: str = "_match") -> Column:
@@ -217,7 +312,8 @@ def contamination(
 ) -> DataFrame:
     """Per row of ``docs`` (doc_id, text) what of ``items`` (item_id, text) it holds.
 
-    doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_span (words), spans (word spans).
+    doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_words, longest_start and
+    longest_item (the longest verbatim match, its first word in the document, an item that holds it), spans (word spans).
     """
     found = matches(docs.select("doc_id", "text"), items, "text", window, shard_bytes, block_bytes)
     n_hit, n_words = hit_words(), F.col("_match.n_words")
@@ -228,7 +324,9 @@ def contamination(
         F.size("_match.items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("_match.items"), ","), 256).alias("items_sha256"),
         is_contaminated(n_hit, n_words).alias("contaminated"),
-        F.coalesce(F.array_max(F.transform("_match.spans", lambda s: s["end"] - s["start"])), F.lit(0)).alias("longest_span"),
+        F.coalesce("_match.longest.words", F.lit(0)).alias("longest_words"),
+        F.col("_match.longest.start").alias("longest_start"),
+        F.col("_match.longest.item_id").alias("longest_item"),
         F.col("_match.spans").alias("spans"),
     )
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -514,6 +515,47 @@ def test_contamination_in_random_texts(spark, shard, block):
     assert got == brute_contamination(docs, items) and sum(r[5] for r in got) > 10
 
 
+def brute_longest(text, items, window=13):
+    """Words and first start of the longest verbatim match of a text with any item."""
+    split = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower())
+    words, best = split(text), (0, None)
+    for _, other in items:
+        item = split(other)
+        for p in range(len(words)):
+            for g in range(len(item)):
+                n = 0
+                while p + n < len(words) and g + n < len(item) and words[p + n] == item[g + n]:
+                    n += 1
+                if n >= min(window, len(item)) > 0 and (n > best[0] or n == best[0] and p < best[1]):
+                    best = (n, p)
+    return best
+
+
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_longest_verbatim_matches(spark, block):
+    """Repeating words, matches that two items overlap in, short items, matches over several blocks."""
+    rng = random.Random(11)
+    draw = lambda n, words="abc": " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, draw(rng.randrange(14, 40), "ab" if i % 2 else "abcdefgh")) for i in range(12)]
+    items += [(20, "a " * 30), (21, "short item here"), (22, items[3][1]), (None, draw(20)), (23, ""), (24, None)]
+    docs = [(i, draw(30, "ab")) for i in range(15)]
+    for i in range(15, 45):
+        one, two = (rng.choice(items[:12])[1].split() for _ in range(2))
+        cut, other = rng.randrange(len(one)), rng.randrange(len(two))
+        docs.append((i, " ".join([draw(3, "xyz"), *one[:cut], *two[other:], draw(2, "xyz"), *one])))
+    docs += [(50, "a " * 70), (51, "a short item here, b"), (52, "x y z"), (53, None)]
+    table = spark.createDataFrame([(i, t) for i, t in docs], "doc_id long, text string")
+    found = decontaminate.contamination(table, items_of(spark, [(k, t, "") for k, t in items]), block_bytes=block)
+    texts, by_id = dict(docs), {str(k): t for k, t in items}
+    rows = found.collect()
+    assert {r["doc_id"]: (r["longest_words"], r["longest_start"]) for r in rows} == {i: brute_longest(t, items) for i, t in docs}
+    for r in rows:
+        if r["longest_item"] is not None:
+            words = texts[r["doc_id"]].replace(",", "").split()[r["longest_start"] :][: r["longest_words"]]
+            assert f" {' '.join(words)} " in f" {' '.join(by_id[r['longest_item']].split())} "
+    assert max(r["longest_words"] for r in rows) > 25
+
+
 def test_contamination_cases(spark, odd, none):
     got = decontaminate.contamination(odd, items_of(spark, [(1, "A, b!", "")])).collect()
     assert sorted(((r["doc_id"], r["n_hit"], r["contaminated"]) for r in got if r["n_hit"]), key=repr) == [(5, 2, True), (5, 2, True), (None, 2, True)]
