@@ -1,7 +1,11 @@
 """What keeps the work of a task small: no shuffle, one pass, tasks by the number of rows."""
 
+from datetime import datetime
+
+from pyspark.sql import functions as F
 
 from bastionlog.operators import classify
+from bastionlog.sources.derive import EVENTS_PER_TASK, given_lines, log_lines, source_files
 
 
 def plan_of(frame) -> str:
@@ -26,3 +30,21 @@ def test_a_model_without_tokens(spark):
     model = classify.train(spark.createDataFrame([], "text string, label string"))
     lines = spark.createDataFrame([(0, "some words")], "line_index bigint, message string")
     assert classify.predict(lines, model, "message", "line_index").first().ml_label == "benign"
+
+
+def test_events_of_one_file_go_to_many_tasks(spark, tmp_path):
+    n = 2 * EVENTS_PER_TASK + 1
+    events = spark.range(0, n, 1, 1).select(
+        F.when(F.col("id") % 1000 != 1, F.col("id")).alias("event_id"), F.lit(datetime(2024, 1, 1)).alias("ts"),
+        (F.col("id") % 7).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"),
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    texts = spark.createDataFrame([], "doc_id bigint, page_id bigint, conv_id bigint, turn bigint, text string, html string")
+    for name in ("documents", "pages", "conversations"):
+        texts.write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = log_lines(spark, str(tmp_path))
+    sizes = [r["count"] for r in lines.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 3 and sum(sizes) == n and max(sizes) < 1.5 * EVENTS_PER_TASK
+    for other in (given_lines(spark, str(tmp_path)), source_files(spark, str(tmp_path))):
+        sizes = [r["count"] for r in other.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == n and max(sizes) < 1.5 * EVENTS_PER_TASK
