@@ -21,13 +21,17 @@ LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 def lines_of(content: str) -> Column:
     """Lines of a text; a final line break opens no further line."""
-    parts = F.split(content, LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    # The text is split once: what a function of an array element names twice is not worked out twice.
+    closed = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.transform(F.array(F.split(content, LINE_BREAK, -1)), closed)[0]
 
 
-def source_lines(files: DataFrame) -> DataFrame:
-    """One row per line, numbered from 1."""
-    return files.select("path", "extension", F.posexplode(lines_of("content")).alias("position", "text")).select(
+def source_lines(files: DataFrame, outer: bool = False) -> DataFrame:
+    """One row per line, numbered from 1; if ``outer``, also one without number and text for a file without lines."""
+    if outer:
+        files = files.filter(F.col("content").isNotNull())
+    each = F.posexplode_outer if outer else F.posexplode
+    return files.select("path", "extension", each(lines_of("content")).alias("position", "text")).select(
         "path", "extension", (F.col("position") + 1).cast("bigint").alias("line"), "text"
     )
 
@@ -44,9 +48,9 @@ def rule_rows() -> Column:
     ])
 
 
-def matched_lines(files: DataFrame) -> DataFrame:
+def matched_lines(files: DataFrame, outer: bool = False) -> DataFrame:
     """Source lines with ``hits``, the numbers of the rules that match; one matching pass."""
-    return source_lines(files).withColumn("hits", rule_hits(F.col("text"), [r.pattern for r in CODE_RULES], ignore_case=False))
+    return source_lines(files, outer).withColumn("hits", rule_hits(F.col("text"), [r.pattern for r in CODE_RULES], ignore_case=False))
 
 
 def applies(rule: Column) -> Column:
@@ -65,8 +69,8 @@ def line_issues(files: DataFrame) -> DataFrame:
 
 def _file_figures() -> list[Column]:
     """Counts per file that whole-file findings rest on (partial aggregation, no collected lines)."""
-    text = F.ltrim(F.regexp_replace("text", r"^\s+", ""))
-    comment = text.startswith("#") | text.startswith("//")
+    text = F.col("text")
+    comment = (text.contains("#") | text.contains("//")) & text.rlike(r"^\s*(?:#|//)")
     marker = F.col("text").contains("TODO") | F.col("text").contains("FIXME")
     return [F.count("text").alias("lines"), F.count_if(comment).alias("comments"), F.coalesce(F.bool_or(marker), F.lit(False)).alias("open_todo")]
 
@@ -100,12 +104,12 @@ def issue_counts(files: DataFrame) -> DataFrame:
     named = {"Bug": "bugs", "Vulnerability": "vulnerabilities", "Maintainability": "maintainability_issues"}
     found = F.transform("hits", lambda i: F.element_at(rule_rows(), i + 1))
     kinds = F.transform(F.filter(found, applies), lambda r: r["category"])
-    lines = matched_lines(files).select("path", "extension", "text", kinds.alias("kinds"))
+    none = F.array().cast("array<string>")
     # A file without lines still has its row.
-    whole = files.filter(F.size(lines_of("content")) == 0).select(
-        "path", "extension", F.lit(None).cast("string").alias("text"), F.array().cast("array<string>").alias("kinds")
+    lines = matched_lines(files, outer=True).select(
+        "path", "extension", "text", F.when(F.col("text").isNotNull() & (F.size("hits") > 0), kinds).otherwise(none).alias("kinds")
     )
-    counts = lines.unionByName(whole).groupBy("path", "extension").agg(
+    counts = lines.groupBy("path", "extension").agg(
         *_file_figures(),
         F.sum(F.size("kinds")).alias("line_issues"),
         *[F.sum(F.size(F.filter("kinds", _is(k)))).alias(n) for k, n in named.items()],

@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from bastionlog.operators import classify
+from bastionlog.operators import classify, codescan
 from bastionlog.sources.derive import EVENTS_PER_TASK, given_lines, log_lines, source_files
 
 
@@ -48,3 +48,14 @@ def test_events_of_one_file_go_to_many_tasks(spark, tmp_path):
     for other in (given_lines(spark, str(tmp_path)), source_files(spark, str(tmp_path))):
         sizes = [r["count"] for r in other.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == n and max(sizes) < 1.5 * EVENTS_PER_TASK
+
+
+def test_files_are_read_once_for_their_counts(spark):
+    files = spark.createDataFrame([
+        ("a.py", ".py", " \t# one\n\x0b // two\nx # three\n"), ("a.py", ".py", "# again"), ("empty.py", ".py", ""), ("none.py", ".py", None),
+        ("break.py", ".py", "\n"),
+    ], "path string, extension string, content string")
+    counts = codescan.issue_counts(files)
+    assert plan_of(counts).split("== Physical Plan ==")[1].count("ExistingRDD") == 1
+    got = {r.path: (r.total_lines, r.maintainability_issues, r.issues) for r in counts.collect()}
+    assert got == {"a.py": (5, 1, 1), "empty.py": (0, 0, 0), "break.py": (1, 0, 0)}
