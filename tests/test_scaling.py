@@ -5,6 +5,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from bastionlog.operators import classify, codescan
+from bastionlog.operators.features import extract_features
+from bastionlog.plans.detect import resolved_hits
 from bastionlog.sources.derive import EVENTS_PER_TASK, given_lines, log_lines, source_files
 
 
@@ -50,6 +52,14 @@ def test_events_of_one_file_go_to_many_tasks(spark, tmp_path):
         assert sum(sizes) == n and max(sizes) < 1.5 * EVENTS_PER_TASK
 
 
+def test_hits_are_read_back_not_parsed_again(make_lines):
+    lines = make_lines([("a=1 b=2 src_ip=7.7.7.7 fine", 0, 0), ("xmrig at work", 0, 1), ("xmrig at work", 1, 2), ("failed", 1, 3)])
+    hits = resolved_hits(extract_features(lines))
+    assert "from_json" not in plan_of(hits)
+    found = {(r.line_index, r.source_ip) for r in hits.collect()}
+    assert found == {(1, "7.7.7.7"), (2, "unknown")}
+
+
 def test_files_are_read_once_for_their_counts(spark):
     files = spark.createDataFrame([
         ("a.py", ".py", " \t# one\n\x0b // two\nx # three\n"), ("a.py", ".py", "# again"), ("empty.py", ".py", ""), ("none.py", ".py", None),
