@@ -4,9 +4,12 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from bastionlog.functions.columns import imatch
 from bastionlog.operators import classify, codescan
-from bastionlog.operators.features import extract_features
+from bastionlog.operators.features import OPERATIONAL_WORDS, extract_features, operational
+from bastionlog.operators.parse import KEY_VALUE, MIN_PAIRS, parse_lines
 from bastionlog.plans.detect import resolved_hits
+from bastionlog.rules.signatures import OPERATIONAL_PATTERN
 from bastionlog.sources.derive import EVENTS_PER_TASK, given_lines, log_lines, source_files
 
 
@@ -60,6 +63,22 @@ def test_hits_are_read_back_not_parsed_again(make_lines):
     assert found == {(1, "7.7.7.7"), (2, "unknown")}
 
 
+def test_operational_words_decide_nothing(spark):
+    texts = ["HIGH   Latency", "high\tlatency", "latency", "routing\nchanges", "Service DEGRADATION", "performance", "JITTER", "plain", "", None,
+             "connection  unstable", "degraded performance", "RTT_MS=3", "İjitter", "linK response_time_ms"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        operational(F.col("t")).alias("got"), imatch(F.col("t"), OPERATIONAL_PATTERN).alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
+    assert len(OPERATIONAL_WORDS) == OPERATIONAL_PATTERN.count("|") + 1
+
+
+def test_pairs_are_counted_where_there_are_signs(make_lines):
+    texts = ["a=1 b=2 c=3", "a=1 b=2", "a=b=c d==e f=", "x = y = z = w", "===", "a=1\tb=2  c=3", "word " * 50]
+    lines = make_lines(texts)
+    rows = parse_lines(lines).select("line_format", F.regexp_count("line", F.lit(KEY_VALUE)).alias("n")).collect()
+    assert [r.line_format == "key_value" for r in rows] == [r.n >= MIN_PAIRS for r in rows]
+
+
 def test_files_are_read_once_for_their_counts(spark):
     files = spark.createDataFrame([
         ("a.py", ".py", " \t# one\n\x0b // two\nx # three\n"), ("a.py", ".py", "# again"), ("empty.py", ".py", ""), ("none.py", ".py", None),
