@@ -15,9 +15,10 @@ Packs that end neither full nor at a power of two are laid end to end and cut ev
 the last cut make sequences of powers of two. So no sequence needs padding, and each of them has at most
 one document cut at either end.
 
-Texts are tokenised once. Each is looked up by its runs between ASCII white space, which the vocabulary's
-normaliser and pattern treat independently; a worker keeps the ids of some
-300,000 short runs, in two generations. Ranks are
+Texts are tokenised once, by their runs between ASCII white space, which the vocabulary's normaliser and
+pattern treat independently. The different runs of some 4 MB of texts are looked up once each, and their ids
+gathered by Arrow. A worker keeps the ids of some 300,000 short runs, in two generations; of a run not met yet,
+signs at its end are looked up apart, so that a word is learnt once whatever follows it. Ranks are
 a task's own count plus the sum over the tasks before it. What is shuffled is a few numbers a document, and
 the ids of left-over pieces only for those that are cut.
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import gc
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,6 +39,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,13 +49,13 @@ from bastionlog.session import materialise
 SEQUENCE, CLOSING_ID = 2048, 1
 KEPT_RUNS, KEPT_BYTES, LEARNT_BYTES = 300_000, 48, 1 << 14
 MARK, WORD_END = b"\0", "</w>"
-SIGNS = frozenset(bytes([b]) for b in b".,;:!?")
+SIGNS, SPECIAL = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b"<|"
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit numbers, by runs between ASCII white space.
 
-    A sign at a run's end after a letter is looked up by itself, as the vocabulary's pattern parts it;
+    Signs at a run's end are looked up by themselves where the vocabulary's pattern parts them from what is before;
     A-Z are lower-cased at once, as its normaliser does. Texts that may name special ids are left as they are.
     """
 
@@ -61,12 +64,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.model = self.tokenizer.model
         self.mark = self._ids(MARK.decode())
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
         self.ends[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.parted: dict[str, bool] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         made = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
@@ -75,56 +80,81 @@ class Encoder:
     def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
         """Ids of runs, many encoded as one text.
 
-        A run of ASCII letters is one word, whose last id alone ends a word; others get a mark between that
-        no run holds.
+        A run of a-z is one word, which normaliser and pattern leave as it is: the model alone has its ids. Other
+        letters are one word as a rule, whose last id alone ends a word; the rest get a mark between that no run holds.
         """
-        words = [r for r in runs if r.isalpha()]
-        rest = [r for r in runs if not r.isalpha()]
-        marked = [r for r in rest if MARK not in r and len(self.mark) == 1]
-        known = {r: self._ids(r.decode("utf-8")).tobytes() for r in rest if MARK in r or len(self.mark) != 1}
-        for some, between in ((words, b" "), (marked, b" " + MARK + b" ")):
+        known: dict[bytes, bytes] = {}
+        letters, marked, single = [], [], []
+        spare = marked if len(self.mark) == 1 else single
+        for run in runs:
+            if run.isalpha() and run.islower():
+                ids = [token.id for token in self.model.tokenize(run.decode())]
+                known[run] = struct.pack(f"<{len(ids)}I", *ids)
+            elif run.decode("utf-8").isalpha():
+                letters.append(run)
+            else:
+                (single if MARK in run else spare).append(run)
+        for some, between in ((letters, b" "), (marked, b" " + MARK + b" ")):
             skip = int(some is marked)
             for begin, stop in runs_of_rows([len(r) for r in some], LEARNT_BYTES):
                 ids = self._ids(between.join([*some[begin:stop], b""]).decode("utf-8"))
                 last = np.flatnonzero(ids == self.mark[0] if skip else self.ends[ids]) + 1
+                if len(last) != stop - begin:
+                    # Each run ends a word at least; one of them, parted by the normaliser or the pattern, ends more.
+                    (single if skip else spare).extend(some[begin:stop])
+                    continue
                 data, at = ids.tobytes(), 0
                 for run, end in zip(some[begin:stop], last.tolist(), strict=True):
                     known[run] = data[4 * at : 4 * (end - skip)]
                     at = end
+        known.update((r, self._ids(r.decode("utf-8")).tobytes()) for r in single)
         return known
 
-    def _runs(self, text: str | None) -> list[bytes]:
-        data = (text or "").encode("utf-8")
-        return data.split() if b"<|" in data else data.lower().split()
-
-    def _settle(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of runs that are not known yet; short ones are kept, long ones only returned."""
+    def _signs(self, run: bytes) -> int:
+        """Where the signs at a run's end begin, if they are a word of their own; else the run's length."""
+        stem = run.rstrip(SIGNS)
+        if not stem or len(stem) == len(run) or SPECIAL in run:
+            return len(run)
+        if stem[-1] < 128:
+            return len(stem) if stem[-1:].isalnum() else len(run)
+        char = stem[-4:].decode("utf-8", "ignore")[-1]
+        if char not in self.parted:
+            both, apart = self._ids(char + "."), (self._ids(char), self._ids("."))
+            self.parted[char] = np.array_equal(both, np.concatenate(apart))
+        return len(stem) if self.parted[char] else len(run)
+
+    def _settle(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of different runs; short ones are kept."""
         if len(self.known) > KEPT_RUNS:
             self.older, self.known = self.known, {}
-            missing = missing | {s for s in SIGNS}
         known, older = self.known, self.older
-        known.update({r: older[r] for r in missing if r in older})
-        signed = {r for r in missing if r not in known and r[-1:] in SIGNS and r[-2:-1].islower()}
-        bases = {r[:-1] for r in signed} | {r[-1:] for r in signed}
-        fresh = [r for r in (missing - signed) | bases if r not in known]
-        made = self._learn(fresh)
-        known.update({r: ids for r, ids in made.items() if len(r) <= KEPT_BYTES})
-        of = lambda r: known[r] if r in known else made[r]
-        both = {r: of(r[:-1]) + of(r[-1:]) for r in signed}
-        known.update({r: ids for r, ids in both.items() if len(r) <= KEPT_BYTES})
-        return made | both
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [self._runs(t) for t in texts]
-        found = [list(map(self.known.get, runs)) for runs in split]
-        gaps = [places_of(None, ids) for ids in found]
-        missing = {runs[i] for runs, at in zip(split, gaps, strict=True) for i in at}
-        made = self._settle(missing) if missing else {}
-        for runs, ids, at in zip(split, found, gaps, strict=True):
-            for i in at:
-                run = runs[i]
-                ids[i] = made[run] if run in made else self.known[run]
-            yield b"".join(ids)
+        found = list(map(known.get, runs))
+        cuts = []
+        for i in places_of(None, found):
+            run = runs[i]
+            if run in older:
+                found[i] = known[run] = older[run]
+            else:
+                cuts.append((i, run, self._signs(run)))
+        parts = {part for _, run, at in cuts for part in (run[:at], run[at:])}
+        made = {part: ids for part in parts if (ids := known.get(part, older.get(part))) is not None} | {b"": b""}
+        made |= self._learn([part for part in parts if part not in made])
+        for i, run, at in cuts:
+            found[i] = made[run] = made[run[:at]] + made[run[at:]]
+        known.update((r, ids) for r, ids in made.items() if len(r) <= KEPT_BYTES)
+        return found
+
+    def encode(self, texts: pa.Array | list[str | None]) -> Iterator[bytes]:
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        special = pc.match_substring(texts, SPECIAL.decode())
+        split = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        runs = split.flatten().dictionary_encode()
+        different = runs.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array(self._settle(different), pa.large_binary()).take(runs.indices)
+        bounds = np.frombuffer(ids.buffers()[1], dtype=np.int64)[split.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        for begin, stop in zip(bounds, bounds[1:]):
+            yield bytes(data[begin:stop])
 
 
 def places_of(value, values: list) -> list[int]:
@@ -178,11 +208,10 @@ def tokenised(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, closing: i
         for batch in batches:
             texts = batch.column("text")
             ids_of = batch.column("doc_id").to_pylist()
-            all_texts = texts.to_pylist()
-            for begin, stop in runs_of_rows([len(t or "") for t in all_texts], BATCH_BYTES):
+            for begin, stop in runs_of_rows(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BATCH_BYTES):
                 rows = []
                 gc.disable()
-                for doc_id, ids in zip(ids_of[begin:stop], encoder.encode(all_texts[begin:stop]), strict=True):
+                for doc_id, ids in zip(ids_of[begin:stop], encoder.encode(texts.slice(begin, stop - begin)), strict=True):
                     ids += end
                     n, step = len(ids) // 4, 4 * size
                     whole, rest = divmod(n, size)

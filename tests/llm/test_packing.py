@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -68,6 +69,31 @@ def test_encoder_agrees_with_the_tokenizer():
             assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_words_are_learnt_once_whatever_signs_follow():
+    words, signs = ["stone", "Zürich", "señal", "Ωμέγα", "год", "한국", "42"], [".", ",", "!?", "###", '").', "%%%"]
+    encoder, plain, learnt = packing.Encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY), []
+    learn = encoder._learn
+    encoder._learn = lambda runs: learnt.extend(runs) or learn(runs)
+    texts = [f"{w}{s} {w} {s}{w}" for s in signs for w in words]
+    for begin in range(0, len(texts), 5):
+        part = texts[begin : begin + 5]
+        for text, ids in zip(part, encoder.encode(part), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    before = {s + w for s in signs for w in words}
+    assert len(learnt) == len(set(learnt)) == len(words) + len(signs) + len(before)
+
+
+def test_signs_after_any_character():
+    chars = "aZ9éÉßſİŉΣς한ᄀक\u0958\u093c\u09be\u0301\u0345\u0344ªʰǅⅷ²٣’”…👍\u200d\xa0\u3000\x85\x1c\x00\x7f"
+    texts = [f"{c}. a{c}!? é{c}' {c}'s. {c}s {c}{d}, " for c in chars for d in chars]
+    texts += ["x<|endoftext|>. y", "A<|. B<|endoftext|>.", "a<| b.", "'s. don't' '", "", None]
+    encoder, plain = packing.Encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    whole = pa.array(texts, pa.large_string())
+    for begin in range(0, len(texts), 50):
+        for text, ids in zip(texts[begin : begin + 50], encoder.encode(whole.slice(begin, 50)), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids, text
+
+
 def check(rows: list, texts: dict, size: int) -> None:
     """Every id in one piece with its digest, sequences gapless and without padding."""
     plain = Tokenizer.from_file(VOCABULARY)
