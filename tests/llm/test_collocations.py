@@ -102,6 +102,23 @@ def test_bitmap():
     assert full.has(hashes).all() and not made.has(hashes).any()
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 12, 1 << 16])
+def test_bits_reach_the_driver_as_a_bitmap(spark, monkeypatch, bits):
+    """Pages of the bitmap, each once, reach the driver, not a row for each byte; they set the bits of all hashes and no others."""
+    reached, frame = [], type(spark.range(0))
+    whole = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: reached.append(whole(self)) or reached[-1])
+    monkeypatch.setattr(frame, "toPandas", lambda self: pytest.fail("rows were made a table on the driver"))
+    values = [random.Random(i).getrandbits(63) for i in range(20_000)] * 2
+    heavy = spark.createDataFrame([(2, v) for v in values], "length int, hash long").repartition(7)
+    made = collocations.Proposed(bits).add(*collocations.bits_of(heavy, bits))
+    want = {p for x in made.places(np.array(values, dtype=np.uint64)) for p in x.tolist()}
+    assert set(np.flatnonzero(np.unpackbits(made.data, bitorder="little")).tolist()) == want
+    pages = [row.page for rows in reached for row in rows]
+    assert len(pages) == len(set(pages)) == -(-bits // 8 // collocations.PAGE)
+    assert not len(collocations.bits_of(heavy.limit(0), bits)[0])
+
+
 def test_entries_come_back():
     """Counts stop at the limit and add up over packs; a hash is its bucket and low bytes."""
     entries = collocations.Entries(300, 7)
