@@ -9,7 +9,7 @@ from bastionlog.operators import alerts as al
 from bastionlog.operators import anomaly, classify, codescan, quality, risk, strict
 from bastionlog.operators import vulnerabilities as vu
 from bastionlog.operators.features import VECTOR_FIELDS, extract_features
-from bastionlog.plans import dashboard, scan
+from bastionlog.plans import dashboard, queries, scan
 from bastionlog.rules.narratives import DEFAULT_MITIGATION
 
 T0 = datetime(2024, 5, 1, 12, 0, 0)
@@ -76,6 +76,23 @@ def test_timeline(spark):
     assert al.timeline_entries(al.since_last(alerts, 60)).count() == 3
 
 
+def test_attack_timeline_has_every_threat(spark, monkeypatch):
+    """Each minute's count and all threats behind it, equal ones too, oldest minute first; other alerts are left out."""
+    rows = [alert(5, seconds=1), alert(4, seconds=2, ip=None, mitre=None, severity="low"), alert(4, seconds=2, ip=None, mitre=None, severity="low"),
+            alert(1, seconds=-1), alert(2, "NONE", seconds=3), alert(3, seconds=-3700)]
+    alerts = spark.createDataFrame(rows, ALERT_DDL)
+    monkeypatch.setattr(queries, "alerts_by_day", lambda *_: alerts.withColumn("day", F.to_date("ts")))
+    made = queries.REGISTRY["attack_timeline"](spark, "")
+    assert made.columns == ["minute", "threats", "alert_type", "severity", "source_ip", "mitre_tactic"]
+    before, now = T0 - timedelta(minutes=1), T0
+    assert [tuple(r) for r in made.collect()] == [
+        (before, 1, "type1", "high", "1.1.1.1", "T1110"), (now, 3, "type4", "low", None, None), (now, 3, "type4", "low", None, None),
+        (now, 3, "type5", "high", "1.1.1.1", "T1110")]
+    nowhere = spark.createDataFrame([(*alert(9)[:1], None, *alert(9)[2:])], ALERT_DDL)
+    assert [(r.minute, r.threats) for r in al.whole_timeline(nowhere).collect()] == [(None, 1)]
+    assert al.whole_timeline(alerts.limit(0)).collect() == []
+
+
 def test_summaries_and_export(spark):
     rows = al.with_summary(spark.createDataFrame([("SQL Injection",), ("never heard of",)], "alert_type string"))
     got = {r.alert_type: r.summary for r in rows.collect()}
